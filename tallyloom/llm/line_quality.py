@@ -37,11 +37,12 @@ _BROKEN = regex.compile(r"[ÃÂâ�\u0080-\u009f]")
 _GAPS = regex.compile(r"\S {2,}\S|\t")
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _LETTER, _DIGIT, _UPPER, _VOWEL = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\p{Lu}"), regex.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüåæøãõ]", regex.I)
+_LOWER, _SEGMENT = regex.compile(r"[\"'«„“(¿¡]?[\p{Ll}\p{Lo}]"), regex.compile(r"[,;|\t=#>•·:.!?，、。]+")
 _LATIN = regex.compile(r"\p{Latin}")
 _NO_SPACE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 NAMES = (
     "words", "mean_word_length", "letter_share", "digit_share", "symbol_share", "ends_sentence", "bullet", "comma_rate", "other_delimiter_rate", "capital_share",
-    "common_share", "distinct_share", "vowel_share", "non_latin_share", "broken_share", "tag_rate", "longest_word", "gap_rate", "stop_rate", "number_word_share", "top_word_share", "chars",
+    "common_share", "distinct_share", "vowel_share", "non_latin_share", "broken_share", "tag_rate", "longest_word", "gap_rate", "stop_rate", "number_word_share", "top_word_share", "lower_share", "segment_words", "lower_common_share",
 )
 
 
@@ -60,7 +61,8 @@ def line_statistics(line: str) -> list[float]:
         sum(bool(_UPPER.match(w)) for w in words) / max(1, n), sum(w in COMMON for w in bare) / max(1, n), len(counts) / max(1, n) if n >= 8 else 1.0,
         len(_VOWEL.findall(line)) / max(1, latin) if latin >= 0.5 * letters else 0.4, 1 - latin / max(1, letters), len(_BROKEN.findall(line)) / chars, len(_TAG.findall(line)) / max(1, n),
         np.log1p(max(map(len, words), default=0)), len(_GAPS.findall(line)) / max(1, n), len(_STOPS.findall(line)) / max(1, running), sum(any(c.isdigit() for c in w) for w in words) / max(1, n),
-        max(counts.values(), default=0) / max(1, n) if n >= 8 else 0.1, np.log1p(len(line)),
+        max(counts.values(), default=0) / max(1, n) if n >= 8 else 0.1, sum(bool(_LOWER.match(w)) for w in words) / max(1, n),
+        np.log1p(running / max(1, sum(bool(x.strip()) for x in _SEGMENT.split(line)))), sum(w in COMMON for w in words) / max(1, n),
     ]
 
 
