@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("repair", "mining")
+MODULES = ("repair", "mining", "relational")
 FLAGSHIP = "p1_report"
 
 
