@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("repair", "mining", "relational")
+MODULES = ("repair", "mining", "relational", "analytics")
 FLAGSHIP = "p1_report"
 
 
