@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
 from .baskets import baskets, frequent_only
 
 
@@ -12,14 +13,15 @@ def frequent_sets(items: DataFrame, least: int, largest: int = 3) -> DataFrame:
     """size, items (sorted array), n of sets that stand in at least ``least`` baskets of two items and more.
 
     Level by level: a set of k+1 items joins two frequent sets of k that differ in the last item; the candidates are
-    counted against the baskets through the rows of their first k items, never against all baskets.
+    counted against the baskets through the rows of their first k items, never against all baskets. The sets of each
+    level are written to the shared folder, as the next level and the rules read them again.
     """
     many = items.join(baskets(items, 2).select("order_id"), "order_id", "left_semi")
-    kept = frequent_only(many, least)
+    kept = written(frequent_only(many, least), "frequent-items")
     level = kept.select("order_id", F.array("item").alias("items"))
     out = None
     for k in range(1, largest + 1):
-        counted = level.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        counted = written(level.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "frequent-sets")
         one = counted.select(F.lit(k).alias("size"), "items", "n")
         out = one if out is None else out.unionByName(one)
         if k == largest:

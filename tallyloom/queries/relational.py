@@ -29,22 +29,22 @@ def _(t):
     return t.orders.groupBy("upload_id").agg(F.max("order_date").alias("latest")).orderBy(F.desc("latest"), "upload_id").limit(10)
 
 
-@add("p02_or_predicate", "SELECT order_id, line_item_id FROM lines WHERE variant_id = 17 OR location_id = 3")
+@add("prj02_or_predicate", "SELECT order_id, line_item_id FROM lines WHERE variant_id = 17 OR location_id = 3")
 def _(t):
     return t.lines.where((F.col("variant_id") == 17) | (F.col("location_id") == 3)).select("order_id", "line_item_id")
 
 
-@add("p03_in_list", "SELECT variant_id, price FROM catalog WHERE vendor IN ('Brand#11', 'Brand#23', 'Brand#45')")
+@add("prj03_in_list", "SELECT variant_id, price FROM catalog WHERE vendor IN ('Brand#11', 'Brand#23', 'Brand#45')")
 def _(t):
     return t.catalog.where(F.col("vendor").isin("Brand#11", "Brand#23", "Brand#45")).select("variant_id", "price")
 
 
-@add("p04_like_wildcard", "SELECT variant_id, vendor FROM catalog WHERE vendor LIKE '_rand#1%'")
+@add("prj04_like_wildcard", "SELECT variant_id, vendor FROM catalog WHERE vendor LIKE '_rand#1%'")
 def _(t):
     return t.catalog.where(F.col("vendor").like("_rand#1%")).select("variant_id", "vendor")
 
 
-@add("p05_not_in", "SELECT order_id FROM ords WHERE financial_status NOT IN ('F', 'P')")
+@add("prj05_not_in", "SELECT order_id FROM ords WHERE financial_status NOT IN ('F', 'P')")
 def _(t):
     return t.orders.where(~F.col("financial_status").isin("F", "P")).select("order_id")
 
