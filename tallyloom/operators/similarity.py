@@ -80,3 +80,41 @@ def set_similarity(members: DataFrame, group: str, vector: str = "embedding") ->
     square = F.sum(F.col("s") * F.col("s"))
     n = F.max("n")
     return sums.groupBy(group).agg(n.alias("n"), F.when(n > 1, (square - n) / (n * (n - 1))).alias("mean_cosine"))
+
+
+def nearest_in_block(df: DataFrame, block: list[str], key: str, value: str, k: int) -> DataFrame:
+    """For each row the k rows of its block whose value is nearest: a, b, gap.
+
+    The block is sorted by (value, key) once; a row's k nearest are among its 2k neighbours on either side, so no pair of
+    the rest is made. Equal gaps are ranked by key; where more than 2k rows share a value, those next to the row count.
+    """
+    w = W.partitionBy(*block).orderBy(value, key)
+    d = df.select(*block, key, value)
+    around = F.collect_list(F.struct(F.col(key).alias("b"), F.col(value).alias("v"))).over(w.rowsBetween(-2 * k, 2 * k))
+    pairs = d.withColumn("_x", around).select(F.col(key).alias("a"), F.col(value).alias("va"), F.explode("_x").alias("x")).where(F.col("x.b") != F.col("a"))
+    gap = F.round(F.abs(F.col("va") - F.col("x.v")), 4)
+    first = W.partitionBy("a").orderBy("gap", "b")
+    return pairs.select("a", F.col("x.b").alias("b"), gap.alias("gap")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
+
+
+def near_duplicate_sets(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
+    """key, class_id (the lowest key with the same set) and links: how many other classes have a Jaccard of ``least``.
+
+    Equal sets are one class. Classes meet through their prefix only: two sets of size k and more can reach the
+    threshold only if they share one of the first k - ceil(least * k) + 1 items in an order by rarity; sizes must fit too.
+    The meeting pairs are then checked exactly.
+    """
+    s = sets.select(key, F.array_sort(F.array_distinct(items)).alias("_items"))
+    classes = s.groupBy("_items").agg(F.min(key).alias("class_id"))
+    rarity = classes.select(F.explode("_items").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+    ordered = classes.select("class_id", F.explode("_items").alias("x")).join(rarity, "x").groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "x"))), lambda e: e["x"]).alias("ranked"))
+    size = F.size("ranked")
+    prefix = ordered.select("class_id", size.alias("k"), "ranked", F.explode(F.slice("ranked", 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))).alias("x"))
+    left = prefix.select(F.col("class_id").alias("a"), F.col("k").alias("ka"), "x")
+    right = prefix.select(F.col("class_id").alias("b"), F.col("k").alias("kb"), "x")
+    meet = left.join(right, "x").where((F.col("a") < F.col("b")) & (F.col("ka") >= F.col("kb") * least - 1e-9) & (F.col("kb") >= F.col("ka") * least - 1e-9)).select("a", "b").distinct()
+    side = lambda n: ordered.select(F.col("class_id").alias(n), F.col("ranked").alias(f"s{n}"))
+    both = meet.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = both.where(common >= least * (F.size("sa") + F.size("sb") - common) - 1e-9).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return s.join(classes, "_items").join(links, "class_id", "left").select(key, "class_id", F.coalesce("links", F.lit(0)).alias("links"))

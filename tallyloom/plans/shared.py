@@ -33,3 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame in at least as many partitions as there are cores, for work in Python that costs far more than a row's move.
+
+    A table in a few small files would otherwise be one task's work; a large table has more partitions than that and
+    is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

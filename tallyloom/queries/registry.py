@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("repair", "mining", "relational", "analytics", "ingest", "streams")
+MODULES = ("repair", "mining", "relational", "analytics", "ingest", "streams", "ranking")
 FLAGSHIP = "p1_report"
 
 
