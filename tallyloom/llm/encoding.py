@@ -18,6 +18,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from ..plans.shared import spread
+
 DEFAULT_FOLDER = "/opt/tokenizers"
 #: Fixed value: the pre-tokenizer of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -226,7 +228,8 @@ def _tokens(path: str) -> dict[int, bytes]:
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER, decoded: bool = False) -> DataFrame:
-    """key and ids array<int> of every row, an empty list for empty and null texts; no shuffle.
+    """key and ids array<int> of every row, an empty list for empty and null texts; no shuffle but
+    that of ``spread``.
 
     With ``decoded`` also the column decoded, the text that the ids stand for.
     """
@@ -239,4 +242,4 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
             yield out.assign(decoded=["".join(decode_stream(x, path)) for x in ids]) if decoded else out
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInPandas(run, f"`{key}` {kind}, ids array<int>" + ", decoded string" * decoded)
+    return spread(documents.select(key, text)).mapInPandas(run, f"`{key}` {kind}, ids array<int>" + ", decoded string" * decoded)

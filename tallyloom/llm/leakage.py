@@ -9,6 +9,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from ..plans.shared import spread
+
 _DROP = regex.compile(r"[\p{M}\p{Cf}]")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _GAP = regex.compile(r"[^\p{L}\p{N}]+")
@@ -65,7 +67,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, block: i
 
     With ``places`` also first_char and last_char, the place in the original text of each maximal leaked passage.
     Items with fewer words, null and blank texts have no case; equal rows count once. Each text is scanned once, whole,
-    and by the task that reads it: no shuffle but the final distinct. The items are sent to the tasks ``block`` at a
+    and by the task that reads it: no shuffle but the final distinct (and that of ``spread``). The items are sent to the tasks ``block`` at a
     time; more items mean more scans (one for each block), never more memory.
     """
     items = items.select("item_id", "item_text").where("item_text is not null").distinct()
@@ -92,7 +94,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, block: i
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_char", "last_char"][: 4 if places else 2])
 
         schema = f"doc_id {kind}, item_id long" + ", first_char int, last_char int" * places
-        one = documents.select("doc_id", "text").mapInPandas(scan, schema)
+        one = spread(documents.select("doc_id", "text")).mapInPandas(scan, schema)
         out = one if out is None else out.unionByName(one)
     return out.distinct()
 

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import spread
+
 KINDS = ("prose", "list", "table", "junk")
 #: Frequent function words of some languages.
 COMMON = frozenset(
@@ -36,8 +38,9 @@ _STOPS = regex.compile(r"[.!?。！？।؟](?:\s|$)|[。！？]")
 _BROKEN = regex.compile(r"[ÃÂâ�\u0080-\u009f]")
 _GAPS = regex.compile(r"\S {2,}\S|\t")
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,80}>")
-_LETTER, _DIGIT, _UPPER, _VOWEL = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\p{Lu}"), regex.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüåæøãõ]", regex.I)
-_LOWER, _SEGMENT = regex.compile(r"[\"'«„“(¿¡]?[\p{Ll}\p{Lo}]"), regex.compile(r"[,;|\t=#>•·:.!?，、。]+")
+_VOWEL = regex.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüåæøãõ]", regex.I)
+_NUMBERED = regex.compile(r"\S*\d\S*")
+_LOWER, _SEGMENT = regex.compile(r"(?<!\S)[\"'«„“(¿¡]?[\p{Ll}\p{Lo}]"), regex.compile(r"[,;|\t=#>•·:.!?，、。]+")
 _LATIN = regex.compile(r"\p{Latin}")
 _NO_SPACE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 NAMES = (
@@ -49,20 +52,23 @@ NAMES = (
 def line_statistics(line: str) -> list[float]:
     """The statistics of one line, in the order of NAMES."""
     words = line.split()
-    n, chars = len(words), max(1, len(line))
-    letters, digits = len(_LETTER.findall(line)), len(_DIGIT.findall(line))
-    latin = len(_LATIN.findall(line))
-    bare = [w.strip(".,;:!?()[]\"'«»„“”…*").lower() for w in words]
+    n, chars, plain = len(words), max(1, len(line)), line.isascii()
+    letters, digits, spaces = sum(map(str.isalpha, line)), sum(map(str.isnumeric, line)), sum(map(str.isspace, line))
+    latin = letters if plain else len(_LATIN.findall(line))
+    bare = [w.strip(".,;:!?()[]\"'«»„“”…*") for w in line.lower().split()]
     counts = Counter(bare)
-    running = max(n, len(_NO_SPACE.findall(line)) / 2)  # scripts without spaces
+    running = n if plain else max(n, len(_NO_SPACE.findall(line)) / 2)  # scripts without spaces
+    top = max(counts.values(), default=0)
+    vowels = sum(map(line.count, "aeiouyAEIOUY")) if plain else len(_VOWEL.findall(line))
+    m = max(1, n)
     return [
-        np.log1p(running), sum(map(len, words)) / max(1, n), letters / chars, digits / chars, sum(not c.isalnum() and not c.isspace() for c in line) / chars,
-        float(line.rstrip().endswith(_SENTENCE_END)), float(bool(_BULLET.match(line))), line.count(",") / max(1, n), sum(map(line.count, "|;\t=")) / max(1, n),
-        sum(bool(_UPPER.match(w)) for w in words) / max(1, n), sum(w in COMMON for w in bare) / max(1, n), len(counts) / max(1, n) if n >= 8 else 1.0,
-        len(_VOWEL.findall(line)) / max(1, latin) if latin >= 0.5 * letters else 0.4, 1 - latin / max(1, letters), len(_BROKEN.findall(line)) / chars, len(_TAG.findall(line)) / max(1, n),
-        np.log1p(max(map(len, words), default=0)), len(_GAPS.findall(line)) / max(1, n), len(_STOPS.findall(line)) / max(1, running), sum(any(c.isdigit() for c in w) for w in words) / max(1, n),
-        max(counts.values(), default=0) / max(1, n) if n >= 8 else 0.1, sum(bool(_LOWER.match(w)) for w in words) / max(1, n),
-        np.log1p(running / max(1, sum(bool(x.strip()) for x in _SEGMENT.split(line)))), sum(w in COMMON for w in words) / max(1, n),
+        np.log1p(running), sum(map(len, words)) / m, letters / chars, digits / chars, (len(line) - letters - digits - spaces) / chars,
+        float(line.rstrip().endswith(_SENTENCE_END)), float(bool(_BULLET.match(line))), line.count(",") / m, sum(map(line.count, "|;\t=")) / m,
+        sum(w[0].isupper() for w in words) / m, sum(w in COMMON for w in bare) / m, len(counts) / m if n >= 8 else 1.0,
+        vowels / max(1, latin) if latin >= 0.5 * letters else 0.4, 1 - latin / max(1, letters), 0.0 if plain else len(_BROKEN.findall(line)) / chars, len(_TAG.findall(line)) / m if "<" in line else 0.0,
+        np.log1p(max(map(len, words), default=0)), len(_GAPS.findall(line)) / m if "  " in line or "\t" in line else 0.0, len(_STOPS.findall(line)) / max(1, running), len(_NUMBERED.findall(line)) / m,
+        top / m if n >= 8 else 0.1, len(_LOWER.findall(line)) / m,
+        np.log1p(running / max(1, sum(not x.isspace() and x != "" for x in _SEGMENT.split(line)))), sum(w in COMMON for w in words) / m,
     ]
 
 
@@ -84,15 +90,15 @@ class LineModel:
 
     def _softmax(self, z: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
         """Weighted softmax regression by Nesterov's gradient steps."""
-        wn = (w / w.sum())[:, None]
-        at = self.weights if hasattr(self, "weights") else np.zeros((z.shape[1], len(KINDS)))
+        wn, y = (w / w.sum())[:, None].astype(np.float32), y.astype(np.float32)  # all in single precision, as z is
+        at = self.weights if hasattr(self, "weights") else np.zeros((z.shape[1], len(KINDS)), np.float32)
         ahead = at.copy()
         for k in range(self.steps):
             s = z @ ahead
             p = np.exp(s - s.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            new = ahead - 2.0 * (z.T @ (wn * (p - y)) + self.ridge * ahead)
-            ahead, at = new + k / (k + 3) * (new - at), new
+            new = ahead - np.float32(2) * (z.T @ (wn * (p - y)) + np.float32(self.ridge) * ahead)
+            ahead, at = new + np.float32(k / (k + 3)) * (new - at), new
         self.weights = at
 
     def fit(self, docs: list[tuple[np.ndarray, int]]) -> LineModel:
@@ -127,7 +133,7 @@ class LineModel:
 
     def posteriors(self, x: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
         """Share of each kind for each line, by the forward-backward recursion."""
-        s = (self._encode(x) if z is None else z) @ self.weights
+        s = ((self._encode(x) if z is None else z) @ self.weights).astype(np.float64)
         p = np.exp(s - s.max(1, keepdims=True))
         emit = np.maximum(p / p.sum(1, keepdims=True), 1e-6) / self.prior
         forward, backward = np.empty_like(emit), np.ones_like(emit)
@@ -176,7 +182,8 @@ def fit_model(documents: DataFrame, labels: DataFrame, bound: int = 2_000) -> Li
 def document_quality(documents: DataFrame, model: LineModel) -> DataFrame:
     """Per document: words, mean_word_length, symbol_share, punctuated_lines, common_words, and the share of each kind.
 
-    Null and blank texts have 0 words and null elsewhere. Each text is read whole; no shuffle.
+    Null and blank texts have 0 words and null elsewhere. Each text is read whole; no shuffle but that of
+    ``spread``.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     blob = pickle.dumps(model)
@@ -200,4 +207,4 @@ def document_quality(documents: DataFrame, model: LineModel) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     doubles = ", ".join(f"{c} double" for c in columns[2:])
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, words long, {doubles}")
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, words long, {doubles}")
