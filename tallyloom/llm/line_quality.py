@@ -11,6 +11,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,8 @@ _BROKEN = regex.compile(r"[ÃÂâ�\u0080-\u009f]")
 _GAPS = regex.compile(r"\S {2,}\S|\t")
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _VOWEL = regex.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüåæøãõ]", regex.I)
-_NUMBERED = regex.compile(r"\S*\d\S*")
-_LOWER, _SEGMENT = regex.compile(r"(?<!\S)[\"'«„“(¿¡]?[\p{Ll}\p{Lo}]"), regex.compile(r"[,;|\t=#>•·:.!?，、。]+")
+_ASCII_LETTERS, _DIGIT, _EDGES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", regex.compile(r"\d"), ".,;:!?()[]\"'«»„“”…*"
+_SEGMENT = regex.compile(r"[,;|\t=#>•·:.!?，、。]+")
 _LATIN = regex.compile(r"\p{Latin}")
 _NO_SPACE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 NAMES = (
@@ -53,22 +54,31 @@ def line_statistics(line: str) -> list[float]:
     """The statistics of one line, in the order of NAMES."""
     words = line.split()
     n, chars, plain = len(words), max(1, len(line)), line.isascii()
-    letters, digits, spaces = sum(map(str.isalpha, line)), sum(map(str.isnumeric, line)), sum(map(str.isspace, line))
-    latin = letters if plain else len(_LATIN.findall(line))
-    bare = [w.strip(".,;:!?()[]\"'«»„“”…*") for w in line.lower().split()]
+    if plain:  # counts by deleting bytes
+        raw = line.encode()
+        letters, digits, spaces, vowels = (len(raw) - len(raw.translate(None, x)) for x in (_ASCII_LETTERS, b"0123456789", b" \t\x0b\x0c", b"aeiouyAEIOUY"))
+        latin, running, broken = letters, n, 0
+    else:
+        letters, digits, spaces = sum(map(str.isalpha, line)), sum(map(str.isnumeric, line)), sum(map(str.isspace, line))
+        latin, vowels, broken = len(_LATIN.findall(line)), len(_VOWEL.findall(line)), len(_BROKEN.findall(line))
+        running = max(n, len(_NO_SPACE.findall(line)) / 2)  # scripts without spaces
+    cut = [w.strip(_EDGES) for w in words]
+    bare = [w.lower() for w in cut]
     counts = Counter(bare)
-    running = n if plain else max(n, len(_NO_SPACE.findall(line)) / 2)  # scripts without spaces
+    sizes = list(map(len, words))
     top = max(counts.values(), default=0)
-    vowels = sum(map(line.count, "aeiouyAEIOUY")) if plain else len(_VOWEL.findall(line))
+    firsts = [w[0] for w in cut if w]
+    upper = sum(map(str.isupper, firsts))
     m = max(1, n)
     return [
-        np.log1p(running), sum(map(len, words)) / m, letters / chars, digits / chars, (len(line) - letters - digits - spaces) / chars,
-        float(line.rstrip().endswith(_SENTENCE_END)), float(bool(_BULLET.match(line))), line.count(",") / m, sum(map(line.count, "|;\t=")) / m,
-        sum(w[0].isupper() for w in words) / m, sum(w in COMMON for w in bare) / m, len(counts) / m if n >= 8 else 1.0,
-        vowels / max(1, latin) if latin >= 0.5 * letters else 0.4, 1 - latin / max(1, letters), 0.0 if plain else len(_BROKEN.findall(line)) / chars, len(_TAG.findall(line)) / m if "<" in line else 0.0,
-        np.log1p(max(map(len, words), default=0)), len(_GAPS.findall(line)) / m if "  " in line or "\t" in line else 0.0, len(_STOPS.findall(line)) / max(1, running), len(_NUMBERED.findall(line)) / m,
-        top / m if n >= 8 else 0.1, len(_LOWER.findall(line)) / m,
-        np.log1p(running / max(1, sum(not x.isspace() and x != "" for x in _SEGMENT.split(line)))), sum(w in COMMON for w in words) / m,
+        log1p(running), sum(sizes) / m, letters / chars, digits / chars, (len(line) - letters - digits - spaces) / chars,
+        float(line.rstrip().endswith(_SENTENCE_END)), float(_BULLET.match(line) is not None), line.count(",") / m, (line.count("|") + line.count(";") + line.count("\t") + line.count("=")) / m,
+        upper / m, sum(map(COMMON.__contains__, bare)) / m, len(counts) / m if n >= 8 else 1.0,
+        vowels / max(1, latin) if latin >= 0.5 * letters else 0.4, 1 - latin / max(1, letters), broken / chars, len(_TAG.findall(line)) / m if "<" in line else 0.0,
+        log1p(max(sizes, default=0)), len(_GAPS.findall(line)) / m if "  " in line or "\t" in line else 0.0, len(_STOPS.findall(line)) / max(1, running),
+        sum(not w.isalpha() and _DIGIT.search(w) is not None for w in words) / m if digits else 0.0,
+        top / m if n >= 8 else 0.1, (sum(map(str.isalpha, firsts)) - upper) / m,
+        log1p(running / max(1, sum(not x.isspace() and x != "" for x in _SEGMENT.split(line)))), sum(map(COMMON.__contains__, words)) / m,
     ]
 
 
@@ -123,28 +133,47 @@ class LineModel:
             self.moves, self.first = moves / moves.sum(1, keepdims=True), first / first.sum()
             if r + 1 < self.rounds:  # the lines' own posteriors, held near the document's kind
                 new, at = [], 0
+                every = self.posteriors(x, np.array([len(d) for d, _ in docs]))
                 for d, k in docs:
-                    p = self.posteriors(d, z[at : at + len(d)])
+                    p = every[at : at + len(d)]
                     p = p * np.where(np.arange(len(KINDS)) == k, 1.0, 0.5 if len(d) > 1 else 0.02)
                     new.append(p / p.sum(1, keepdims=True))
                     at += len(d)
                 y = np.vstack(new)
         return self
 
-    def posteriors(self, x: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
-        """Share of each kind for each line, by the forward-backward recursion."""
-        s = ((self._encode(x) if z is None else z) @ self.weights).astype(np.float64)
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Scaled likelihood of each line under each kind, from the weights of its bins."""
+        s, at = np.tile(self.weights[-1].astype(np.float64), (len(x), 1)), 0
+        for j, e in enumerate(self.edges):
+            s += self.weights[at + np.searchsorted(e, x[:, j], side="left")]
+            at += len(e) + 1
         p = np.exp(s - s.max(1, keepdims=True))
-        emit = np.maximum(p / p.sum(1, keepdims=True), 1e-6) / self.prior
+        return np.maximum(p / p.sum(1, keepdims=True), 1e-6) / self.prior
+
+    def posteriors(self, x: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Share of each kind for each line, by the forward-backward recursion over each document.
+
+        ``x`` has the lines of all documents, ``sizes`` says how many each has (one document if not given). The documents
+        step together: step t is one product for all that have more than t lines.
+        """
+        emit = self.emissions(x)
+        sizes = np.array([len(x)]) if sizes is None else np.asarray(sizes)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        longest = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[longest], sizes[longest]
         forward, backward = np.empty_like(emit), np.ones_like(emit)
-        forward[0] = self.first * emit[0]
-        forward[0] /= forward[0].sum()
-        for t in range(1, len(emit)):
-            f = (forward[t - 1] @ self.moves) * emit[t]
-            forward[t] = f / f.sum()
-        for t in range(len(emit) - 2, -1, -1):
-            b = self.moves @ (emit[t + 1] * backward[t + 1])
-            backward[t] = b / b.sum()
+        last = None
+        for t in range(sizes[0] if len(sizes) else 0):
+            n = np.searchsorted(-sizes, -t, side="left")  # documents with more than t lines
+            f = (self.first if t == 0 else last[:n] @ self.moves) * emit[starts[:n] + t]
+            last = f / f.sum(1, keepdims=True)
+            forward[starts[:n] + t] = last
+        for t in range((sizes[0] if len(sizes) else 0) - 2, -1, -1):
+            n = np.searchsorted(-sizes, -(t + 1), side="left")
+            at = starts[:n] + t
+            b = (emit[at + 1] * backward[at + 1]) @ self.moves.T
+            backward[at] = b / b.sum(1, keepdims=True)
         g = forward * backward
         return g / g.sum(1, keepdims=True)
 
@@ -192,18 +221,22 @@ def document_quality(documents: DataFrame, model: LineModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = pickle.loads(blob)
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                lines = lines_of(text)
-                if not lines:
+            every = [lines_of(t) for t in b["text"]]
+            sizes = np.array([len(x) for x in every], int)
+            x = np.array([line_statistics(t) for lines in every for t in lines]).reshape(-1, len(NAMES))
+            p = m.posteriors(x, sizes[sizes > 0])
+            counts = np.array([len(t.split()) for lines in every for t in lines], float)
+            chars = np.array([len(t) for lines in every for t in lines], float)
+            w = np.maximum(np.expm1(x[:, 0]), 1.0)
+            rows, at = [], 0
+            for doc, n in zip(b["doc_id"], sizes):
+                if not n:
                     rows.append([doc, 0, *[None] * 8])
                     continue
-                x = np.array([line_statistics(t) for t in lines])
-                counts = np.array([len(t.split()) for t in lines], float)
-                w = np.maximum(np.expm1(x[:, 0]), 1.0)
-                shares = (w[:, None] * m.posteriors(x)).sum(0) / w.sum()
-                n = max(1.0, counts.sum())
-                rows.append([doc, int(counts.sum()), float((x[:, 1] * counts).sum() / n), float(np.average(x[:, 4], weights=[len(t) for t in lines])), float(x[:, 5].mean()), float((x[:, 10] * counts).sum() / n), *map(float, shares)])
+                own = slice(at, at + n)
+                at += n
+                c, k = counts[own], max(1.0, counts[own].sum())
+                rows.append([doc, int(c.sum()), float(x[own, 1] @ c / k), float(x[own, 4] @ chars[own] / chars[own].sum()), float(x[own, 5].mean()), float(x[own, 10] @ c / k), *map(float, w[own] @ p[own] / w[own].sum())])
             yield pd.DataFrame(rows, columns=columns)
 
     doubles = ", ".join(f"{c} double" for c in columns[2:])
