@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+
 #: The characters that separate values outside quotes.
 SEPARATORS = ",;|\t\n\r•，；、·¦"
 #: Whole cells that hold no value, in lower case.
@@ -126,7 +128,7 @@ def known_values(rows: DataFrame, text: str) -> DataFrame:
             yield pd.DataFrame({"value": sorted(seen)}, dtype="object")
 
     quoted = rows.where(F.col(text).contains('"')).select(text)
-    return quoted.mapInPandas(learn, "value string").distinct()
+    return written(quoted.mapInPandas(learn, "value string").distinct(), "known-values")
 
 
 def split_values(rows: DataFrame, text: str, block: int = 200_000) -> DataFrame:
@@ -138,8 +140,9 @@ def split_values(rows: DataFrame, text: str, block: int = 200_000) -> DataFrame:
     before the cover is picked.
     """
     keep = [c for c in rows.columns if c != text]
-    rows = rows.where(F.trim(F.lower(text)).isNotNull() & ~F.trim(F.lower(text)).isin(*NO_VALUE)).distinct()
-    values = known_values(rows, text)
+    rows = rows.where(F.trim(F.lower(text)).isNotNull() & ~F.trim(F.lower(text)).isin(*NO_VALUE))
+    values = known_values(rows, text)  # from the rows as they are: no exchange but that of the values
+    rows = rows.distinct()
     n = values.count()
     blocks = max(1, -(-n // block))
     if blocks == 1:

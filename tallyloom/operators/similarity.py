@@ -64,7 +64,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
 
 
 def _unit(vectors: list) -> np.ndarray:
-    x = np.asarray(vectors, np.float64).reshape(len(vectors), -1)
+    x = np.asarray(vectors, np.float64).reshape(len(vectors), len(vectors[0]) if vectors else 0)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def index_percentile(values: str, q: float, how: str) -> Column:
-    """A percentile of sorted values by index: ``floor`` takes index int(q*n), at most n-1; ``before`` takes max(0, int(n*q)-1)."""
-    s = F.sort_array(F.collect_list(values))
-    n = F.count(values)
-    at = F.least(F.floor(n * q), n - 1) if how == "floor" else F.greatest(F.floor(n * q) - 1, F.lit(0))
-    return F.try_element_at(s, (at + 1).cast("int"))
-
-
 def ranked_percentiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float], how: str = "before") -> DataFrame:
-    """Index percentiles per group by row number, without holding a group in memory. Nulls don't count."""
+    """Percentiles per group by the row number of sorted values, without holding a group in memory. Nulls don't count.
+
+    ``floor`` takes index int(q*n), at most n-1; ``before`` takes max(0, int(n*q)-1).
+    """
     own = W.partitionBy(*group)
     d = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(own.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
     pick = lambda q: F.least(F.floor(F.col("_n") * q), F.col("_n") - 1) if how == "floor" else F.greatest(F.floor(F.col("_n") * q) - 1, F.lit(0))
