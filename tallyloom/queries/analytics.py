@@ -325,14 +325,14 @@ def _(t):
 
 @add(
     "n11_remainder_allocation",
-    """WITH s AS (SELECT order_id, line_item_id, variant_id, x, sum(x) OVER (PARTITION BY order_id) AS t, row_number() OVER (PARTITION BY order_id ORDER BY line_item_id DESC, variant_id DESC) AS last FROM (SELECT *, CAST(floor(line_total * 10000 + 0.5::DOUBLE) AS BIGINT) AS x FROM lines)),
+    """WITH s AS (SELECT order_id, line_item_id, variant_id, x, sum(x) OVER (PARTITION BY order_id) AS t, row_number() OVER (PARTITION BY order_id ORDER BY line_item_id DESC, variant_id DESC, x DESC) AS last FROM (SELECT *, CAST(floor(line_total * 10000 + 0.5::DOUBLE) AS BIGINT) AS x FROM lines)),
 p AS (SELECT *, CASE WHEN last > 1 THEN CAST((20000 * x + t) // (2 * t) AS BIGINT) ELSE 0 END AS points FROM s)
 SELECT order_id, line_item_id, variant_id, CASE WHEN last = 1 THEN 10000 - CAST(sum(points) OVER (PARTITION BY order_id) AS BIGINT) ELSE points END AS points FROM p""",
 )
 def _(t):
     own = W.partitionBy("order_id")
     d = t.lines.select("order_id", "line_item_id", "variant_id", F.floor(F.col("line_total") * 10000 + 0.5).alias("x"))
-    d = d.withColumns({"t": F.sum("x").over(own), "last": F.row_number().over(own.orderBy(F.desc("line_item_id"), F.desc("variant_id")))})
+    d = d.withColumns({"t": F.sum("x").over(own), "last": F.row_number().over(own.orderBy(F.desc("line_item_id"), F.desc("variant_id"), F.desc("x")))})
     d = d.withColumn("points", F.when(F.col("last") > 1, F.expr("(20000 * x + t) div (2 * t)")).otherwise(0))
     return d.select("order_id", "line_item_id", "variant_id", F.when(F.col("last") == 1, 10000 - F.sum("points").over(own)).otherwise(F.col("points")).alias("points"))
 
