@@ -39,6 +39,12 @@ def pair_counts(items: DataFrame, least: int = 1) -> DataFrame:
     return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def both_ways(pairs: DataFrame, other: str, *values: str) -> DataFrame:
+    """Each pair from either side: item, ``other`` and the values; the pairs are made once."""
+    side = lambda x, y: F.struct(F.col(x).alias("item"), F.col(y).alias(other))
+    return pairs.select(F.explode(F.array(side("item_a", "item_b"), side("item_b", "item_a"))).alias("_p"), *values).select("_p.*", *values)
+
+
 def pair_measures(pairs: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
     """support, both confidences, their larger one and lift; ``total`` has one row with column total."""
     side = lambda x: counts.select(F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}"))

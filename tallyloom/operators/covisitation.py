@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .baskets import distinct_items, item_counts, pair_counts
+from ..plans.shared import written
+from .baskets import both_ways, distinct_items, item_counts, pair_counts
 
 
 def covisit_vectors(lines: DataFrame, item: str = "item", weighting: str = "lift", least: int = 1, min_lift: float = 0.0, neighbours: int = 50) -> DataFrame:
@@ -14,11 +15,11 @@ def covisit_vectors(lines: DataFrame, item: str = "item", weighting: str = "lift
 
     weighting: raw (count), lift, or pmi (log of lift, at least log 0.001). Ties are cut by the neighbour's name.
     """
-    own = distinct_items(lines, item=item)
+    own = written(distinct_items(lines, item=item), "visits")  # read for the items, the orders and the pairs
     counts = item_counts(own)
     total = own.agg(F.count_distinct("order_id").alias("total"))
     pairs = pair_counts(own, least)
-    both = pairs.select(F.col("item_a").alias("item"), F.col("item_b").alias("neighbour"), "n").unionByName(pairs.select(F.col("item_b").alias("item"), F.col("item_a").alias("neighbour"), "n"))
+    both = both_ways(pairs, "neighbour", "n")
     joined = both.join(counts, "item").join(counts.select(F.col("item").alias("neighbour"), F.col("n_item").alias("n_other")), "neighbour").join(F.broadcast(total))  # one row
     lift = F.col("n") * F.col("total") / (F.col("n_item") * F.col("n_other"))
     weight = {"raw": F.col("n").cast("double"), "lift": lift, "pmi": F.log(F.greatest(lift, F.lit(0.001)))}[weighting]
@@ -29,7 +30,12 @@ def covisit_vectors(lines: DataFrame, item: str = "item", weighting: str = "lift
 
 
 def cosine_pairs(vectors: DataFrame) -> DataFrame:
-    """item_a < item_b and the cosine of their vectors, through the neighbours that they share."""
+    """item_a < item_b and the cosine of their vectors, through the neighbours that they share.
+
+    The vectors are cut to their strongest neighbours, so an item is in few lists; they are written once, as both sides
+    of the join read them.
+    """
+    vectors = written(vectors, "vectors")
     x = vectors.select(F.col("item").alias("item_a"), "neighbour", F.col("weight").alias("wa"))
     y = vectors.select(F.col("item").alias("item_b"), "neighbour", F.col("weight").alias("wb"))
     return x.join(y, "neighbour").where(F.col("item_a") < F.col("item_b")).groupBy("item_a", "item_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
@@ -38,7 +44,7 @@ def cosine_pairs(vectors: DataFrame) -> DataFrame:
 def complements(cosines: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
     """For each item its k most similar ones of at least ``least``: item, other, cosine, rank."""
     c = cosines.where(F.col("cosine") >= least)
-    both = c.select(F.col("item_a").alias("item"), F.col("item_b").alias("other"), "cosine").unionByName(c.select(F.col("item_b").alias("item"), F.col("item_a").alias("other"), "cosine"))
+    both = both_ways(c, "other", "cosine")
     return both.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.desc(F.round("cosine", 6)), "other"))).where(F.col("rank") <= k)
 
 

@@ -16,7 +16,7 @@ def frequent_sets(items: DataFrame, least: int, largest: int = 3) -> DataFrame:
     counted against the baskets through the rows of their first k items, never against all baskets. The sets of each
     level are written to the shared folder, as the next level and the rules read them again.
     """
-    many = items.join(baskets(items, 2).select("order_id"), "order_id", "left_semi")
+    many = items.join(items.groupBy("order_id").count().where("count >= 2"), "order_id", "left_semi")
     kept = written(frequent_only(many, least), "frequent-items")
     level = kept.select("order_id", F.array("item").alias("items"))
     out = None

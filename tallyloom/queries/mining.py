@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import baskets as B
 from ..operators import covisitation as C
 from ..operators import mining as M
+from ..plans.shared import written
 from ..sources.shop_frames import ShopFrames
 from .define import Book
 
@@ -25,8 +26,8 @@ def variant_items(t: ShopFrames) -> DataFrame:
 
 def many(t: ShopFrames) -> DataFrame:
     """Vendor items of orders with at least two."""
-    own = vendor_items(t)
-    return own.join(B.baskets(own).select("order_id"), "order_id", "left_semi")
+    own = written(vendor_items(t), "vendor-items")
+    return own.join(own.groupBy("order_id").count().where("count >= 2"), "order_id", "left_semi")
 
 
 def total(items: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ for _name, _weighting, _sql in (("raw", "raw", "CAST(n AS DOUBLE)"), ("lift", "l
 @add("n08_top_neighbours", _covis_sql("CAST(n AS DOUBLE)") + "SELECT item, neighbour, rk AS rank FROM r WHERE rk <= 3")
 def _(t):
     raw = B.pair_counts(vendor_items(t))
-    both = raw.select(F.col("item_a").alias("item"), F.col("item_b").alias("neighbour"), "n").unionByName(raw.select(F.col("item_b").alias("item"), F.col("item_a").alias("neighbour"), "n"))
+    both = B.both_ways(raw, "neighbour", "n")
     return B.top_per_group(both, ["item"], [F.desc("n"), "neighbour"], 3).select("item", "neighbour", F.col("rank").cast("long").alias("rank"))
 
 
@@ -260,7 +261,7 @@ p AS (SELECT p.item_a, p.item_b, p.n, a.n_item AS n_a, b.n_item AS n_b, total FR
 
 
 def _pair_facts(t):
-    own = vendor_items(t)
+    own = written(vendor_items(t), "vendor-items")
     return B.pair_measures(B.pair_counts(own), B.item_counts(own), total(own))
 
 

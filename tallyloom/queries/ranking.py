@@ -37,8 +37,7 @@ def _(t):
 
 @add("n10_top_partners", "WITH e AS (SELECT item_a AS item, item_b AS other, n FROM vpairs UNION ALL SELECT item_b, item_a, n FROM vpairs) SELECT item, other, n FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, other) AS r FROM e) WHERE r <= 2")
 def _(t):
-    p = vendor_pairs(t)
-    both = p.select(F.col("item_a").alias("item"), F.col("item_b").alias("other"), "n").unionByName(p.select(F.col("item_b").alias("item"), F.col("item_a").alias("other"), "n"))
+    both = B.both_ways(vendor_pairs(t), "other", "n")
     return B.top_per_group(both, ["item"], [F.desc("n"), F.col("other")], 2).select("item", "other", "n")
 
 
