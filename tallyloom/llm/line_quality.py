@@ -9,6 +9,7 @@ list. A document's shares are the forward-backward posteriors of its lines, weig
 from __future__ import annotations
 
 import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log1p
@@ -40,7 +41,8 @@ _BROKEN = regex.compile(r"[ÃÂâ�\u0080-\u009f]")
 _GAPS = regex.compile(r"\S {2,}\S|\t")
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _VOWEL = regex.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüåæøãõ]", regex.I)
-_ASCII_LETTERS, _DIGIT, _EDGES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", regex.compile(r"\d"), ".,;:!?()[]\"'«»„“”…*"
+_ASCII = regex.compile(r"[\x00-\x7f]+")
+_ASCII_LETTERS, _DIGIT, _EDGES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", re.compile(r"\d"), ".,;:!?()[]\"'«»„“”…*"
 _SEGMENT = regex.compile(r"[,;|\t=#>•·:.!?，、。]+")
 _LATIN = regex.compile(r"\p{Latin}")
 _NO_SPACE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
@@ -54,17 +56,17 @@ def line_statistics(line: str) -> list[float]:
     """The statistics of one line, in the order of NAMES."""
     words = line.split()
     n, chars, plain = len(words), max(1, len(line)), line.isascii()
-    if plain:  # counts by deleting bytes
-        raw = line.encode()
-        letters, digits, spaces, vowels = (len(raw) - len(raw.translate(None, x)) for x in (_ASCII_LETTERS, b"0123456789", b" \t\x0b\x0c", b"aeiouyAEIOUY"))
-        latin, running, broken = letters, n, 0
-    else:
-        letters, digits, spaces = sum(map(str.isalpha, line)), sum(map(str.isnumeric, line)), sum(map(str.isspace, line))
-        latin, vowels, broken = len(_LATIN.findall(line)), len(_VOWEL.findall(line)), len(_BROKEN.findall(line))
-        running = max(n, len(_NO_SPACE.findall(line)) / 2)  # scripts without spaces
-    cut = [w.strip(_EDGES) for w in words]
+    raw = line.encode("ascii", "ignore")  # counted by deleting bytes
+    letters, digits, spaces, vowels = (len(raw) - len(raw.translate(None, x)) for x in (_ASCII_LETTERS, b"0123456789", b" \t\x0b\x0c", b"aeiouyAEIOUY"))
+    latin, running, broken = letters, n, 0
+    if not plain:  # the other characters one by one
+        rest = _ASCII.sub("", line)
+        letters, digits, spaces = letters + sum(map(str.isalpha, rest)), digits + sum(map(str.isnumeric, rest)), spaces + sum(map(str.isspace, rest))
+        latin, vowels, broken = latin + len(_LATIN.findall(rest)), vowels + len(_VOWEL.findall(rest)), len(_BROKEN.findall(rest))
+        running = max(n, len(_NO_SPACE.findall(rest)) / 2)  # scripts without spaces
+    cut = [w if w.isalnum() else w.strip(_EDGES) for w in words]
     bare = [w.lower() for w in cut]
-    counts = Counter(bare)
+    counts = Counter(bare) if n >= 8 else {}
     sizes = list(map(len, words))
     top = max(counts.values(), default=0)
     firsts = [w[0] for w in cut if w]
@@ -76,7 +78,7 @@ def line_statistics(line: str) -> list[float]:
         upper / m, sum(map(COMMON.__contains__, bare)) / m, len(counts) / m if n >= 8 else 1.0,
         vowels / max(1, latin) if latin >= 0.5 * letters else 0.4, 1 - latin / max(1, letters), broken / chars, len(_TAG.findall(line)) / m if "<" in line else 0.0,
         log1p(max(sizes, default=0)), len(_GAPS.findall(line)) / m if "  " in line or "\t" in line else 0.0, len(_STOPS.findall(line)) / max(1, running),
-        sum(not w.isalpha() and _DIGIT.search(w) is not None for w in words) / m if digits else 0.0,
+        sum(_DIGIT.search(w) is not None for w in words if not w.isalpha()) / m if digits else 0.0,
         top / m if n >= 8 else 0.1, (sum(map(str.isalpha, firsts)) - upper) / m,
         log1p(running / max(1, sum(not x.isspace() and x != "" for x in _SEGMENT.split(line)))), sum(map(COMMON.__contains__, words)) / m,
     ]
