@@ -83,18 +83,35 @@ def set_similarity(members: DataFrame, group: str, vector: str = "embedding") ->
 
 
 def nearest_in_block(df: DataFrame, block: list[str], key: str, value: str, k: int) -> DataFrame:
-    """For each row the k rows of its block whose value is nearest: a, b, gap.
+    """For each row the k rows of its block whose value is nearest: a, b, gap; exact, and equal gaps are ranked by key.
 
-    The block is sorted by (value, key) once; a row's k nearest are among its 2k neighbours on either side, so no pair of
-    the rest is made. Equal gaps are ranked by key; where more than 2k rows share a value, those next to the row count.
+    Gaps are rounded to 4 places; where a row or its partner has no value the gap is null and comes last. Rows without a
+    block have no partners. Rows with the same value differ by key only, so each value keeps its k + 1 lowest keys. The k
+    nearest lie within k distinct values on either side, or tie with the last of them by rounding, thus are within 1e-4
+    of it. What is found for a value holds for all its rows; no pair of rows is made. Only values that lie closer
+    than the rounding make longer lists.
     """
-    w = W.partitionBy(*block).orderBy(value, key)
-    d = df.select(*block, key, value)
-    around = F.collect_list(F.struct(F.col(key).alias("b"), F.col(value).alias("v"))).over(w.rowsBetween(-2 * k, 2 * k))
-    pairs = d.withColumn("_x", around).select(F.col(key).alias("a"), F.col(value).alias("va"), F.explode("_x").alias("x")).where(F.col("x.b") != F.col("a"))
-    gap = F.round(F.abs(F.col("va") - F.col("x.v")), 4)
-    first = W.partitionBy("a").orderBy("gap", "b")
-    return pairs.select("a", F.col("x.b").alias("b"), gap.alias("gap")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
+    d = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(block)], F.col(key).alias("b"), F.col(value).cast("double").alias("v")).dropna(subset=[f"_g{i}" for i in range(len(block))])
+    g = [f"_g{i}" for i in range(len(block))]
+    low = F.row_number().over(W.partitionBy(*g).orderBy("b")) <= k + 1
+    few = d.withColumn("_r", F.row_number().over(W.partitionBy(*g, "v").orderBy("b"))).where(F.col("_r") <= k + 1).withColumn("_low", low)
+    of = few.groupBy(*g, "v").agg(F.collect_list(F.struct("b", "v")).alias("m"), F.collect_list(F.when(F.col("_low"), F.struct("b", "v"))).alias("_low"))
+    w, whole = W.partitionBy(*g).orderBy("v"), W.partitionBy(*g)
+    close = F.expr(f"flatten(collect_list(m) OVER (PARTITION BY {', '.join(g)} ORDER BY v RANGE BETWEEN 2e-4D PRECEDING AND 2e-4D FOLLOWING))")
+    around = F.flatten(F.collect_list("m").over(w.rowsBetween(-k, k)))
+    none = F.flatten(F.collect_list(F.when(F.col("v").isNull(), F.col("m"))).over(whole))
+    first = F.flatten(F.collect_list(F.when(F.size("_low") > 0, F.col("_low"))).over(whole))
+    edge = lambda f: F.coalesce(f("_close", k).over(w), F.array().cast(of.schema["m"].dataType))
+    near = F.when(F.col("v").isNull(), F.col("_first")).otherwise(F.concat("_around", edge(F.lag), edge(F.lead), "_none"))
+    gap = lambda x: F.round(F.abs(F.col("v") - x["v"]), 4)
+    ranked = F.array_sort(F.array_distinct(F.transform("_near", lambda x: F.struct(gap(x).isNull().alias("n"), gap(x).alias("gap"), x["b"].alias("b")))))
+    lists = of.withColumns({"_around": around, "_close": close, "_none": none, "_first": first}).withColumn("_near", near).select(*g, "v", F.slice(ranked, 1, k + 1).alias("x"))
+    own = lists.select(*[F.col(c).alias(f"{c}_") for c in g], F.col("v").alias("v_"), "x")
+    same = F.col("v").eqNullSafe(F.col("v_"))
+    for c in g:
+        same = same & (F.col(c) == F.col(f"{c}_"))
+    best = F.slice(F.filter("x", lambda x: x["b"] != F.col("b")), 1, k)
+    return d.join(own, same).select(F.col("b").alias("a"), F.explode(best).alias("x")).select("a", "x.b", "x.gap")
 
 
 def near_duplicate_sets(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import relational as R
@@ -82,6 +84,18 @@ def test_similarity(spark):
     assert abs(mean[1] - 1 / 3) < 1e-9
 
 
+def test_nearest_in_block_with_shared_close_and_missing_values(spark):
+    """By brute force; more than 2k rows share a value, or differ by less than the rounding of the gap."""
+    r = random.Random(3)
+    prices = [lambda: r.randint(0, 4) / 100, lambda: 1 + r.randint(0, 500) / 1e6, lambda: r.choice([None, None, 0.25, 0.75])]
+    data = [(r.choice(["x", "y", None]), key, prices[key % 3]()) for key in r.sample(range(1000), 240)]
+    want = []
+    for g, a, v in data:
+        gaps = [(None if v is None or u is None else round(abs(v - u), 4), b) for h, b, u in data if g and g == h and a != b]
+        want += [(a, b) for _, b in sorted(gaps, key=lambda x: (x[0] is None, x[0] or 0, x[1]))[:3]]
+    assert rows(Z.nearest_in_block(spark.createDataFrame(data, "g string, k int, v double"), ["g"], "k", "v", 3), "a", "b") == sorted(want, key=repr)
+
+
 def test_near_duplicate_sets_lose_no_link(spark):
     import random
 
