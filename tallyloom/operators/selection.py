@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,34 +69,75 @@ def pareto_fronts(df: DataFrame, group: list[str], x: str, y: str, fronts: int)
     return out
 
 
+def front_numbers(df: DataFrame, group: list[str], x: str, y: str, most: int | None = None) -> DataFrame:
+    """The rows with their front of two objectives (both to be large), from 1; those beyond front ``most`` are left out.
+
+    The distinct points of a group are walked once by falling (x, y): a point's front is the first whose highest y so far is
+    lower. A task holds one number for each front, not the points. Rows without a group or an objective are on no front.
+    """
+    at = [*group, x, y]
+    points = df.select(*at).dropna().distinct().repartition(*group).sortWithinPartitions(*group, F.desc(x), F.desc(y))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tops = None, []
+        for d in batches:
+            fronts = []
+            for *g, v in zip(*[d[c] for c in [*group, y]]):
+                if g != now:
+                    now, tops = g, []
+                f = bisect_right(tops, -v)
+                if f < len(tops):
+                    tops[f] = -v
+                elif most is None or f < most:
+                    tops.append(-v)
+                fronts.append(f + 1)
+            d = d.assign(front=np.array(fronts, np.int32))
+            yield d if most is None else d[d["front"] <= most]
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in at)
+    return df.join(points.mapInPandas(walk, f"{kinds}, front int"), at).select(*df.columns, "front")
+
+
 def pareto_search(df: DataFrame, group: str, key: str, objectives: list[str], keep: int, seed: int, rounds: int = 30) -> DataFrame:
-    """Per group ``keep`` members that cover the front well, by a seeded search that swaps members at random.
+    """Per group ``keep`` members (all, if it has fewer), front after front; two objectives.
 
-    Only the rows of the first two fronts take part, so a group's rows in the task are few; two objectives.
+    Fronts that fit are taken whole. Of the first that doesn't, a seeded search that swaps members at random takes those
+    that best cover these fronts. No front beyond ``keep`` is needed, as each has a row; nor, at the same x, a row with
+    ``keep`` others before it by falling y and key: each of those is on an earlier front or is the same point.
     """
     x, y = objectives
-    few = pareto_fronts(df, [group], x, y, 2)
+    enough = F.row_number().over(W.partitionBy(group, x).orderBy(F.desc(y), key))
+    few = front_numbers(df.withColumn("_r", enough).where(F.col("_r") <= keep).drop("_r"), [group], x, y, keep)
 
     def search(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(key).reset_index(drop=True)
+        upto = d["front"].value_counts().sort_index().cumsum()
+        over = upto.index[upto > keep]
+        if len(over) == 0:
+            return d.sort_values(key)
+        d = d[d["front"] <= over[0]].sort_values(key).reset_index(drop=True)
         v = d[objectives].to_numpy(float)
         v = (v - v.min(0)) / np.maximum(v.max(0) - v.min(0), 1e-12)
         r = np.random.default_rng(seed)
-        k = min(keep, len(d))
+        sure, last = np.flatnonzero(d["front"] < over[0]), np.flatnonzero(d["front"] == over[0])
+        k = keep - len(sure)
+
+        def gaps(chosen: np.ndarray) -> np.ndarray:
+            least = np.full(len(v), np.inf)
+            for c in chosen:
+                least = np.minimum(least, np.linalg.norm(v - v[c], axis=1))
+            return least
+
+        base = gaps(sure)
 
         def worth(chosen: np.ndarray) -> float:
-            gaps = np.linalg.norm(v[:, None] - v[chosen][None], axis=2).min(1)
-            return float(gaps.sum())
+            return float(np.minimum(base, gaps(chosen)).sum())
 
-        best = r.choice(len(d), k, replace=False)
-        for _ in range(rounds):
+        best = r.choice(last, k, replace=False)
+        for _ in range(rounds if k else 0):
             new = best.copy()
-            free = np.setdiff1d(np.arange(len(d)), best)
-            if len(free) == 0:
-                break
-            new[r.integers(k)] = r.choice(free)
+            new[r.integers(k)] = r.choice(np.setdiff1d(last, best))
             if worth(new) < worth(best):
                 best = new
-        return d.loc[np.sort(best)]
+        return d.loc[np.sort(np.concatenate([sure, best]))]
 
     return few.groupBy(group).applyInPandas(search, few.schema)

@@ -72,6 +72,28 @@ def test_merge_matching_and_fronts(spark):
     assert rows(S.pareto_fronts(f, ["g"], "x", "y", 2), "k", "front") == [(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)]
 
 
+def test_pareto_search_fills_up_front_after_front(spark):
+    r = random.Random(5)
+    data = [("chain", i, float(i), float(i)) for i in range(9)] + [("few", 1, 1.0, 1.0), ("few", 2, 1.0, 1.0), ("few", 3, 0.0, 2.0)]
+    data += [("line", i, float(i % 10), 10.0 - i % 10) for i in range(30)] + [("cloud", i, float(r.randint(0, 12)), float(r.randint(0, 12))) for i in range(150)]
+    front, rest, n = {}, data, 0
+    while rest:
+        n += 1
+        on = [a for a in rest if not any(b[0] == a[0] and b[2] >= a[2] and b[3] >= a[3] and b[2:] != a[2:] for b in rest)]
+        front |= {a[:2]: n for a in on}
+        rest = [a for a in rest if a not in on]
+    d = spark.createDataFrame([*data, ("few", 9, None, 1.0)], "g string, k int, x double, y double")
+    assert rows(S.front_numbers(d, ["g"], "x", "y"), "g", "k", "front") == sorted(((*a, f) for a, f in front.items()), key=repr)
+    got = S.pareto_search(d, "g", "k", ["x", "y"], keep=6, seed=1)
+    assert got.columns == ["g", "k", "x", "y", "front"]
+    taken = rows(got, "g", "k", "front")
+    for g in ("chain", "few", "line", "cloud"):
+        own = [f for a, _, f in taken if a == g]
+        assert sorted(own) == sorted(f for (a, _), f in front.items() if a == g)[:6]
+    assert all(front[a, k] == f for a, k, f in taken) and len({(a, k) for a, k, _ in taken}) == len(taken)
+    assert taken == rows(S.pareto_search(d.repartition(3), "g", "k", ["x", "y"], keep=6, seed=1), "g", "k", "front")
+
+
 def test_similarity(spark):
     s = spark.createDataFrame([(1, ["a", "b", "b", None]), (2, ["b", "c"]), (3, []), (4, None)], "key int, words array<string>")
     assert rows(Z.jaccard_pairs(s)) == [(1, 2, 1 / 3)]
