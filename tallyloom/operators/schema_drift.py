@@ -134,12 +134,12 @@ def drift(files: DataFrame) -> DataFrame:
     renamed = written(renames(to_match, files), "renames")
     gone = pairs.select("file_id", F.explode("gone").alias("old_field")).join(renamed.select("file_id", "old_field"), ["file_id", "old_field"], "left_anti")
     come = pairs.select("file_id", F.explode("come").alias("new_field")).join(renamed.select("file_id", "new_field"), ["file_id", "new_field"], "left_anti")
-    # kept fields: runs of files in which a name stands; the last type in the run before this file
+    # kept fields stand in the file before too; the last type in any earlier file, also from before a gap
     f = s.select("file_id", "series_id", "place", F.inline("fields"))
     by_name = W.partitionBy("series_id", "name").orderBy("place")
-    runs = f.withColumn("run", F.col("place") - F.row_number().over(by_name))
-    in_run = W.partitionBy("series_id", "name", "run").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    kept = runs.withColumn("was", F.last("type", ignorenulls=True).over(in_run)).where(F.col("type") != F.col("was"))
+    was = F.last("type", ignorenulls=True).over(by_name.rowsBetween(W.unboundedPreceding, -1))
+    stood = F.lag("place").over(by_name) == F.col("place") - 1
+    kept = f.withColumns({"was": was, "stood": stood}).where(F.col("stood") & (F.col("type") != F.col("was")))
     typed = lambda c: F.explode(F.col(c))
     new = pairs.select("file_id", typed("fields").alias("x")).select("file_id", F.col("x.name").alias("new_field"), F.col("x.type").alias("now"))
     old = pairs.select("file_id", typed("old").alias("x")).select("file_id", F.col("x.name").alias("old_field"), F.col("x.type").alias("was"))

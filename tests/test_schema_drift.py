@@ -34,6 +34,14 @@ def test_changes(spark):
     )
 
 
+def test_kept_columns_are_compared_across_a_gap(spark):
+    d = files(spark, "sku,a\nx,1\n", "sku\nx\n", "sku,a\nx,\n", "sku,a\nx,word\n", "sku,a\nx,word\n")
+    assert rows(drift(d)) == [("f1", "removed", "a", ""), ("f2", "added", "", "a"), ("f3", "retyped", "a", "a")]
+    # the first file after the gap has the column as added only
+    d = files(spark, "sku,a\nx,1\n", "sku\nx\n", "sku,a\nx,word\n", "sku,a\nx,word\n")
+    assert rows(drift(d)) == [("f1", "removed", "a", ""), ("f2", "added", "", "a")]
+
+
 def test_all_empty_and_keyless_columns_are_no_renames(spark):
     assert rows(drift(files(spark, "sku,a\nx,\n", "sku,b\nx,\n"))) == [("f1", "added", "", "b"), ("f1", "removed", "a", "")]
     assert rows(drift(files(spark, "sku,a\nx,1\n", "sku,b\ny,1\n"))) == [("f1", "added", "", "b"), ("f1", "removed", "a", "")]
