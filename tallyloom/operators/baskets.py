@@ -45,6 +45,22 @@ def both_ways(pairs: DataFrame, other: str, *values: str) -> DataFrame:
     return pairs.select(F.explode(F.array(side("item_a", "item_b"), side("item_b", "item_a"))).alias("_p"), *values).select("_p.*", *values)
 
 
+def smoothed_pairs(items: DataFrame, least: float) -> DataFrame:
+    """item_a, item_b and score (n + 1) / (orders of item_a + 2) of all ordered pairs of two items that reach ``least``.
+
+    n is 0 for items that never meet; only those item_a whose orders are so few that this reaches ``least`` are paired
+    with all items.
+    """
+    counts = item_counts(items)
+    own = counts.select(F.col("item").alias("item_a"), "n_item")
+    score = lambda n: (n + 1) / (F.col("n_item") + 2)
+    rare = own.where(score(F.lit(0)) >= least).select("item_a")
+    never = rare.crossJoin(counts.select(F.col("item").alias("item_b"))).where(F.col("item_a") != F.col("item_b")).withColumn("n", F.lit(0).cast("long"))
+    met = both_ways(pair_counts(items), "item_b", "n").withColumnRenamed("item", "item_a")
+    n = met.unionByName(never).groupBy("item_a", "item_b").agg(F.max("n").alias("n"))
+    return n.join(own, "item_a").select("item_a", "item_b", score(F.col("n")).alias("score")).where(F.col("score") >= least)
+
+
 def pair_measures(pairs: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
     """support, both confidences, their larger one and lift; ``total`` has one row with column total."""
     side = lambda x: counts.select(F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}"))

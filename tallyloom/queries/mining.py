@@ -299,12 +299,8 @@ def _(t):
 SELECT a.item AS item_a, e.item_b, round((e.n + 1) / (a.n_item + 2.0::DOUBLE), 6) AS score FROM vitems a JOIN e ON e.item_a = a.item WHERE (e.n + 1) / (a.n_item + 2.0::DOUBLE) >= 0.005""",
 )
 def _(t):
-    """Pairs that never meet score 1/(n+2), below the cut-off for any item of 200 orders or more; no cross join is made."""
-    own = vendor_items(t)
-    p = B.pair_counts(own)
-    both = p.unionByName(p.select(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "n"))
-    score = (F.col("n") + 1) / (F.col("n_item") + 2)
-    return both.join(B.item_counts(own).withColumnRenamed("item", "item_a"), "item_a").where(score >= 0.005).select("item_a", "item_b", F.round(score, 6).alias("score"))
+    """With the pairs that never meet: they score 1/(n+2), enough for an item_a of fewer than 199 orders. The SQL leaves them out."""
+    return B.smoothed_pairs(vendor_items(t), 0.005).withColumn("score", F.round("score", 6))
 
 
 @add(

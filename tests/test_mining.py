@@ -25,6 +25,18 @@ def test_pairs_and_measures(spark):
     assert B.pair_counts(B.distinct_items(frame(spark, []))).count() == 0
 
 
+def test_smoothed_pairs_have_those_that_never_meet(spark):
+    orders = [["a", "b"], ["a", "c"], ["a"], ["d"], ["a", "b", "c"]]
+    d = spark.createDataFrame([(o, x) for o, items in enumerate(orders) for x in items], "order_id int, item string")
+    for least in (0.0, 0.2, 0.3):
+        want = []
+        for x in "abcd":
+            for y in "abcd":
+                score = (sum(x in o and y in o for o in orders) + 1) / (sum(x in o for o in orders) + 2)
+                want += [(x, y, score)] * (x != y and score >= least)
+        assert rows(B.smoothed_pairs(d, least)) == want
+
+
 def test_sequences_keep_repeats(spark):
     d = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (1, "x", 3), (2, "x", 1)], "order_id int, item string, at int")
     assert rows(B.purchase_sequences(d, "item", "at")) == [(1, ["y", "x", "x"])]
