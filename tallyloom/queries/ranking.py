@@ -124,6 +124,18 @@ def _(t):
     return d.where("front = 1").groupBy("product_type").agg(F.count("*").alias("n"))
 
 
+@add(
+    "r16_front_counts",
+    """SELECT product_type, front, CAST(sum(n) AS BIGINT) AS n FROM (WITH RECURSIVE p AS (SELECT product_type, price, available_total AS s, count(*) AS n FROM catalog GROUP BY 1, 2, 3),
+r AS (SELECT 1 AS front, * FROM p UNION ALL SELECT front + 1, product_type, price, s, n FROM (SELECT *, max(s) OVER (PARTITION BY product_type ORDER BY price DESC, s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM r) WHERE s <= above)
+SELECT product_type, price, s, max(front) AS front, any_value(n) AS n FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+)
+def _(t):
+    """Rows on each front, down to the last; r16_all_fronts counts the first one only."""
+    d = S.front_numbers(t.catalog.select("product_type", "price", "available_total"), ["product_type"], "price", "available_total")
+    return d.groupBy("product_type", "front").agg(F.count("*").alias("n"))
+
+
 @add("m05_sets_of_four", """WITH big AS (SELECT * FROM vb WHERE order_id IN (SELECT order_id FROM vbig)) SELECT x.item || '|' || y.item || '|' || z.item || '|' || u.item AS items, count(*) AS n FROM big x JOIN big y ON x.order_id = y.order_id AND x.item < y.item
 JOIN big z ON x.order_id = z.order_id AND y.item < z.item JOIN big u ON x.order_id = u.order_id AND z.item < u.item GROUP BY 1 HAVING count(*) >= 3""")
 def _(t):

@@ -1,5 +1,7 @@
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import relational as R
@@ -94,6 +96,17 @@ def test_pareto_search_fills_up_front_after_front(spark):
     assert taken == rows(S.pareto_search(d.repartition(3), "g", "k", ["x", "y"], keep=6, seed=1), "g", "k", "front")
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_front_counts_have_every_row_of_the_catalogue(spark):
+    from tallyloom.queries.ranking import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    n = rows(QUERIES["r16_front_counts"][0](spark, folder), "product_type", "front", "n")
+    assert sum(x for *_, x in n) == spark.read.parquet(f"{folder}/part.parquet").count()
+    assert [(g, x) for g, f, x in n if f == 1] == rows(QUERIES["r16_all_fronts"][0](spark, folder), "product_type", "n")
+    assert all((g, f - 1) in {y[:2] for y in n} for g, f, _ in n if f > 1)
+
+
 def test_similarity(spark):
     s = spark.createDataFrame([(1, ["a", "b", "b", None]), (2, ["b", "c"]), (3, []), (4, None)], "key int, words array<string>")
     assert rows(Z.jaccard_pairs(s)) == [(1, 2, 1 / 3)]
