@@ -71,15 +71,18 @@ def in_order(schemas: DataFrame, bucket_days: int = 32) -> DataFrame:
     """Each file with its number in its series and the file before it.
 
     A series that holds much of the data is cut into time buckets, which are numbered on their own; only one row per
-    bucket is then ordered across the series.
+    bucket is then ordered across the series. Files without a time come first in their series, by file_id; a file without
+    a series is the first of its own.
     """
-    s = schemas.withColumn("_bucket", F.floor(F.unix_seconds("exported_at") / (86400 * bucket_days)))
+    s = schemas.withColumn("_bucket", F.coalesce(F.floor(F.unix_seconds("exported_at") / (86400 * bucket_days)), F.lit(-(1 << 62))))
     own = W.partitionBy("series_id", "_bucket").orderBy("exported_at", "file_id")
     s = s.withColumn("_n", F.row_number().over(own)).withColumn("_before", F.lag("file_id").over(own))
     ends = s.groupBy("series_id", "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.max_by("file_id", F.struct("exported_at", "file_id")).alias("_last"))
     over = W.partitionBy("series_id").orderBy("_bucket")
     ends = ends.select("series_id", "_bucket", F.coalesce(F.sum("_c").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lag("_last").over(over).alias("_prior"))
-    return s.join(ends, ["series_id", "_bucket"]).select(*schemas.columns, (F.col("_base") + F.col("_n")).cast("long").alias("place"), F.coalesce("_before", "_prior").alias("before"))
+    within = F.col("series_id").isNotNull()
+    place = F.when(within, F.col("_base") + F.col("_n")).otherwise(1).cast("long").alias("place")
+    return s.join(ends, ["series_id", "_bucket"], "left").select(*schemas.columns, place, F.when(within, F.coalesce("_before", "_prior")).alias("before"))
 
 
 def renames(pairs: DataFrame, files: DataFrame) -> DataFrame:
@@ -118,7 +121,8 @@ def renames(pairs: DataFrame, files: DataFrame) -> DataFrame:
 def drift(files: DataFrame) -> DataFrame:
     """Each change of a file against the one before it in its series: file_id, change_kind, old_field, new_field.
 
-    Files without a header have no fields. Ties of exported_at are ordered by file_id. The key column takes part like any
+    Files without a header have no fields. Ties of exported_at are ordered by file_id; files without a time come first,
+    and those without a series have no file before them, thus no changes. The key column takes part like any
     other, except that it can't be renamed. Null bodies are files without fields.
     """
     s = written(in_order(file_schemas(files)), "schemas")

@@ -59,6 +59,14 @@ def test_order_over_time_buckets_equals_a_plain_one(spark):
     assert got == {f"f{i}": (i + 1, f"f{i - 1}" if i else None) for i in range(12)}
 
 
+def test_files_without_a_time_come_first_and_without_a_series_stand_alone(spark):
+    day = datetime(2024, 1, 1)
+    data = [("f1", "s", day, "sku,b\nx,1\n"), ("f3", "s", None, "sku,a\ny,1\n"), ("f2", "s", None, "sku\nx\n"), ("f4", None, day, "sku,a\nx,1\n"), ("f5", None, day, "sku,a\nx,word\n"), ("f6", None, None, "sku\nx\n")]
+    d = spark.createDataFrame([(*x, "") for x in data], COLUMNS)
+    assert rows(in_order(file_schemas(d)), "file_id", "place", "before") == [("f1", 3, "f3"), ("f2", 1, None), ("f3", 2, "f2"), ("f4", 1, None), ("f5", 1, None), ("f6", 1, None)]
+    assert rows(drift(d)) == [("f1", "added", "", "b"), ("f1", "removed", "a", ""), ("f3", "added", "", "a")]
+
+
 def test_unified_rows_have_one_branch(spark):
     d = unified(files(spark, 'sku,productId,ok\n"a,b",7,TRUE\n', "sku,Product-Id,ok\nq,x,\n"))
     assert rows(d, "file_id", "field", "tag", "v_integer", "v_boolean", "v_text")[:2] == [("f0", "ok", "boolean", None, True, None), ("f0", "product_id", "integer", 7, None, None)]
