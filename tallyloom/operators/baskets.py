@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.shared import once, written
+
+#: Baskets with more items than this are cut into chunks by a hash; each pair of chunks is a block of its own.
+CHUNK = 512
+
 
 def distinct_items(lines: DataFrame, order: str = "order_id", item: str = "item") -> DataFrame:
     """Each item of an order once; null orders and items are left out."""
@@ -26,17 +31,56 @@ def frequent_only(items: DataFrame, least: int) -> DataFrame:
     return items.join(item_counts(items).where(F.col("n_item") >= least).select("item"), "item", "left_semi")
 
 
+def large_baskets(items: DataFrame, basket: str) -> tuple[int, DataFrame | None]:
+    """How many baskets there are, and those of over CHUNK items with their ``_size`` (None if there are none)."""
+    sizes = items.groupBy(basket).agg(F.count(F.lit(1)).alias("_size"))
+    total, most = sizes.agg(F.count(F.lit(1)), F.max("_size")).first()
+    return total, written(sizes.where(F.col("_size") > CHUNK), "large-baskets") if (most or 0) > CHUNK else None
+
+
+def basket_blocks(items: DataFrame, basket: str, item: str, large: DataFrame | None) -> DataFrame:
+    """left and right: lists of items whose pairs, taken over all rows, are each basket's pairs once.
+
+    Where right is null the pairs are those inside left, else those between left and right. items: each item of a basket
+    once; large: from ``large_baskets`` (of these items or more). Any other basket is one row. A large one is never a row
+    as a whole: its items get a chunk by hash, about CHUNK in each; every item is sent once for each chunk that it is to
+    be paired with, and the blocks (basket, chunk, chunk) are gathered by all three into a fixed number of partitions,
+    which AQE can't join together for having few bytes.
+    """
+    small = items if large is None else items.join(large.select(basket), basket, "left_anti")
+    rows = small.groupBy(basket).agg(F.collect_list(item).alias("left"))
+    none = F.lit(None).cast(rows.schema["left"].dataType)
+    rows = rows.where(F.size("left") > 1).select("left", none.alias("right"))
+    if large is None:
+        return rows
+    chunks = F.ceil(F.col("_size") / CHUNK).cast("int")
+    own = items.join(large, basket).withColumn("_chunks", chunks).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int"))
+    sent = own.select(basket, item, "_own", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other"))
+    sent = sent.select(basket, item, F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), (F.col("_own") <= F.col("_other")).alias("_left"))
+    sent = sent.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), basket, "_a", "_b")
+    pick = lambda side: F.collect_list(F.when(F.col("_left") == side, F.col(item)))
+    blocks = sent.groupBy(basket, "_a", "_b").agg(pick(True).alias("left"), pick(False).alias("right"))
+    return rows.unionByName(blocks.select("left", F.when(F.col("_a") != F.col("_b"), F.col("right")).alias("right")))
+
+
+def basket_pairs(items: DataFrame, basket: str, item: str) -> DataFrame:
+    """item_a < item_b, one row for each basket that has both."""
+    own = basket_blocks(items, basket, item, large_baskets(items, basket)[1])
+    own = own.select(F.array_sort("left").alias("left"), "right")
+    left = own.select(F.posexplode("left").alias("_at", "x"), F.when(F.col("right").isNull(), F.col("left")).alias("_own"), "right")
+    rest = F.slice("_own", F.col("_at") + 2, F.greatest(F.size("_own") - F.col("_at") - 1, F.lit(0)))
+    pairs = left.select("x", F.explode(F.coalesce("right", rest)).alias("y"))
+    return pairs.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
+
+
 def pair_counts(items: DataFrame, least: int = 1) -> DataFrame:
     """item_a < item_b and in how many orders they stand together.
 
-    Items below ``least`` go first. The pairs of an order come from its sorted array, by one exchange on the order; the
+    Items below ``least`` go first. The pairs of an order come from blocks of its items, gathered by one exchange; the
     counts are combined before the second exchange.
     """
-    kept = frequent_only(items, least) if least > 1 else items
-    own = kept.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
-    left = own.select(F.posexplode("items").alias("at", "item_a"), "items")
-    pairs = left.select("item_a", F.explode(F.slice("items", F.col("at") + 2, F.greatest(F.size("items") - F.col("at") - 1, F.lit(0)))).alias("item_b"))
-    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    kept = once(frequent_only(items, least) if least > 1 else items, "pair-items")  # read for the sizes and for the pairs
+    return basket_pairs(kept, "order_id", "item").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def both_ways(pairs: DataFrame, other: str, *values: str) -> DataFrame:

@@ -23,16 +23,37 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallyloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
+    """Write the frame to the shared folder and read it back: cuts the lineage and survives the loss of executors.
+
+    The files stay as long as results may read them: until ``clear``.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.is_written = True
+    return out
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """The frame written, unless it is as it was read back."""
+    return df if getattr(df, "is_written", None) is True else written(df, name)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has written to the shared folder; frames that read it can't be used any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
