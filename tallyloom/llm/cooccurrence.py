@@ -1,6 +1,6 @@
 """Items that appear together, counted by an external sort of packed 64-bit pair codes.
 
-Items get dense 32-bit codes; a pair is one long, the smaller code above the larger. Each task turns baskets into pair
+Items get dense 31-bit codes; a pair is one long, the smaller code above the larger. Each task turns baskets into pair
 codes, sorts them and run-length-counts them (a sorted run); Spark's sorter spills and merges the runs by code, and a
 stream over each sorted partition adds up the counts of equal codes.
 """
@@ -14,11 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.baskets import basket_blocks, large_baskets
 from ..plans.codes import dense_codes
 from ..plans.shared import written
 
-#: Baskets with more items than this are cut into chunks, whose pairs of chunks are separate rows.
-CHUNK = 512
 #: Pair codes that a task holds before it sorts them into a run.
 RUN = 1 << 21
 
@@ -36,38 +35,42 @@ def _batch(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n.astype(np.int64), pa.int64())], ["pair", "n"])
 
 
-def _within(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Pair codes of all pairs inside each list; lists of one length are done at once."""
-    sizes, out = np.diff(offsets), []
+def _within(flat: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """Pair codes of all pairs inside each list, at most RUN or those of one list at a time; lists of one length are done
+    at once."""
+    sizes = np.diff(offsets)
     for k in np.unique(sizes):
         if k >= 2:
             at = offsets[:-1][sizes == k]
-            rows = flat[at[:, None] + np.arange(k)]
             i, j = np.triu_indices(k, 1)
             step = max(1, RUN // len(i))
-            for a in range(0, len(rows), step):
-                x, y = rows[a : a + step][:, i], rows[a : a + step][:, j]
-                out.append((np.minimum(x, y) << 32 | np.maximum(x, y)).ravel())
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+            for a in range(0, len(at), step):
+                rows = flat[at[a : a + step, None] + np.arange(k)]
+                x, y = rows[:, i], rows[:, j]
+                yield (np.minimum(x, y) << 32 | np.maximum(x, y)).ravel()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs of the pairs in ``left`` (where right is null) or between ``left`` and ``right``."""
-    held, size = [], 0
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Pair codes of the pairs inside ``left`` (where right is null) or between ``left`` and ``right``."""
     for b in batches:
         left, right = b.column("left"), b.column("right")
         inside = right.is_null().to_numpy(zero_copy_only=False)
         own = left.filter(pa.array(inside))
-        codes = [_within(own.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64))]
+        yield from _within(own.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64))
         for k in np.flatnonzero(~inside):
             x, y = (np.asarray(c[int(k)].values, np.int64) for c in (left, right))
-            codes.append((np.minimum(x[:, None], y) << 32 | np.maximum(x[:, None], y)).ravel())
-        for c in codes:
-            held.append(c)
-            size += len(c)
-            if size >= RUN:
-                yield _batch(*_runs(np.concatenate(held)))
-                held, size = [], 0
+            yield (np.minimum(x[:, None], y) << 32 | np.maximum(x[:, None], y)).ravel()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted runs: each leaves the task when it has RUN codes."""
+    held, size = [], 0
+    for c in _codes(batches):
+        held.append(c)
+        size += len(c)
+        if size >= RUN:
+            yield _batch(*_runs(np.concatenate(held)))
+            held, size = [], 0
     if size:
         yield _batch(*_runs(np.concatenate(held)))
 
@@ -88,27 +91,15 @@ def _merge(least: int):
     return merge
 
 
-def count_pairs(baskets: DataFrame, least: int = 1) -> DataFrame:
+def count_pairs(baskets: DataFrame, large: DataFrame | None, least: int = 1) -> DataFrame:
     """pair (packed codes) and n, for the pairs that stand in at least ``least`` baskets.
 
-    baskets: basket, code (below 2^31), each pair of them once. Baskets of over CHUNK items are spread: their items are
-    put into chunks by a hash, and each pair of chunks is a row of its own, so no task holds or pairs up a whole one.
+    baskets: basket, code (below 2^31, else the job fails), each pair of them once; large: the baskets that
+    ``large_baskets`` names. No task pairs up more than one block
+    (two chunks) of a large basket at a time.
     """
-    large = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK)
-    large = written(large, "large-baskets")
-    small = baskets.join(large.select("basket"), "basket", "left_anti").groupBy("basket").agg(F.collect_list("code").alias("left"))
-    none = F.lit(None).cast("array<long>")
-    rows = small.where(F.size("left") > 1).select("left", none.alias("right"))
-    if not large.isEmpty():
-        chunk = F.pmod(F.xxhash64("code"), F.ceil(F.col("size") / CHUNK))
-        chunks = written(baskets.join(large, "basket").groupBy("basket", chunk.alias("chunk")).agg(F.collect_list("code").alias("codes")), "chunks")
-        across = (
-            chunks.select("basket", F.col("chunk").alias("c1"), F.col("codes").alias("left"))
-            .join(chunks.select("basket", F.col("chunk").alias("c2"), F.col("codes").alias("right")), "basket")
-            .where(F.col("c1") < F.col("c2"))
-            .select("left", "right")
-        )
-        rows = rows.unionByName(chunks.select(F.col("codes").alias("left"), none.alias("right"))).unionByName(across)
+    code = F.when(F.col("code").between(0, (1 << 31) - 1), F.col("code")).otherwise(F.raise_error(F.lit("code beyond 31 bits")).cast("long"))
+    rows = basket_blocks(baskets.select("basket", code.alias("code")), "basket", "code", large)
     runs = rows.mapInArrow(_pairs, "pair long, n long")
     return runs.repartition(F.col("pair")).sortWithinPartitions("pair").mapInArrow(_merge(least), "pair long, n long")
 
@@ -133,11 +124,11 @@ def item_pairs(lines: DataFrame, least: int = 10, lift: float = 5.0, other_group
     """
     own = lines.where(F.col("basket").isNotNull() & F.col("item").isNotNull())
     baskets = written(own.select("basket", "item").distinct(), "baskets")
-    total = baskets.select("basket").distinct().count()
+    total, large = large_baskets(baskets, "basket")
     items = baskets.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")).where((F.col("n_item") >= least) & (F.col("n_item") * lift <= total))
     groups = own.where(F.col("grp").isNotNull()).select("item", "grp").distinct().groupBy("item").agg(F.collect_list("grp").alias("grps"))
     coded = written(dense_codes(items, "item").join(groups, "item", "left"), "items")
-    pairs = count_pairs(baskets.join(coded.select("item", "code"), "item").select("basket", "code"), least)
+    pairs = count_pairs(baskets.join(coded.select("item", "code"), "item").select("basket", "code"), large, least)
     side = lambda x: coded.select(F.col("code").alias(f"code_{x}"), F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}"), F.col("grps").alias(f"grps_{x}"))
     joined = (
         pairs.select(F.shiftright("pair", 32).alias("code_a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("code_b"), "n")

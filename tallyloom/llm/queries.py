@@ -26,6 +26,12 @@ def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("item_a", "item_b", "n", "n_a", "n_b", "baskets", F.round("lift", 6).alias("lift"), F.round("log_odds", 6).alias("log_odds"))
 
 
+def p5_all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of items that meet, with its counts and how far it is from chance."""
+    d = item_pairs(_lines(spark, folder), least=1, lift=0.0, other_group=False)
+    return d.select("item_a", "item_b", "n", "n_a", "n_b", "baskets", F.round("lift", 6).alias("lift"), F.round("log_odds", 6).alias("log_odds"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
@@ -65,24 +71,32 @@ def _number(c: str) -> str:
     return f"TRY_CAST(nullif(regexp_extract({gid}, '([0-9]+)\\s*$', 1), '') AS BIGINT)"
 
 
-_PAIRS_SQL = f"""
+_COUNTS_SQL = f"""
 WITH l AS (SELECT {_number('order_id')} AS basket, {_number('variantid')} AS item, {_number('productid')} AS grp FROM store_main_orders),
 b AS (SELECT DISTINCT basket, item FROM l WHERE basket IS NOT NULL AND item IS NOT NULL),
 t AS (SELECT count(DISTINCT basket) AS total FROM b),
 c AS (SELECT item, count(*) AS n FROM b GROUP BY item),
-p AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 10),
+every AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2)
+"""
+_PAIRS_SQL = (
+    _COUNTS_SQL
+    + """, p AS (SELECT * FROM every WHERE n >= 10),
 g AS (SELECT DISTINCT item, grp FROM l WHERE basket IS NOT NULL AND item IS NOT NULL AND grp IS NOT NULL),
 r AS (SELECT p.item_a, p.item_b, p.n, a.n AS n_a, d.n AS n_b, t.total
       FROM p JOIN c a ON a.item = p.item_a JOIN c d ON d.item = p.item_b CROSS JOIN t
       WHERE p.n * t.total >= 5 * a.n * d.n
         AND NOT EXISTS (SELECT 1 FROM g ga JOIN g gb ON ga.grp = gb.grp WHERE ga.item = p.item_a AND gb.item = p.item_b))
 """
+)
+_MEASURES_SQL = """round(n * total / (n_a * n_b * 1.0::DOUBLE), 6) AS lift,
+round(ln((n + 0.5::DOUBLE) * (total - n_a - n_b + n + 0.5::DOUBLE) / ((n_a - n + 0.5::DOUBLE) * (n_b - n + 0.5::DOUBLE))), 6) AS log_odds"""
 
 SQL = {
     "p5_found": _PAIRS_SQL + "SELECT item_a AS variant_a, item_b AS variant_b FROM r",
-    "p5_pairs": _PAIRS_SQL
-    + """SELECT item_a, item_b, n, n_a, n_b, total AS baskets, round(n * total / (n_a * n_b * 1.0::DOUBLE), 6) AS lift,
-round(ln((n + 0.5::DOUBLE) * (total - n_a - n_b + n + 0.5::DOUBLE) / ((n_a - n + 0.5::DOUBLE) * (n_b - n + 0.5::DOUBLE))), 6) AS log_odds FROM r""",
+    "p5_pairs": _PAIRS_SQL + f"SELECT item_a, item_b, n, n_a, n_b, total AS baskets, {_MEASURES_SQL} FROM r",
+    "p5_all_pairs": _COUNTS_SQL
+    + f""", r AS (SELECT item_a, item_b, every.n, a.n AS n_a, d.n AS n_b, total FROM every JOIN c a ON a.item = item_a JOIN c d ON d.item = item_b CROSS JOIN t)
+SELECT item_a, item_b, n, n_a, n_b, total AS baskets, {_MEASURES_SQL} FROM r""",
 }
 
-QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (p5_found, p5_pairs, p7_ids, p7_roundtrip, p8_found, p8_places, p9_found, p9_quality)}
+QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (p5_found, p5_pairs, p5_all_pairs, p7_ids, p7_roundtrip, p8_found, p8_places, p9_found, p9_quality)}

@@ -3,7 +3,10 @@ from collections import Counter
 from itertools import combinations
 from math import log
 
+import pytest
+
 from tallyloom.llm import cooccurrence as C
+from tallyloom.operators import baskets as B
 
 from ..conftest import rows
 
@@ -38,7 +41,7 @@ def test_against_brute_force(spark, monkeypatch):
     want = brute(lines, 10, 5)
     assert want
     assert set(rows(C.item_pairs(d), "item_a", "item_b", "n")) == want
-    monkeypatch.setattr(C, "CHUNK", 5)  # baskets of 25 items are spread over chunks
+    monkeypatch.setattr(B, "CHUNK", 5)  # baskets of 25 items are spread over chunks
     assert set(rows(C.item_pairs(d), "item_a", "item_b", "n")) == want
 
 
@@ -53,5 +56,31 @@ def test_empty_and_odds(spark):
 
 def test_pairs_are_counted_once_each(spark):
     d = spark.createDataFrame([(b, c) for b in range(4) for c in range(b + 1)], "basket long, code long")
-    got = {(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF): r["n"] for r in C.count_pairs(d).collect()}
+    got = {(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF): r["n"] for r in C.count_pairs(d, None).collect()}
     assert got == Counter(p for b in range(4) for p in combinations(range(b + 1), 2))
+
+
+def test_a_large_baskets_blocks_lie_on_several_tasks(spark):
+    n = 6000
+    d = spark.range(n).selectExpr("0L AS basket", "id AS code").unionByName(spark.range(4000).selectExpr("id + 1 AS basket", "id AS code"))
+    total, large = B.large_baskets(d, "basket")
+    assert total == 4001 and large.count() == 1
+    blocks = B.basket_blocks(d, "basket", "code", large)
+    sizes = blocks.selectExpr("size(left) AS l", "coalesce(size(right), 0) AS r", "spark_partition_id() AS task").collect()
+    assert len(sizes) == 12 * 13 // 2 and max(max(x["l"], x["r"]) for x in sizes) < 2 * B.CHUNK
+    assert len({x["task"] for x in sizes}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(x["l"] * x["r"] or x["l"] * (x["l"] - 1) // 2 for x in sizes) == n * (n - 1) // 2
+
+
+def test_runs_leave_when_they_are_full(monkeypatch):
+    monkeypatch.setattr(C, "RUN", 100)
+    import numpy as np
+
+    sizes = [len(x) for x in C._within(np.arange(4000), np.arange(0, 4001, 10))]
+    assert max(sizes) <= 100 and sum(sizes) == 400 * 45
+
+
+def test_codes_beyond_31_bits_fail(spark):
+    d = spark.createDataFrame([(1, 1), (1, 1 << 31)], "basket long, code long")
+    with pytest.raises(Exception, match="31 bits"):
+        C.count_pairs(d, None).collect()
