@@ -1,4 +1,9 @@
-"""Evaluation texts that leak into training text, found with one Aho-Corasick automaton."""
+"""Evaluation texts that leak into training text, found with one Aho-Corasick automaton over the items' words.
+
+Of ``words`` consecutive words of an item, one whole block of words // 2 always begins at a multiple of that number. So the
+automaton has these blocks only, as sequences of word numbers: about one state for each word of the items. A text is
+scanned once; where a block stands, the words on either side tell how far the item goes on.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.shared import spread
 
@@ -41,83 +47,96 @@ def _with_places(text: str) -> list[tuple[str, int, int]]:
     return [*out, (word, start, end)] if word else out
 
 
-def passages(items: list[tuple[int, str | None]], words: int) -> dict[str, list[int]]:
-    """Every run of ``words`` words of the items -> the items that have it."""
-    out: dict[str, list[int]] = {}
-    for item, text in items:
-        own = normalised(text or "").split()
-        for p in {" ".join(own[i : i + words]) for i in range(len(own) - words + 1)}:
-            out.setdefault(p, []).append(item)
-    return out
-
-
-def _automaton(found: dict[str, list[int]]):
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for p, owners in found.items():
-        a.add_word(f" {p} ", (p, tuple(owners)))
-    if found:
-        a.make_automaton()
-    return a
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, block: int = 5_000, places: bool = False) -> DataFrame:
+class Items:
+    """The automaton over items (id, text), and the search with it."""
+
+    def __init__(self, items: list[tuple[int, str | None]], words: int):
+        import ahocorasick
+
+        self.words, self.block = words, max(1, words // 2)
+        self.number: dict[str, int] = {}  # from 1; words of no item are 0
+        self.items = []
+        blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for item, text in items:
+            own = tuple(self.number.setdefault(w, len(self.number) + 1) for w in normalised(text or "").split())
+            if len(own) >= words:
+                for at in range(0, len(own) - self.block + 1, self.block):
+                    blocks.setdefault(own[at : at + self.block], []).append((len(self.items), at))
+                self.items.append((item, own))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for b, owners in blocks.items():
+            self.automaton.add_word(b, owners)
+        if blocks:
+            self.automaton.make_automaton()
+
+    def find(self, text: str | None, first_only: bool = False) -> dict[int, set[tuple[int, int]]]:
+        """item id -> (first word in the text, number of words) of its passages there; with ``first_only`` one passage each."""
+        out: dict[int, set[tuple[int, int]]] = {}
+        if not text or not self.items:
+            return out
+        there = tuple(self.number.get(w, 0) for w in normalised(text).split())
+        reached: dict[tuple[int, int], int] = {}  # (item, shift) -> first word after what has been compared
+        for end, owners in self.automaton.iter(there) if len(there) >= self.words else ():
+            start = end - self.block + 1
+            for k, at in owners:
+                item, own = self.items[k]
+                if first_only and item in out or reached.get((k, start - at), 0) > start:
+                    continue
+                a, b = start, end + 1
+                while a > 0 and a - start + at > 0 and there[a - 1] == own[a - 1 - start + at]:
+                    a -= 1
+                while b < len(there) and b - start + at < len(own) and there[b] == own[b - start + at]:
+                    b += 1
+                reached[k, start - at] = b
+                if b - a >= self.words:
+                    out.setdefault(item, set()).add((a, b - a))
+        return out
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, bound: int = 8_000_000, places: bool = False) -> DataFrame:
     """doc_id and item_id wherever ``words`` consecutive words of the item occur consecutively in the document.
 
     With ``places`` also first_char and last_char, the place in the original text of each maximal leaked passage.
     Items with fewer words, null and blank texts have no case; equal rows count once. Each text is scanned once, whole,
-    and by the task that reads it: no shuffle but the final distinct (and that of ``spread``). The items are sent to the tasks ``block`` at a
-    time; more items mean more scans (one for each block), never more memory.
+    and by the task that reads it: no shuffle but the final distinct (and that of ``spread``). The tasks get the items'
+    texts, whose size is measured first: up to ``bound`` characters (some 100 000 test questions, about 300 MB of
+    automaton) go at once. Beyond it the items are cut by a hash into parts of that size, with one scan for each part.
     """
     items = items.select("item_id", "item_text").where("item_text is not null").distinct()
-    n = items.count()
-    blocks = max(1, -(-n // block))
-    parts = [items] if blocks == 1 else items.randomSplit([1.0] * blocks, seed=7)
+    size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    parts = -(-size // bound) or 1
     kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id long" + ", first_char int, last_char int" * places
+    columns = ["doc_id", "item_id", "first_char", "last_char"][: 4 if places else 2]
     out = None
-    for part in parts:
-        found = passages([(r["item_id"], r["item_text"]) for r in part.collect()], words)
+    for part in range(parts):
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts)) == part)
+        texts = [(r["item_id"], r["item_text"]) for r in own.collect()]
 
-        def scan(batches: Iterator[pd.DataFrame], found: dict[str, list[int]] = found) -> Iterator[pd.DataFrame]:
-            automaton = _automaton(found)
+        def scan(batches: Iterator[pd.DataFrame], texts: list = texts) -> Iterator[pd.DataFrame]:
+            search = Items(texts, words)
             for b in batches:
-                rows = []
+                rows: list[tuple] = []
                 for doc, text in zip(b["doc_id"], b["text"]):
-                    if not text or not found:
-                        continue
-                    hits = [(end, p, owners) for end, (p, owners) in automaton.iter(normalised(text))]
-                    if hits and places:
-                        rows += [(doc, i, a, z) for i, a, z in _spans(text, hits, words)]
-                    elif hits:
-                        rows += [(doc, i) for i in {i for _, _, owners in hits for i in owners}]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_char", "last_char"][: 4 if places else 2])
-
-        schema = f"doc_id {kind}, item_id long" + ", first_char int, last_char int" * places
+                    found = search.find(text, not places)
+                    if found and places:
+                        rows += [(doc, i, a, z) for i, a, z in _spans(text, found, words)]
+                    else:
+                        rows += [(doc, i) for i in found]
+                yield pd.DataFrame(rows, columns=columns)
+
         one = spread(documents.select("doc_id", "text")).mapInPandas(scan, schema)
         out = one if out is None else out.unionByName(one)
     return out.distinct()
 
 
-def _spans(text: str, hits: list, words: int) -> Iterator[tuple[int, int, int]]:
+def _spans(text: str, found: dict[int, set[tuple[int, int]]], words: int) -> Iterator[tuple[int, int, int]]:
     """Maximal passages as (item, first character, last character) of the original."""
     at = _with_places(text)
-    flat = f" {' '.join(w for w, _, _ in at)} "
-    index, p = {}, 0
-    for k, (w, _, _) in enumerate(at):
-        index[p] = k
-        p += len(w) + 1
-    starts: dict[int, list[int]] = {}
-    for _, phrase, owners in hits:
-        q = flat.find(f" {phrase} ")
-        while q >= 0:
-            for i in owners:
-                starts.setdefault(i, []).append(index[q])
-            q = flat.find(f" {phrase} ", q + 1)
-    for item, ks in starts.items():
-        ks = sorted(set(ks))
-        first = ks[0]
-        for a, b in zip(ks, [*ks[1:], None]):
+    for item, passages in found.items():
+        starts = sorted({k for a, n in passages for k in range(a, a + n - words + 1)})
+        first = starts[0]
+        for a, b in zip(starts, [*starts[1:], None]):
             if b != a + 1:
                 yield item, at[first][1], at[a + words - 1][2] - 1
                 first = b

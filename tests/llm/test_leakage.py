@@ -21,7 +21,7 @@ def test_leaks(spark):
     items = spark.createDataFrame([(70, ITEM), (70, ITEM), (71, "too short for a case"), (72, None), (73, ITEM + " too")], "item_id long, item_text string")
     want = sorted([(i, j) for i in (1, 5, 6, 9, 10) for j in (70, 73)], key=repr)
     assert rows(L.find_leaks(d, items)) == want
-    assert rows(L.find_leaks(d, items, block=1)) == want
+    assert rows(L.find_leaks(d, items, bound=150)) == want
     assert L.find_leaks(d, items.limit(0)).count() == 0 and L.find_leaks(d.limit(0), items).count() == 0
 
 
@@ -31,3 +31,33 @@ def test_places_are_of_the_original_text(spark):
     items = spark.createDataFrame([(7, ITEM)], "item_id long, item_text string")
     ((_, _, a, b),) = rows(L.find_leaks(d, items, places=True), "doc_id", "item_id", "first_char", "last_char")
     assert text[a : b + 1].startswith("A pilot") and text[a : b + 1].endswith("cork boards")
+
+
+def test_against_brute_force_with_repeats():
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        words = r.choice([1, 2, 3, 5, 12])
+        items = [(i, " ".join(r.choices("ab", k=r.randint(0, 3 * words)))) for i in range(4)]
+        text = " ".join(r.choices("abz", weights=[5, 5, 1], k=80))
+        there = text.split()
+        windows = {tuple(there[a : a + words]): 1 for a in range(len(there) - words + 1)}
+        want = {i for i, t in items if any(tuple(t.split()[a : a + words]) in windows for a in range(len(t.split()) - words + 1))}
+        s = L.Items(items, words)
+        assert set(s.find(text)) == set(s.find(text, True)) == want
+        for i, passages in s.find(text).items():
+            starts = {k for a, n in passages for k in range(a, a + n - words + 1)}
+            own = dict(items)[i].split()
+            runs = {tuple(own[a : a + words]) for a in range(len(own) - words + 1)}
+            assert starts == {a for a in range(len(there) - words + 1) if tuple(there[a : a + words]) in runs}
+
+
+def test_many_items_are_one_scan(spark):
+    """20 000 items: the plan reads the documents once."""
+    items = spark.range(20_000).selectExpr("id AS item_id", "concat('question ', id, ' asks about ', id * 7, ' things that were seen in the year ', id % 2000, ' by ', id, ' people') AS item_text")
+    text = "x " + items.where("item_id = 17").first()["item_text"] + " y"
+    d = spark.createDataFrame([(1, text), (2, text.replace("people", "persons")), (3, "things that were seen in the year")], "doc_id long, text string")
+    found = L.find_leaks(d, items)
+    assert rows(found) == [(1, 17), (2, 17)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
