@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -105,6 +105,19 @@ def smoothed_pairs(items: DataFrame, least: float) -> DataFrame:
     return n.join(own, "item_a").select("item_a", "item_b", score(F.col("n")).alias("score")).where(F.col("score") >= least)
 
 
+def relaxed_rules(measured: DataFrame, share: float = 0.015, fewest: int = 3, confidence: float = 0.2) -> DataFrame:
+    """Pairs of ``pair_measures`` that stand in ``share`` of all orders (in ``fewest`` at least) and whose larger
+    confidence reaches ``confidence``."""
+    orders = F.round(F.col("n") / F.col("support"))
+    return measured.where((F.col("n") >= F.greatest(F.lit(fewest), F.ceil(share * orders))) & (F.col("confidence") >= confidence))
+
+
+def bayesian_score(n: Column, n_a: Column, items: Column, prior: float = 1.0, penalty: float = 0.3) -> Column:
+    """How likely the other item is beside item a, smoothed over all items, less a penalty for orders of a without it; 0 to 1."""
+    score = (n + prior) / (n_a + items) - F.when(n_a > 0, penalty * (n_a - n) / n_a).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
 def pair_measures(pairs: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
     """support, both confidences, their larger one and lift; ``total`` has one row with column total."""
     side = lambda x: counts.select(F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.shared import written
-from .baskets import both_ways, distinct_items, item_counts, pair_counts
+from ..plans.shared import once, written
+from .baskets import basket_pairs, both_ways, distinct_items, item_counts, pair_counts
 
 
 def covisit_vectors(lines: DataFrame, item: str = "item", weighting: str = "lift", least: int = 1, min_lift: float = 0.0, neighbours: int = 50) -> DataFrame:
@@ -32,13 +32,13 @@ def covisit_vectors(lines: DataFrame, item: str = "item", weighting: str = "lift
 def cosine_pairs(vectors: DataFrame) -> DataFrame:
     """item_a < item_b and the cosine of their vectors, through the neighbours that they share.
 
-    The vectors are cut to their strongest neighbours, so an item is in few lists; they are written once, as both sides
-    of the join read them.
+    A neighbour is handled as a basket of the items that list it. A popular one may be in the lists of a third of all
+    items; its pairs then come from blocks on all partitions, and none is left out. The vectors are written once.
     """
-    vectors = written(vectors, "vectors")
-    x = vectors.select(F.col("item").alias("item_a"), "neighbour", F.col("weight").alias("wa"))
-    y = vectors.select(F.col("item").alias("item_b"), "neighbour", F.col("weight").alias("wb"))
-    return x.join(y, "neighbour").where(F.col("item_a") < F.col("item_b")).groupBy("item_a", "item_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    lists = once(vectors.select("neighbour", F.struct("item", "weight").alias("entry")), "vectors")
+    pairs = basket_pairs(lists, "neighbour", "entry")
+    product = F.col("item_a.weight") * F.col("item_b.weight")
+    return pairs.groupBy(F.col("item_a.item").alias("item_a"), F.col("item_b.item").alias("item_b")).agg(F.sum(product).alias("cosine"))
 
 
 def complements(cosines: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:

@@ -3,34 +3,62 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import id_number
 from ..functions.instants import instant
 from .relational import first_per_key
 
-#: The columns that each kind of file must have; of a tuple one is enough.
+#: What tells a kind of file, in the order of the test; one name of each group must be there.
+KINDS = {
+    "orders": (("order_id",), ("line_item_id", "sku")),
+    "inventory_levels": (("inventory_item_id",), ("location_id",)),
+    "variants": (("variant_id",), ("product_id",), ("inventory_item_id",)),
+    "catalog_joined": (("variant_id",), ("product_id",), ("product_title",)),
+}
+#: The columns that each kind must have, and the groups of which one is enough.
 REQUIRED = {
-    "orders": (("order_id", "name"), "created_at", "line_item_name", "line_item_quantity"),
-    "variants": ("variant_id", "sku", "price"),
-    "inventory_levels": ("inventory_item_id", "location_id", "available"),
-    "catalog_joined": ("product_id", "variant_id", "product_title", "price"),
+    "orders": ("createdAt", "lineItemQuantity", "originalUnitPrice"),
+    "variants": ("product_id", "variant_id", "variant_title", "price", "inventory_item_id"),
+    "inventory_levels": ("inventory_item_id", "location_id", "available", "updated_at"),
+    "catalog_joined": ("product_id", "variant_id", "product_title", "price", "inventory_item_id", "product_status"),
+}
+ONE_OF = {"orders": (("order_id", "orderId", "name"), ("variantId", "variant_id", "sku"))}
+#: Other names of a column.
+ALIASES = {
+    "variantid": "variant_id",
+    "varianttitle": "variant_title",
+    "variant_price": "price",
+    "variant_compare_at_price": "compare_at_price",
+    "variant_sku": "sku",
+    "productid": "product_id",
+    "inventoryitemid": "inventory_item_id",
+    "inventoryitemcreatedat": "inventory_item_created_at",
+    "producttitle": "product_title",
+    "producttype": "product_type",
+    "status": "product_status",
 }
+#: Where a name is cut: before a capital with a small letter after it, and between a small letter or digit and a capital.
+_CUT = r"(?<=.)(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])"
 
 
 def canonical(name: str) -> str:
-    """A header in snake case: outer space, quotes and byte order mark off, words split at capitals, spaces, dots and dashes."""
-    n = name.strip().strip('﻿"').strip()
-    n = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", n)
-    return re.sub(r"[\s.\-]+", "_", n).strip("_").lower()
+    """A header in snake case by its usual name: cut at capitals, white space, dashes and slashes; other marks stay."""
+    n = re.sub(r"[\s\-/]+", "_", name.strip().replace("\ufeff", ""))
+    n = re.sub("_+", "_", re.sub(_CUT, "_", n)).strip("_").lower()
+    return ALIASES.get(n, n)
 
 
 def canonical_column(c: Column) -> Column:
     """``canonical`` of a column of headers."""
-    n = F.regexp_replace(F.trim(F.regexp_replace(F.trim(c), '^["﻿]+|["﻿]+$', "")), r"([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.regexp_replace(F.regexp_replace(n, r"[\s.\-]+", "_"), "^_+|_+$", ""))
+    n = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), "\ufeff", ""), r"[\s\-/]+", "_")
+    n = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(n, _CUT, "_"), "_+", "_"), "^_|_$", ""))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[n], n)
 
 
 def with_canonical_headers(df: DataFrame) -> DataFrame:
@@ -44,16 +72,59 @@ def with_canonical_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def missing_columns(kind: str, columns: list[str]) -> list[str]:
-    """What a file of the kind lacks; alternatives are joined by ' or '."""
+def schema_errors(kind: str, columns: list[str]) -> tuple[list[str], list[tuple[str, ...]]]:
+    """What a file of the kind lacks: the missing columns, and the groups without any of their columns."""
     have = {canonical(c) for c in columns}
-    return [n if isinstance(n, str) else " or ".join(n) for n in REQUIRED[kind] if not have.intersection([n] if isinstance(n, str) else n)]
+    missing = sorted(n for n in REQUIRED[kind] if canonical(n) not in have)
+    return missing, [g for g in ONE_OF.get(kind, ()) if have.isdisjoint(map(canonical, g))]
+
+
+def validate_schema(kind: str, columns: list[str]) -> None:
+    """Raises ValueError with all that a file lacks, or for a kind that there isn't."""
+    if kind not in REQUIRED:
+        raise ValueError(f"unknown kind {kind!r}; known are {', '.join(sorted(REQUIRED))}")
+    missing, groups = schema_errors(kind, columns)
+    if missing or groups:
+        parts = [f"missing: {', '.join(missing)}"] * bool(missing) + [f"one needed of: {', '.join(sorted(g))}" for g in groups]
+        raise ValueError(f"{kind}: " + "; ".join(parts))
 
 
 def detect_kind(columns: list[str]) -> str | None:
-    """The kind whose columns are all there; with several, the one that asks for most."""
-    fits = [k for k in REQUIRED if not missing_columns(k, columns)]
-    return max(fits, key=lambda k: len(REQUIRED[k]), default=None)
+    """The first kind whose groups the headers (trimmed, in lower case) fulfil."""
+    have = {c.strip().lower() for c in columns}
+    return next((k for k, groups in KINDS.items() if all(have.intersection(g) for g in groups)), None)
+
+
+def known_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that a table has, in its order; others of the frame are dropped."""
+    return df.select(*[n for n in names if n in df.columns])
+
+
+def decimals_as_doubles(df: DataFrame) -> DataFrame:
+    """Every decimal, also inside structs, arrays and maps, as a double, as JSON has no decimals."""
+
+    def plain(t: T.DataType) -> T.DataType:
+        if isinstance(t, T.DecimalType):
+            return T.DoubleType()
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(plain(t.elementType), t.containsNull)
+        if isinstance(t, T.MapType):
+            return T.MapType(plain(t.keyType), plain(t.valueType), t.valueContainsNull)
+        if isinstance(t, T.StructType):
+            return T.StructType([T.StructField(f.name, plain(f.dataType), f.nullable) for f in t.fields])
+        return t
+
+    return df.select(*[F.col(f"`{f.name}`").cast(plain(f.dataType)).alias(f.name) for f in df.schema])
+
+
+def clamped(c: Column, least: float, most: float, default: float) -> Column:
+    """A number from any text, kept within bounds; the default where there is none."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(filled(c).try_cast("double"), F.lit(default))))
+
+
+def truth(c: Column) -> Column:
+    """true, 1, yes, y and on in any case are true, all else is false."""
+    return F.coalesce(F.lower(filled(c)).isin("true", "1", "yes", "y", "on"), F.lit(False))
 
 
 def filled(c: Column) -> Column:
@@ -79,6 +150,16 @@ def gid(kind: str, number: Column) -> Column:
     return F.concat(F.lit(f"gid://shopify/{kind}/"), number.cast("string"))
 
 
+def compatible_text(c: Column) -> Column:
+    """The text in compatibility form (NFKC), trimmed: width variants and ligatures become plain characters."""
+
+    @F.pandas_udf("string")
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip())
+
+    return compose(c)
+
+
 def title_words(c: Column, n: int = 4) -> Column:
     """The first n words of a title, split at spaces and dashes, in initial capitals."""
     return F.initcap(F.array_join(F.slice(F.filter(F.split(F.lower(c), r"[\s\-]+"), lambda x: x != ""), 1, n), " "))

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import written
+from ..plans.shared import once, written
 from .baskets import baskets, frequent_only
 
 
-def frequent_sets(items: DataFrame, least: int, largest: int = 3) -> DataFrame:
-    """size, items (sorted array), n of sets that stand in at least ``least`` baskets of two items and more.
+def in_large_orders(items: DataFrame) -> DataFrame:
+    """The items of orders with two and more, written, as counts and levels read them again."""
+    own = once(items, "items")
+    return written(own.join(own.groupBy("order_id").count().where("count >= 2"), "order_id", "left_semi"), "items-of-two")
 
-    Level by level: a set of k+1 items joins two frequent sets of k that differ in the last item; the candidates are
-    counted against the baskets through the rows of their first k items, never against all baskets. The sets of each
-    level are written to the shared folder, as the next level and the rules read them again.
+
+def frequent_sets(many: DataFrame, least: int, largest: int = 3) -> DataFrame:
+    """size, items (sorted array), n of sets that stand in at least ``least`` of the orders of ``in_large_orders``.
+
+    Level by level: the rows of a frequent set of k items are joined to the items after it in the same order. A row goes
+    on to be counted only if the set without its first item is frequent too; with the join on the first k items, that
+    keeps just the sets both of whose neighbours in the level below are frequent. The sets of each level are written to
+    the shared folder, as the next level and the rules read them again.
     """
-    many = items.join(items.groupBy("order_id").count().where("count >= 2"), "order_id", "left_semi")
     kept = written(frequent_only(many, least), "frequent-items")
     level = kept.select("order_id", F.array("item").alias("items"))
     out = None
@@ -28,6 +34,9 @@ def frequent_sets(items: DataFrame, least: int, largest: int = 3) -> DataFrame:
             return out
         level = level.join(counted.select("items"), "items", "left_semi")
         level = level.join(kept, "order_id").where(F.col("item") > F.element_at("items", -1)).select("order_id", F.concat("items", F.array("item")).alias("items"))
+        if k > 1:
+            rest = F.slice("items", 2, k)
+            level = level.withColumn("_rest", rest).join(counted.select(F.col("items").alias("_rest")), "_rest", "left_semi").drop("_rest")
     return out
 
 
@@ -51,7 +60,7 @@ def rules(sets: DataFrame, total: int, min_confidence: float = 0.05) -> DataFram
 
 
 def fpgrowth_sets(items: DataFrame, min_support: float) -> DataFrame:
-    """Sets of any size by parallel FP-growth: items (sorted array), n."""
+    """Sets of any size by parallel FP-growth: items (sorted array), n. Only orders of two items and more count."""
     from pyspark.ml.fpm import FPGrowth
 
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets(items, 2))

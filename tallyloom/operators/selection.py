@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
 from .statistics import min_max
 
 
@@ -30,26 +31,29 @@ def weighted_top(df: DataFrame, weights: dict[str, float], key: str, k: int) ->
     return d.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def greedy_matching(pairs: DataFrame, a: str, b: str, order: list[tuple[str, bool]]) -> DataFrame:
-    """Pairs in ``order`` (column, ascending), each taken if neither of its items is taken yet.
+def greedy_matching(pairs: DataFrame, a: str, b: str, order: list[Column]) -> DataFrame:
+    """The pairs that are taken when all are walked in ``order``, each if neither of its items is taken yet.
 
-    The choice is sequential, so the caller must bound the rows first (a top-k); one task then walks them.
+    ``order``: values that tell all pairs apart, smallest first; pairs with a null item don't count. No task walks the
+    pairs: in each round every pair that comes first for both of its items is taken, as nothing before it can take them,
+    and all pairs of these items go. The rounds end when no pair is left; the first of all pairs goes in every round.
     """
-
-    columns = pairs.columns
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(batches) or [pd.DataFrame(columns=columns)])
-        d = d.sort_values([c for c, _ in order], ascending=[x for _, x in order])
-        taken, keep = set(), []
-        for x, y in zip(d[a], d[b]):
-            free = x not in taken and y not in taken
-            keep.append(free)
-            if free:
-                taken |= {x, y}
-        yield d[keep]
-
-    return pairs.coalesce(1).mapInPandas(walk, pairs.schema)
+    rest = written(pairs.dropDuplicates().where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_order", F.struct(*order)), "pairs")
+    out = None
+    while True:
+        best = rest.select(F.explode(F.array(a, b)).alias("_item"), "_order").groupBy("_item").agg(F.min("_order").alias("_best"))
+        first = rest
+        for side in (a, b):
+            one = best.select(F.col("_item").alias(side), F.col("_best").alias(f"_{side}"))
+            first = first.join(one, side).where(F.col(f"_{side}") == F.col("_order")).drop(f"_{side}")
+        first = written(first.select(*rest.columns), "taken")
+        out = first if out is None else out.unionByName(first)
+        if first.isEmpty():
+            return out.select(*pairs.columns)
+        used = first.select(F.explode(F.array(a, b)).alias("_item"))
+        for side in (a, b):
+            rest = rest.join(used.withColumnRenamed("_item", side), side, "left_anti")
+        rest = written(rest.select(*first.columns), "pairs")
 
 
 def pareto_fronts(df: DataFrame, group: list[str], x: str, y: str, fronts: int) -> DataFrame:

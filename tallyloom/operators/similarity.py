@@ -114,6 +114,84 @@ def nearest_in_block(df: DataFrame, block: list[str], key: str, value: str, k: i
     return d.join(own, same).select(F.col("b").alias("a"), F.explode(best).alias("x")).select("a", "x.b", "x.gap")
 
 
+def similar_by_attributes(df: DataFrame, key: str, category: str, brand: str, price: str, k: int, least: float = 0.4) -> DataFrame:
+    """For each row the k rows most alike: a, b, score = 0.5 (same category) + 0.3 (same brand) + 0.2 (lower over higher price).
+
+    Only scores above ``least`` (0.3 or more) count; a null category or brand equals none, and without two positive prices
+    that part is 0. What is shared weighs more than any price, so the k best are among the k nearest prices of the row's
+    (category, brand), of its category and of its brand: no block is paired with itself. Gaps of the logarithm of the
+    price are ranked to 4 places, then by key.
+    """
+    d = df.select(F.col(key).alias("key"), F.col(category).alias("c"), F.col(brand).alias("m"), F.when(F.col(price) > 0, F.col(price).cast("double")).alias("p")).dropDuplicates(["key"])
+    d = d.withColumn("l", F.log("p"))
+    near = None
+    for block in (["c", "m"], ["c"], ["m"]):
+        one = nearest_in_block(d, block, "key", "l", k).select("a", "b", "gap")
+        near = one if near is None else near.unionByName(one)
+    side = lambda x: d.select(F.col("key").alias(x), *[F.col(n).alias(f"{n}_{x}") for n in ("c", "m", "p")])
+    both = near.dropDuplicates(["a", "b"]).join(side("a"), "a").join(side("b"), "b")
+    same = lambda n: F.coalesce(F.col(f"{n}_a") == F.col(f"{n}_b"), F.lit(False)).cast("int")
+    ratio = F.coalesce(F.least("p_a", "p_b") / F.greatest("p_a", "p_b"), F.lit(0.0))
+    ratio = F.when(F.col("p_a").isNotNull() & F.col("p_b").isNotNull(), ratio).otherwise(0.0)
+    both = both.withColumns({"_c": same("c"), "_m": same("m")}).withColumn("score", 0.5 * F.col("_c") + 0.3 * F.col("_m") + 0.2 * ratio).where(F.col("score") > least)
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("_c"), F.desc("_m"), F.asc_nulls_last("gap"), "b"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "score", "rank")
+
+
+#: Words of a title that don't count, and the weights of what two records share.
+_SMALL_WORDS = ("and", "or", "the", "a", "an", "in", "on", "at", "to", "for", "of", "with", "by")
+_WEIGHTS = {"category": 0.35, "brand": 0.25, "price": 0.20, "title": 0.15, "vendor": 0.05}
+
+
+def similar_by_metadata(rows: DataFrame, queries: DataFrame, key: str, category: str, vendor: str, price: str, title: str, bounds: tuple[float, ...], k: int = 10, least: float = 0.2, block: int = 512) -> DataFrame:
+    """For each query the k rows whose metadata are most alike: query, other, score (above ``least``); ties go to the lower key.
+
+    The score sums category (1 if equal, 0.7 if one level apart, 0.4 if a level is shared; levels are parted by ' > '),
+    brand (1, or 0.7 if one name holds the other), price band (``bounds``: 1, 0.5, 0.2 by distance), title (Jaccard of
+    its words) and vendor, by fixed weights; null and empty values share nothing. The queries go to the rows ``block`` at a
+    time, each block a small literal frame; each task keeps k rows of a query before the exchange.
+    """
+    band = F.lit(0)
+    for x in bounds:
+        band = band + (F.col(price) >= x).cast("int")
+    words = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"(\w+)"), F.lit(1))), F.array(*map(F.lit, _SMALL_WORDS)))
+    facts = [
+        F.col(key).alias("key"),
+        F.lower(category).alias("c"),
+        F.col(vendor).alias("v"),
+        F.lower(vendor).alias("m"),
+        F.when(F.col(price) > 0, band).alias("p"),
+        words.alias("w"),
+    ]
+    own, asked = rows.select(*facts), queries.select(*facts)
+    a, b = (lambda n: F.col(f"q.{n}")), (lambda n: F.col(f"o.{n}"))
+    full = lambda n: (F.coalesce(a(n), F.lit("")) != "") & (F.coalesce(b(n), F.lit("")) != "")
+    levels = lambda x: F.split(x("c"), " > ")
+    depth = F.least(F.size(levels(a)), F.size(levels(b)))
+    shared = F.size(F.filter(F.sequence(F.lit(1), depth), lambda i: F.slice(levels(a), F.lit(1), i) == F.slice(levels(b), F.lit(1), i)))
+    near = F.when(shared == 0, 0.0).when((shared == F.size(levels(a)) - 1) | (shared == F.size(levels(b)) - 1), 0.7).otherwise(0.4)
+    bare = lambda x: F.regexp_replace(x("m"), "[^a-z0-9]", "")
+    common = F.size(F.array_intersect(a("w"), b("w")))
+    parts = {
+        "category": F.when(full("c"), F.when(a("c") == b("c"), 1.0).otherwise(near)),
+        "brand": F.when(full("m"), F.when(a("m") == b("m"), 1.0).when(F.contains(bare(a), bare(b)) | F.contains(bare(b), bare(a)), 0.7)),
+        "price": F.element_at(F.array(F.lit(1.0), F.lit(0.5), F.lit(0.2), F.lit(0.0)), F.least(F.abs(a("p") - b("p")), F.lit(3)) + 1),
+        "title": F.when((F.size(a("w")) > 0) & (F.size(b("w")) > 0), common / (F.size(a("w")) + F.size(b("w")) - common)),
+        "vendor": F.when(a("v") == b("v"), 1.0),
+    }
+    score = sum((F.coalesce(x, F.lit(0.0)) * _WEIGHTS[n] for n, x in parts.items()), F.lit(0.0))
+    n = asked.count()
+    blocks = -(-n // block) or 1
+    out = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()
+        small = rows.sparkSession.createDataFrame(part, asked.schema)
+        one = own.alias("o").join(F.broadcast(small).alias("q"), F.col("q.key") != F.col("o.key")).select(a("key").alias("query"), b("key").alias("other"), score.alias("score"))
+        out = one if out is None else out.unionByName(one)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "other"))
+    return out.where(F.col("score") > least).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def near_duplicate_sets(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
     """key, class_id (the lowest key with the same set) and links: how many other classes have a Jaccard of ``least``.
 

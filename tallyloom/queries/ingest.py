@@ -51,24 +51,90 @@ def _(t):
     return files.cached(t.spark, path, keys, make, "2024-01-02")
 
 
-_HEADERS = "('createdAt'), ('Published Scope'), (' line-item.Name '), ('\"sku\"'), ('inventory_policy.1'), ('ID'), ('productHTMLTitle')"
+_NAMES = ("createdAt", "Published Scope", " line-item.Name ", '"sku"', "inventory_policy.1", "ID", "productHTMLTitle", "Line/Item Name", "Line__Item", "Variant Price", "status", "variantId", "_Product ID_", "SKUCode2Big", "aB")
 
 
-@add("s03_canonical_headers", f"SELECT h AS header, lower(regexp_replace(regexp_replace(trim(trim(trim(h), '\"')), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[\\s.\\-]+', '_', 'g')) AS canonical FROM (VALUES {_HEADERS}) x(h)")
+def _canonical(c: str) -> str:
+    """The steps one by one, as there is no look-around."""
+    aliases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in I.ALIASES.items())
+    cut = f"regexp_replace(regexp_replace(regexp_replace(trim({c}), '[\\s\\-/]+', '_', 'g'), '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')"
+    base = f"lower(trim(regexp_replace({cut}, '__+', '_', 'g'), '_'))"
+    return f"CASE {base} {aliases} ELSE {base} END"
+
+
+@add("s03_canonical_headers", f"SELECT h AS header, {_canonical('h')} AS canonical FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") x(h)")
 def _(t):
-    d = t.spark.createDataFrame([(x,) for x in ("createdAt", "Published Scope", " line-item.Name ", '"sku"', "inventory_policy.1", "ID", "productHTMLTitle")], "header string")
+    d = t.spark.createDataFrame([(x,) for x in _NAMES], "header string")
     return d.select("header", I.canonical_column(F.col("header")).alias("canonical"))
 
 
-@add("s02_detect_kind")
+_TABLES = {"store_main_orders": "orders", "shop2_catalog_joined_set_synth1": "catalog_joined", "shop2_products_variants_set_synth1": "variants", "shop2_inventory_levels_set_synth1": "inventory_levels", "shop2_inventory_levels_main": "inventory_levels", "shop2_products_variants_main": "variants", "shop2_catalog_joined_main": "catalog_joined"}
+_COLUMNS = f"SELECT table_name, lower(trim(column_name)) AS c FROM information_schema.columns WHERE table_name IN ({', '.join(repr(n) for n in _TABLES)})"
+
+
+@add(
+    "s02_detect_kind",
+    f"""WITH c AS ({_COLUMNS}) SELECT table_name, CASE WHEN bool_or(c = 'order_id') AND bool_or(c IN ('line_item_id', 'sku')) THEN 'orders' WHEN bool_or(c = 'inventory_item_id') AND bool_or(c = 'location_id') THEN 'inventory_levels'
+WHEN bool_or(c = 'variant_id') AND bool_or(c = 'product_id') AND bool_or(c = 'inventory_item_id') THEN 'variants' WHEN bool_or(c = 'variant_id') AND bool_or(c = 'product_id') AND bool_or(c = 'product_title') THEN 'catalog_joined' END AS kind FROM c GROUP BY 1""",
+)
 def _(t):
-    """The kind of each raw table by its columns, and what it lacks of the kind that its name promises: rows only."""
-    tables = {"store_main_orders": "orders", "shop2_catalog_joined_set_synth1": "catalog_joined", "shop2_products_variants_set_synth1": "variants", "shop2_inventory_levels_set_synth1": "inventory_levels", "shop2_inventory_levels_main": "inventory_levels", "shop2_products_variants_main": "variants"}
+    return t.spark.createDataFrame([(name, I.detect_kind(t.raw(name).columns)) for name in _TABLES], "table_name string, kind string")
+
+
+_ASKED = "(VALUES " + ", ".join(f"('{n}', '{r}')" for n, k in _TABLES.items() for r in I.REQUIRED[k]) + ") a(table_name, wanted)"
+
+
+@add(
+    "s04_schema_validation",
+    f"""WITH c AS ({_COLUMNS}), h AS (SELECT table_name, {_canonical('c')} AS have FROM c), m AS (SELECT a.table_name, a.wanted, {_canonical('a.wanted')} AS w FROM {_ASKED}),
+o AS (SELECT count(CASE WHEN have IN ('order_id', 'name') THEN 1 END) AS named, count(CASE WHEN have IN ('variant_id', 'sku') THEN 1 END) AS item FROM h WHERE table_name = 'store_main_orders')
+SELECT t.table_name, coalesce((SELECT string_agg(wanted, ', ' ORDER BY wanted) FROM m WHERE m.table_name = t.table_name AND NOT EXISTS (SELECT 1 FROM h WHERE h.table_name = m.table_name AND have = w)), '') AS missing,
+CASE WHEN t.table_name = 'store_main_orders' THEN (SELECT CAST(named = 0 AS BIGINT) + CAST(item = 0 AS BIGINT) FROM o) ELSE 0 END AS groups_missing FROM (SELECT DISTINCT table_name FROM c) t""",
+)
+def _(t):
+    """What each raw table lacks of the kind that its name promises."""
     rows = []
-    for name, kind in tables.items():
-        cols = t.raw(name).columns
-        rows.append((name, I.detect_kind(cols), ", ".join(I.missing_columns(kind, cols))))
-    return t.spark.createDataFrame(rows, "table_name string, kind string, lacks string")
+    for name, kind in _TABLES.items():
+        missing, groups = I.schema_errors(kind, t.raw(name).columns)
+        rows.append((name, ", ".join(missing), len(groups)))
+    return t.spark.createDataFrame(rows, "table_name string, missing string, groups_missing long")
+
+
+@add(
+    "s13_point_lookups",
+    f"""SELECT 'sku' AS by, sku, {number('variant_id')} AS variant_no FROM (SELECT DISTINCT sku, variant_id FROM shop2_products_variants_set_synth1) WHERE sku = (SELECT min(sku) FROM shop2_products_variants_set_synth1)
+UNION SELECT 'number', sku, {number('variant_id')} FROM shop2_products_variants_set_synth1 WHERE {number('variant_id')} IN (SELECT max({number('variant_id')}) FROM shop2_products_variants_set_synth1)""",
+)
+def _(t):
+    """Records by one value of a key: the value is a filter of the scan, not a join."""
+    d = t.raw("shop2_products_variants_set_synth1")
+    no = id_number(F.col("variant_id"))
+    sku, last = d.agg(F.min("sku"), F.max(no)).first()
+    cut = lambda rows, by: rows.select(F.lit(by).alias("by"), "sku", no.alias("variant_no"))
+    return cut(d.where(F.col("sku") == sku), "sku").unionByName(cut(d.where(no == last), "number")).distinct()
+
+
+@add("w14_known_columns", "SELECT variant_id, price FROM catalog")
+def _(t):
+    return I.known_columns(t.catalog.withColumn("other", F.lit(1)), ["variant_id", "price", "not_there"])
+
+
+@add("w15_plain_json", """SELECT variant_id, '{"price":' || CAST(CAST(CAST(price AS DECIMAL(12,2)) AS DOUBLE) AS VARCHAR) || '}' AS doc FROM catalog""")
+def _(t):
+    d = t.catalog.select("variant_id", F.struct(F.col("price").cast("decimal(12,2)").alias("price")).alias("doc"))
+    return I.decimals_as_doubles(d).select("variant_id", F.to_json("doc").alias("doc"))
+
+
+@add("prj27_half_up", "SELECT variant_id, CAST(round(CAST(price AS DECIMAL(18,4)) / 8, 2) AS DOUBLE) AS eighth FROM (SELECT variant_id, CAST(price * 100 AS BIGINT) / 100.0 AS price FROM catalog)")
+def _(t):
+    price = (F.col("price") * 100).cast("long") / F.lit(100)
+    return t.catalog.select("variant_id", F.round(price.cast("decimal(18,4)") / 8, 2).cast("double").alias("eighth"))
+
+
+@add("prj40_coercions", "SELECT x AS raw, lower(trim(coalesce(x, ''))) IN ('true', '1', 'yes', 'y', 'on') AS truth, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(TRY_CAST(nullif(trim(x), '') AS DOUBLE), 0.5))) AS share FROM (VALUES ('TRUE'), (' yes '), ('0.25'), ('7'), ('-1'), ('x'), (''), (NULL)) v(x)")
+def _(t):
+    d = t.spark.createDataFrame([(x,) for x in ("TRUE", " yes ", "0.25", "7", "-1", "x", "", None)], "raw string")
+    return d.select("raw", I.truth(F.col("raw")).alias("truth"), I.clamped(F.col("raw"), 0.0, 1.0, 0.5).alias("share"))
 
 
 @add(

@@ -26,8 +26,7 @@ def variant_items(t: ShopFrames) -> DataFrame:
 
 def many(t: ShopFrames) -> DataFrame:
     """Vendor items of orders with at least two."""
-    own = written(vendor_items(t), "vendor-items")
-    return own.join(own.groupBy("order_id").count().where("count >= 2"), "order_id", "left_semi")
+    return M.in_large_orders(vendor_items(t))
 
 
 def total(items: DataFrame) -> DataFrame:
@@ -146,7 +145,7 @@ s AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) ""
 
 @add("m01_frequent_sets", _SETS + "SELECT size, items, n FROM s WHERE n >= 5")
 def _(t):
-    return M.frequent_sets(vendor_items(t), 5).select("size", F.array_join("items", "|").alias("items"), "n")
+    return M.frequent_sets(many(t), 5).select("size", F.array_join("items", "|").alias("items"), "n")
 
 
 _SIDES = """, r AS (SELECT a AS ante, b AS cons, n FROM s WHERE size = 2 UNION ALL SELECT b, a, n FROM s WHERE size = 2
@@ -159,7 +158,7 @@ q AS (SELECT ante AS antecedent, cons AS consequent, r.n, r.n * 1.0::DOUBLE / to
 def _vendor_set_rules(t):
     own = many(t)
     n = own.select("order_id").distinct().count()
-    d = M.rules(M.frequent_sets(vendor_items(t), 5), n, 0.1)
+    d = M.rules(M.frequent_sets(own, 5), n, 0.1)
     join = lambda c: F.array_join(c, "|").alias(c)
     return rounded(d.select(join("antecedent"), join("consequent"), "n", "support", "confidence", "lift"), "support", "confidence", "lift")
 
@@ -174,14 +173,19 @@ def _(t):
     return _vendor_set_rules(t).select("antecedent", "consequent", "lift").orderBy(F.desc("lift"), "antecedent", "consequent").limit(50)
 
 
-@add("m04_fpgrowth", _SETS + "SELECT items, n FROM s, (SELECT count(*) AS total FROM vbig) WHERE n >= 0.01::DOUBLE * total")
+@add(
+    "m04_fpgrowth",
+    """SELECT items, n FROM (WITH RECURSIVE big AS (SELECT * FROM vb WHERE order_id IN (SELECT order_id FROM vbig)), s AS (SELECT order_id, item AS items, item AS last FROM big UNION ALL SELECT s.order_id, s.items || '|' || b.item, b.item FROM s JOIN big b ON b.order_id = s.order_id AND b.item > s.last)
+SELECT items, count(*) AS n FROM s GROUP BY 1) WHERE n >= 0.01::DOUBLE * (SELECT count(*) FROM vbig)""",
+)
 def _(t):
-    return M.fpgrowth_sets(vendor_items(t), 0.01).where(F.size("items") <= 3).select(F.array_join("items", "|").alias("items"), "n")
+    """Sets of any size."""
+    return M.fpgrowth_sets(vendor_items(t), 0.01).select(F.array_join("items", "|").alias("items"), "n")
 
 
 @add("k07_top_sets", _SETS + "SELECT items, n FROM s WHERE size >= 2 AND n >= 5 ORDER BY n DESC, items LIMIT 100")
 def _(t):
-    d = M.frequent_sets(vendor_items(t), 5).where("size >= 2").select(F.array_join("items", "|").alias("items"), "n")
+    d = M.frequent_sets(many(t), 5).where("size >= 2").select(F.array_join("items", "|").alias("items"), "n")
     return d.orderBy(F.desc("n"), "items").limit(100)
 
 
@@ -248,12 +252,13 @@ def _(t):
 
 @add("m11_item2vec")
 def _(t):
-    """Skip-gram vectors of items from purchase sequences, seeded: rows only."""
+    """Skip-gram vectors of variants from purchase sequences, seeded: rows only."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
-    s = B.purchase_sequences(t.vendor_lines.withColumn("at", F.col("variant_id")), "item", "at")
+    s = B.purchase_sequences(t.lines.withColumn("variant", F.col("variant_id").cast("string")), "variant", "line_item_id")
     model = Word2Vec(vectorSize=64, windowSize=3, maxIter=5, minCount=1, seed=42, inputCol="sequence", outputCol="v").fit(s)
-    return model.getVectors().select(F.col("word").alias("item"), F.udf(lambda v: [float(x) for x in v], "array<double>")("vector").alias("vector"))
+    return model.getVectors().select(F.col("word").alias("item"), vector_to_array("vector").alias("vector"))
 
 
 _TIERS = """WITH k AS (SELECT count(DISTINCT order_id) AS total FROM vb),
@@ -265,11 +270,104 @@ def _pair_facts(t):
     return B.pair_measures(B.pair_counts(own), B.item_counts(own), total(own))
 
 
-@add("m15_tier2_relaxed_rules", _TIERS + "SELECT item_a, item_b, n FROM p WHERE n >= greatest(3, ceil(0.0015::DOUBLE * total)) AND n * 1.0::DOUBLE / n_a >= 0.02")
+@add("m15_tier1_strict_rules", _SETS + _SIDES + "SELECT antecedent || '|' || consequent AS products, round(lift, 6) AS lift FROM q WHERE confidence >= 0.1 ORDER BY round(lift, 6) DESC, antecedent, consequent LIMIT 20")
+def _(t):
+    d = _vendor_set_rules(t).orderBy(F.desc("lift"), "antecedent", "consequent").limit(20)
+    return d.select(F.concat_ws("|", "antecedent", "consequent").alias("products"), "lift")
+
+
+@add(
+    "m15_tier2_relaxed_rules",
+    """WITH b AS (SELECT DISTINCT l.order_id, c.product_type AS item FROM lines l JOIN catalog c ON l.variant_id = c.variant_id), i AS (SELECT item, count(*) AS k FROM b GROUP BY 1), t AS (SELECT count(DISTINCT order_id) AS total FROM b),
+p AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n FROM b x JOIN b y ON x.order_id = y.order_id AND x.item < y.item GROUP BY 1, 2)
+SELECT item_a, item_b, n, round(n * 1.0::DOUBLE / least(u.k, v.k), 6) AS confidence FROM p JOIN i u ON u.item = item_a JOIN i v ON v.item = item_b CROSS JOIN t WHERE n >= greatest(3, ceil(0.015::DOUBLE * total)) AND n * 1.0::DOUBLE / least(u.k, v.k) >= 0.2""",
+)
+def _(t):
+    """At the grain of product types: pairs of 25 vendors don't reach the confidence."""
+    own = written(B.distinct_items(t.lines.join(t.catalog.select("variant_id", F.col("product_type").alias("item")), "variant_id")), "type-items")
+    d = B.relaxed_rules(B.pair_measures(B.pair_counts(own), B.item_counts(own), total(own)))
+    return d.select("item_a", "item_b", "n", F.round("confidence", 6).alias("confidence"))
+
+
+# ---- the same structures at the grain of variants: many items, small counts
+_VARIANTS = """WITH b AS (SELECT DISTINCT order_id, variant_id AS item FROM lines), i AS (SELECT item, count(*) AS k FROM b GROUP BY 1), t AS (SELECT count(DISTINCT order_id) AS total FROM b),
+p AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n FROM b x JOIN b y ON x.order_id = y.order_id AND x.item < y.item GROUP BY 1, 2)"""
+
+
+def _variant_measures(t, least: int):
+    own = written(variant_items(t), "variant-items")
+    return B.pair_measures(B.pair_counts(own, least), B.item_counts(own), total(own))
+
+
+@add("m06_variant_measures", _VARIANTS + "SELECT item_a, item_b, n, round(n * 1.0::DOUBLE / total, 8) AS support, round(n * 1.0::DOUBLE / least(u.k, v.k), 6) AS confidence, round(n * total * 1.0::DOUBLE / (u.k * v.k), 4) AS lift FROM p JOIN i u ON u.item = item_a JOIN i v ON v.item = item_b CROSS JOIN t WHERE n >= 2")
+def _(t):
+    d = _variant_measures(t, 2)
+    return d.select("item_a", "item_b", "n", F.round("support", 8).alias("support"), F.round("confidence", 6).alias("confidence"), F.round("lift", 4).alias("lift"))
+
+
+@add(
+    "m01_variant_sets",
+    """WITH b AS (SELECT DISTINCT order_id, variant_id AS item FROM lines), g AS (SELECT * FROM b WHERE order_id IN (SELECT order_id FROM b GROUP BY 1 HAVING count(*) >= 2)),
+s AS (SELECT 1 AS size, CAST(item AS VARCHAR) AS items FROM g UNION ALL SELECT 2, x.item || '|' || y.item FROM g x JOIN g y ON x.order_id = y.order_id AND x.item < y.item
+UNION ALL SELECT 3, x.item || '|' || y.item || '|' || z.item FROM g x JOIN g y ON x.order_id = y.order_id AND x.item < y.item JOIN g z ON x.order_id = z.order_id AND y.item < z.item)
+SELECT size, items, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 2""",
+)
+def _(t):
+    d = M.frequent_sets(M.in_large_orders(variant_items(t)), 2)
+    return d.select("size", F.array_join(F.transform("items", lambda x: x.cast("string")), "|").alias("items"), "n")
+
+
+@add(
+    "m02_variant_rules",
+    _VARIANTS
+    + """, big AS (SELECT * FROM b WHERE order_id IN (SELECT order_id FROM b GROUP BY 1 HAVING count(*) >= 2)), k AS (SELECT item, count(*) AS k FROM big GROUP BY 1), w AS (SELECT count(DISTINCT order_id) AS total FROM big),
+r AS (SELECT item_a AS antecedent, item_b AS consequent, n FROM p WHERE n >= 2 UNION ALL SELECT item_b, item_a, n FROM p WHERE n >= 2)
+SELECT antecedent, consequent, n, round(n * 1.0::DOUBLE / x.k, 6) AS confidence, round(n * total * 1.0::DOUBLE / (x.k * y.k), 4) AS lift FROM r JOIN k x ON x.item = antecedent JOIN k y ON y.item = consequent CROSS JOIN w WHERE n * 1.0::DOUBLE / x.k >= 0.05""",
+)
+def _(t):
+    own = M.in_large_orders(variant_items(t))
+    d = M.rules(M.frequent_sets(own, 2, 2), own.select("order_id").distinct().count())
+    one = lambda c: F.element_at(c, 1).alias(c)
+    return d.select(one("antecedent"), one("consequent"), "n", F.round("confidence", 6).alias("confidence"), F.round("lift", 4).alias("lift"))
+
+
+_VARIANT_COVISIT = (
+    _VARIANTS
+    + """, e AS (SELECT item_a AS item, item_b AS neighbour, n FROM p UNION ALL SELECT item_b, item_a, n FROM p), f AS (SELECT e.item, neighbour, n * total * 1.0::DOUBLE / (u.k * v.k) AS lift FROM e JOIN i u ON u.item = e.item JOIN i v ON v.item = neighbour CROSS JOIN t),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY lift DESC, neighbour) AS rk FROM f), v AS (SELECT item, neighbour, lift / sqrt(sum(lift * lift) OVER (PARTITION BY item)) AS weight FROM r WHERE rk <= 50) """
+)
+
+
+@add("m08_variant_covisit", _VARIANT_COVISIT + "SELECT item, neighbour, round(weight, 6) AS weight FROM v")
+def _(t):
+    return rounded(C.covisit_vectors(t.lines, item="variant_id"), "weight")
+
+
+@add("j21_variant_cosine", _VARIANT_COVISIT + "SELECT x.item AS item_a, y.item AS item_b, round(sum(x.weight * y.weight), 6) AS cosine FROM v x JOIN v y ON x.neighbour = y.neighbour AND x.item < y.item GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= 0.1")
+def _(t):
+    return rounded(C.cosine_pairs(C.covisit_vectors(t.lines, item="variant_id")).where("cosine >= 0.1"), "cosine")
+
+
+_BAYES = """, z AS (SELECT count(*) AS items FROM catalog), s AS (SELECT item_a, item_b, n, greatest(0.0, least(1.0, (n + 1.0::DOUBLE) / (u.k + items) - 0.3::DOUBLE * (u.k - n) / u.k)) AS ab, greatest(0.0, least(1.0, (n + 1.0::DOUBLE) / (v.k + items) - 0.3::DOUBLE * (v.k - n) / v.k)) AS ba
+FROM p JOIN i u ON u.item = item_a JOIN i v ON v.item = item_b CROSS JOIN z) """
+
+
+def _bayesian(t):
+    d = _variant_measures(t, 1).join(F.broadcast(t.catalog.agg(F.count("*").alias("items"))))  # one row
+    score = lambda x: B.bayesian_score(F.col("n"), F.col(f"n_{x}"), F.col("items"))
+    return d.select("item_a", "item_b", "n", score("a").alias("ab"), score("b").alias("ba"))
+
+
+@add("m16_bayesian_pairs", _VARIANTS + _BAYES + "SELECT item_a, item_b, round(ab, 8) AS ab, round(ba, 8) AS ba FROM s")
+def _(t):
+    return rounded(_bayesian(t).drop("n"), "ab", "ba", to=8)
+
+
+@add("m17_sparse_pairs", _VARIANTS + _BAYES + "SELECT item_a, item_b, round((ab + ba) / 2, 8) AS score FROM s ORDER BY round((ab + ba) / 2, 8) DESC, item_a, item_b LIMIT 50")
 def _(t):
-    own = vendor_items(t)
-    d = _pair_facts(t).join(F.broadcast(total(own)))  # one row
-    return d.where((F.col("n") >= F.greatest(F.lit(3), F.ceil(0.0015 * F.col("total")))) & (F.col("confidence_ab") >= 0.02)).select("item_a", "item_b", "n")
+    """The top 50 pairs by the mean of both directions."""
+    d = _bayesian(t).select("item_a", "item_b", F.round((F.col("ab") + F.col("ba")) / 2, 8).alias("score"))
+    return d.orderBy(F.desc("score"), "item_a", "item_b").limit(50)
 
 
 @add("m15_tier3_smoothed", _TIERS + "SELECT item_a, item_b, round((n + 1) / (n_a + 2.0::DOUBLE), 6) AS score FROM p WHERE (n + 1) / (n_a + 2.0::DOUBLE) >= 0.01")
@@ -295,11 +393,11 @@ def _(t):
 
 @add(
     "j14_all_pairs_smoothed",
-    """WITH k AS (SELECT count(DISTINCT order_id) AS total FROM vb), e AS (SELECT item_a, item_b, n FROM vpairs UNION ALL SELECT item_b, item_a, n FROM vpairs)
-SELECT a.item AS item_a, e.item_b, round((e.n + 1) / (a.n_item + 2.0::DOUBLE), 6) AS score FROM vitems a JOIN e ON e.item_a = a.item WHERE (e.n + 1) / (a.n_item + 2.0::DOUBLE) >= 0.005""",
+    """WITH e AS (SELECT item_a, item_b, n FROM vpairs UNION ALL SELECT item_b, item_a, n FROM vpairs)
+SELECT a.item AS item_a, b.item AS item_b, round((coalesce(e.n, 0) + 1) / (a.n_item + 2.0::DOUBLE), 6) AS score FROM vitems a JOIN vitems b ON a.item <> b.item LEFT JOIN e ON e.item_a = a.item AND e.item_b = b.item WHERE (coalesce(e.n, 0) + 1) / (a.n_item + 2.0::DOUBLE) >= 0.005""",
 )
 def _(t):
-    """With the pairs that never meet: they score 1/(n+2), enough for an item_a of fewer than 199 orders. The SQL leaves them out."""
+    """With the pairs that never meet: they score 1/(n+2), enough for an item_a of fewer than 199 orders."""
     return B.smoothed_pairs(vendor_items(t), 0.005).withColumn("score", F.round("score", 6))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +10,9 @@ from ..operators import ingest as I
 from ..operators import relational as R
 from ..operators import selection as S
 from ..operators import similarity as Z
-from ..operators.mining import frequent_sets
+from ..operators.mining import frequent_sets, in_large_orders
+from ..plans.shared import new_path
+from ..sources import keyed as K
 from .define import Book
 
 book = Book()
@@ -103,9 +104,9 @@ def _(t):
 
 @add("n20_greedy_matching")
 def _(t):
-    """Pairs taken by count, each item at most once; the input is cut to a top-k first: rows only."""
-    top = vendor_pairs(t).orderBy(F.desc("n"), "item_a", "item_b").limit(500)
-    return S.greedy_matching(top, "item_a", "item_b", [("n", False), ("item_a", True), ("item_b", True)])
+    """Variant pairs taken by count, each variant at most once: tested against a walk over a fixture."""
+    p = B.pair_counts(B.distinct_items(t.lines, item="variant_id"), 2)
+    return S.greedy_matching(p, "item_a", "item_b", [-F.col("n"), F.col("item_a"), F.col("item_b")])
 
 
 @add("r17_pareto_search")
@@ -139,7 +140,7 @@ def _(t):
 @add("m05_sets_of_four", """WITH big AS (SELECT * FROM vb WHERE order_id IN (SELECT order_id FROM vbig)) SELECT x.item || '|' || y.item || '|' || z.item || '|' || u.item AS items, count(*) AS n FROM big x JOIN big y ON x.order_id = y.order_id AND x.item < y.item
 JOIN big z ON x.order_id = z.order_id AND y.item < z.item JOIN big u ON x.order_id = u.order_id AND z.item < u.item GROUP BY 1 HAVING count(*) >= 3""")
 def _(t):
-    return frequent_sets(B.distinct_items(t.vendor_lines), 3, 4).where("size = 4").select(F.array_join("items", "|").alias("items"), "n")
+    return frequent_sets(in_large_orders(B.distinct_items(t.vendor_lines)), 3, 4).where("size = 4").select(F.array_join("items", "|").alias("items"), "n")
 
 
 @add(
@@ -178,15 +179,10 @@ def _(t):
     return t.orders.select("order_id", F.coalesce(symbols[F.col("country")], F.lit("€")).alias("symbol"))
 
 
-@add("prj19_normalised_text", "SELECT doc_id, trim(nfc_normalize(text)) AS text FROM documents")
+@add("prj19_normalised_text")
 def _(t):
-    import unicodedata
-
-    @F.pandas_udf("string")
-    def composed(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-    return t.raw("documents").select("doc_id", F.trim(composed("text")).alias("text"))
+    """SQL has no NFKC: tested on a fixture."""
+    return t.raw("documents").select("doc_id", I.compatible_text(F.col("text")).alias("text"))
 
 
 @add("prj22_title_words", "SELECT variant_id, list_aggregate(list_transform(list_filter(string_split(replace(lower(product_title), '-', ' '), ' '), lambda x: x <> '')[1:4], lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ') AS title FROM catalog")
@@ -201,10 +197,19 @@ def _(t):
 
 
 # ---- writes
-@add("w05_keep_last", "SELECT variant_id, location_id FROM (SELECT variant_id, location_id, row_number() OVER (PARTITION BY variant_id ORDER BY updated_on DESC, location_id DESC) AS r FROM inventory) WHERE r = 1 AND variant_id IS NOT NULL")
+@add(
+    "w05_keep_last",
+    """WITH f AS (SELECT variant_id, location_id, updated_on FROM inventory WHERE updated_on >= DATE '1997-01-01' AND variant_id IS NOT NULL), o AS (SELECT variant_id, min(location_id) AS location_id FROM inventory GROUP BY 1)
+SELECT variant_id, location_id FROM (SELECT variant_id, location_id, row_number() OVER (PARTITION BY variant_id ORDER BY updated_on DESC, location_id DESC) AS r FROM f) WHERE r = 1
+UNION ALL SELECT * FROM o WHERE variant_id NOT IN (SELECT variant_id FROM f)""",
+)
 def _(t):
-    none = t.inventory.limit(0)
-    return R.upsert(none, t.inventory, ["variant_id"], [F.desc("updated_on"), F.desc("location_id")]).select("variant_id", "location_id")
+    """A stored table with one row per variant gets newer rows, several for one variant: the last one stays."""
+    table = K.Keyed(t.spark, new_path(t.spark, "variants"), ["variant_id"])
+    table.upsert(t.inventory.groupBy("variant_id").agg(F.min("location_id").alias("location_id"), F.lit(None).cast("date").alias("updated_on")))
+    fresh = t.inventory.where("updated_on >= date '1997-01-01'").select("variant_id", "location_id", "updated_on")
+    table.upsert(fresh, [F.desc("updated_on"), F.desc("location_id")])
+    return table.read().select("variant_id", "location_id")
 
 
 @add("w06_resolve_then_drop", "SELECT u.id, coalesce(nullif(lower(trim(u.shop_id)), ''), r.shop) AS shop FROM csv_uploads u LEFT JOIN (SELECT run_id, min(nullif(lower(trim(shop_id)), '')) AS shop FROM csv_uploads WHERE run_id IS NOT NULL GROUP BY 1) r ON r.run_id = u.run_id WHERE coalesce(nullif(lower(trim(u.shop_id)), ''), r.shop) IS NOT NULL")
@@ -216,7 +221,49 @@ def _(t):
 
 @add("w09_conditional_update", "SELECT order_id, CASE WHEN financial_status = 'P' AND total > 100000 THEN 'H' ELSE financial_status END AS status FROM ords")
 def _(t):
-    return t.orders.select("order_id", F.when((F.col("financial_status") == "P") & (F.col("total") > 100000), "H").otherwise(F.col("financial_status")).alias("status"))
+    """A stored table changed in place and read back."""
+    table = K.Keyed(t.spark, new_path(t.spark, "orders"), ["order_id"])
+    table.upsert(t.orders.select("order_id", "total", F.col("financial_status").alias("status")))
+    table.update((F.col("status") == "P") & (F.col("total") > 100000), {"status": F.lit("H")})
+    return table.read().select("order_id", "status")
+
+
+@add("u09_distinct_rules", "WITH r AS (SELECT item_a AS x, item_b AS y, n FROM vpairs UNION ALL SELECT item_b, item_a, n + 1 FROM vpairs) SELECT least(x, y) || '|' || greatest(x, y) AS products, n % 2 AS kind, arg_max(x, n) AS first, max(n) AS n FROM r GROUP BY 1, 2")
+def _(t):
+    """Rules with the same products in any order and the same kind are one: the strongest stays."""
+    p = vendor_pairs(t)
+    r = p.select(F.col("item_a").alias("x"), F.col("item_b").alias("y"), "n").unionByName(p.select(F.col("item_b").alias("x"), F.col("item_a").alias("y"), (F.col("n") + 1).alias("n")))
+    d = r.select(F.array_join(F.array_sort(F.array("x", "y")), "|").alias("products"), (F.col("n") % 2).alias("kind"), F.col("x").alias("first"), "n")
+    return R.first_per_key(d, ["products", "kind"], [F.desc("n"), F.col("first")])
+
+
+@add("x03_first_of_wave", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def _(t):
+    return R.first_per_key(t.events.select("user_id", "event_id", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
+
+
+@add(
+    "j15_attribute_similarity",
+    """WITH c AS (SELECT variant_id, product_type, vendor, price, ln(price) AS l FROM catalog), p AS (SELECT a.variant_id AS a, b.variant_id AS b, (a.product_type = b.product_type) AS t, (a.vendor = b.vendor) AS v, round(abs(a.l - b.l), 4) AS gap,
+0.5::DOUBLE * CAST(a.product_type = b.product_type AS INT) + 0.3::DOUBLE * CAST(a.vendor = b.vendor AS INT) + 0.2::DOUBLE * least(a.price, b.price) / greatest(a.price, b.price) AS score FROM c a JOIN c b ON a.variant_id <> b.variant_id AND (a.product_type = b.product_type OR a.vendor = b.vendor))
+SELECT a, b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY t DESC, v DESC, gap, b) AS r FROM p WHERE score > 0.4) WHERE r <= 5""",
+)
+def _(t):
+    return Z.similar_by_attributes(t.catalog, "variant_id", "product_type", "vendor", "price", 5).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@add(
+    "m23_metadata_similarity",
+    """WITH c AS (SELECT variant_id, product_type, vendor, price, ntile_band, list_filter(list_distinct(string_split(lower(product_title), ' ')), lambda x: x <> '') AS w FROM (SELECT *, CASE WHEN price < 25 THEN 0 WHEN price < 50 THEN 1 WHEN price < 100 THEN 2 WHEN price < 500 THEN 3 WHEN price < 950 THEN 4 ELSE 5 END AS ntile_band FROM catalog)),
+p AS (SELECT q.variant_id AS query, o.variant_id AS other, 0.35::DOUBLE * CAST(lower(q.product_type) = lower(o.product_type) AS INT) + 0.3::DOUBLE * CAST(q.vendor = o.vendor AS INT)
++ 0.2::DOUBLE * (CASE abs(q.ntile_band - o.ntile_band) WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)
++ 0.15::DOUBLE * len(list_intersect(q.w, o.w)) / (len(q.w) + len(o.w) - len(list_intersect(q.w, o.w))) AS score FROM c q JOIN c o ON q.variant_id <> o.variant_id AND q.variant_id % 100 = 0)
+SELECT query, other, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, other) AS r FROM p WHERE score > 0.2) WHERE r <= 10""",
+)
+def _(t):
+    c = t.catalog
+    d = Z.similar_by_metadata(c, c.where("variant_id % 100 = 0"), "variant_id", "product_type", "vendor", "price", "product_title", (25, 50, 100, 500, 950), 10)
+    return d.select("query", "other", F.round("score", 6).alias("score"))
 
 
 # ---- event states

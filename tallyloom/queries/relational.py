@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import baskets as B
 from ..operators import relational as R
 from ..operators import similarity as S
+from ..plans.shared import new_path
+from ..sources import keyed as K
 from .define import Book
 
 book = Book()
@@ -187,15 +189,27 @@ def _(t):
     return R.replace_groups(own, own.where("quantity = 50").withColumn("quantity", F.lit(0)), ["order_id"])
 
 
-@add("w04_inventory_upsert", "SELECT variant_id, location_id, available FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY available DESC, location_id) AS r FROM inventory) WHERE r = 1 UNION ALL SELECT variant_id, location_id, available FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY available DESC, location_id) AS r FROM inventory) WHERE r = 2")
+@add(
+    "w04_inventory_upsert",
+    """WITH f AS (SELECT variant_id, location_id, available + 100 AS available FROM inventory WHERE updated_on >= DATE '1997-01-01'), o AS (SELECT variant_id, location_id, available FROM inventory WHERE updated_on < DATE '1998-01-01')
+SELECT * FROM f UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.variant_id = o.variant_id AND f.location_id = o.location_id)""",
+)
 def _(t):
-    return B.top_per_group(t.inventory, ["variant_id"], [F.desc("available"), F.col("location_id")], 2).select("variant_id", "location_id", "available")
+    """Newer levels replace those of the same item and location in a stored table, others are added."""
+    table, cut = K.Keyed(t.spark, new_path(t.spark, "levels"), ["variant_id", "location_id"]), ["variant_id", "location_id", "available"]
+    table.upsert(t.inventory.where("updated_on < date '1998-01-01'").select(*cut))
+    table.upsert(t.inventory.where("updated_on >= date '1997-01-01'").withColumn("available", F.col("available") + 100).select(*cut))
+    return table.read()
 
 
-@add("w08_delete_counts", "SELECT 'lines' AS table_name, count(*) AS n FROM lines WHERE ship_date < DATE '1995-01-01' UNION ALL SELECT 'orders', count(*) FROM ords WHERE order_date < DATE '1995-01-01'")
+@add("w08_delete_counts", "SELECT 'deleted' AS what, count(*) AS n FROM ords WHERE order_date < DATE '1998-01-01' UNION ALL SELECT 'left', count(*) FROM ords WHERE order_date >= DATE '1998-01-01'")
 def _(t):
-    one = lambda d, n: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n")
-    return one(t.lines.where("ship_date < date '1995-01-01'"), "lines").unionByName(one(t.orders.where("order_date < date '1995-01-01'"), "orders"))
+    """Rows deleted from a stored table: how many went, and how many are there when it is read back."""
+    table = K.Keyed(t.spark, new_path(t.spark, "orders"), ["order_id"])
+    table.upsert(t.orders.select("order_id", "order_date"))
+    gone = table.delete(F.col("order_date") < F.lit("1998-01-01").cast("date"))
+    one = t.spark.createDataFrame([("deleted", gone)], "what string, n long")
+    return one.unionByName(table.read().agg(F.count(F.lit(1)).alias("n")).select(F.lit("left").alias("what"), "n"))
 
 
 @add("w10_json_rows", """SELECT order_id, '{"order_id":' || CAST(order_id AS VARCHAR) || ',"shop":"' || shop_id || '"}' AS doc FROM ords WHERE financial_status = 'P'""")

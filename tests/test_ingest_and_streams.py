@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import ingest as I
@@ -10,12 +11,34 @@ from .conftest import rows
 
 
 def test_headers(spark):
-    names = ["createdAt", "Published Scope", ' "sku" ', "inventory_policy.1", "createdAt"]
-    assert [I.canonical(n) for n in names] == ["created_at", "published_scope", "sku", "inventory_policy_1", "created_at"]
-    d = spark.createDataFrame([tuple("abcde")], names[:4] + ["CreatedAt"])
-    assert I.with_canonical_headers(d).columns == ["created_at", "published_scope", "sku", "inventory_policy_1", "created_at_2"]
-    assert I.detect_kind(["inventoryItemId", "location_id", "available"]) == "inventory_levels" and I.detect_kind(["x"]) is None
-    assert I.missing_columns("orders", ["createdAt"]) == ["order_id or name", "line_item_name", "line_item_quantity"]
+    names = ["createdAt", "Published Scope", '"sku"', "inventory_policy.1", "productHTMLTitle", "Line/Item Name", "Line__Item", "Variant Price", "status", "ID"]
+    want = ["created_at", "published_scope", '"sku"', "inventory_policy.1", "product_html_title", "line_item_name", "line_item", "price", "product_status", "id"]
+    assert [I.canonical(n) for n in names] == want
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(I.canonical_column(F.col("n"))).collect()] == want
+    d = spark.createDataFrame([tuple("abc")], ["createdAt", "x y", "CreatedAt"])
+    assert I.with_canonical_headers(d).columns == ["created_at", "x_y", "created_at_2"]
+
+
+def test_kinds_and_required_columns():
+    assert I.detect_kind([" Inventory_Item_Id", "location_id", "available"]) == "inventory_levels" and I.detect_kind(["x"]) is None
+    assert I.detect_kind(["order_id", "sku"]) == "orders" and I.detect_kind(["variant_id", "product_id", "product_title"]) == "catalog_joined"
+    assert I.schema_errors("orders", ["createdAt"]) == (["lineItemQuantity", "originalUnitPrice"], [("order_id", "orderId", "name"), ("variantId", "variant_id", "sku")])
+    assert I.schema_errors("orders", ["Created At", "line_item_quantity", "originalUnitPrice", "name", "variant id"]) == ([], [])
+    I.validate_schema("inventory_levels", ["inventoryItemId", "location_id", "available", "updated at"])
+    for kind, columns, said in (("orders", ["createdAt"], "one needed of: name, orderId, order_id"), ("nothing", [], "unknown kind")):
+        with pytest.raises(ValueError, match=said):
+            I.validate_schema(kind, columns)
+
+
+def test_decimals_in_any_depth_become_doubles(spark):
+    d = spark.sql("select 1.5BD as a, array(struct(2.5BD as x, 'k' as y)) as b, map('m', 3.5BD) as c, 4 as n")
+    assert I.decimals_as_doubles(d).dtypes == [("a", "double"), ("b", "array<struct<x:double,y:string>>"), ("c", "map<string,double>"), ("n", "int")]
+    assert I.known_columns(d, ["n", "zz", "a"]).columns == ["n", "a"]
+
+
+def test_compatible_text(spark):
+    d = spark.createDataFrame([(" ＡＢＣ ﬁne ², ",), (None,), ("",)], "x string")
+    assert [r[0] for r in d.select(I.compatible_text(F.col("x"))).collect()] == ["ABC fine 2,", None, ""]
 
 
 def test_coercions(spark):

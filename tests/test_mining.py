@@ -56,7 +56,7 @@ def test_sets_and_rules_against_brute_force(spark):
         for k in (1, 2, 3, 4):
             for c in combinations(sorted(s), k):
                 count[c] = count.get(c, 0) + 1
-    sets = M.frequent_sets(B.distinct_items(frame(spark, lines)), 6, 4)
+    sets = M.frequent_sets(M.in_large_orders(B.distinct_items(frame(spark, lines))), 6, 4)
     assert {(tuple(i), n) for _, i, n in rows(sets)} == {(c, n) for c, n in count.items() if n >= 6}
     got = {(tuple(x["antecedent"]), tuple(x["consequent"])): (x["confidence"], x["lift"]) for x in M.rules(sets, len(big), 0.3).collect()}
     for (a, c), (confidence, lift) in got.items():
@@ -75,3 +75,24 @@ def test_vectors_have_length_one_and_cosines_are_symmetric(spark):
     got = {r["set_id"]: r for r in C.set_coherence(s, cos).collect()}
     assert got[2]["mean"] == 0 and got[1]["least"] <= got[1]["mean"] <= got[1]["most"]
     assert C.covisit_vectors(frame(spark, [])).count() == 0
+
+
+def test_pairs_of_large_orders_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK", 5)
+    orders = {0: range(40), 1: range(10, 23), 2: range(3), 3: [7]}
+    d = spark.createDataFrame([(o, x) for o, items in orders.items() for x in items], "order_id int, item int")
+    want = {}
+    for items in orders.values():
+        for p in combinations(sorted(items), 2):
+            want[p] = want.get(p, 0) + 1
+    assert {(a, b): n for a, b, n in rows(B.pair_counts(d), "item_a", "item_b", "n")} == want
+    vectors = d.select(F.col("order_id").alias("neighbour"), "item", (F.col("item") + 1.0).alias("weight"))
+    cos = {(r["item_a"], r["item_b"]): r["cosine"] for r in C.cosine_pairs(vectors).collect()}
+    assert cos == {(a, b): n * (a + 1.0) * (b + 1.0) for (a, b), n in want.items()}
+
+
+def test_relaxed_rules_and_bayes(spark):
+    d = spark.createDataFrame([("a", "b", 3, 0.03, 0.2), ("a", "c", 2, 0.02, 0.9), ("a", "d", 30, 0.3, 0.1), ("b", "d", 4, 0.001, 0.9)], "item_a string, item_b string, n long, support double, confidence double")
+    assert rows(B.relaxed_rules(d), "item_a", "item_b") == [("a", "b")]
+    score = lambda n, k, m: spark.range(1).select(B.bayesian_score(F.lit(n), F.lit(k), F.lit(m))).first()[0]
+    assert abs(score(3, 4, 10) - (4 / 14 - 0.3 / 4)) < 1e-12 and score(0, 9, 10**6) == 0.0 and score(0, 0, 1) == 1.0

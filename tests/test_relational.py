@@ -1,5 +1,6 @@
 import os
 import random
+from math import log
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tallyloom.operators import relational as R
 from tallyloom.operators import selection as S
 from tallyloom.operators import similarity as Z
 from tallyloom.operators import statistics as T
+from tallyloom.sources import keyed as K
 
 from .conftest import rows
 
@@ -67,7 +69,7 @@ def test_merge_matching_and_fronts(spark):
     c = spark.createDataFrame([(["b", "a"], "x", 1), (["a", "b", "a"], "y", 3), (["c"], "x", 2)], "products array<string>, source string, score int")
     assert rows(S.merge_by_set(c)) == [(["a", "b"], 3, ["x", "y"], "y"), (["c"], 2, ["x"], "x")]
     p = spark.createDataFrame([("a", "b", 9), ("b", "c", 8), ("c", "d", 7), ("d", "e", 7)], "a string, b string, n int")
-    order = [("n", False), ("a", True)]
+    order = [-F.col("n"), F.col("a")]
     assert rows(S.greedy_matching(p, "a", "b", order), "a", "b") == [("a", "b"), ("c", "d")]
     assert rows(S.greedy_matching(p.limit(0), "a", "b", order)) == []
     f = spark.createDataFrame([("g", 1, 3, 1), ("g", 2, 2, 2), ("g", 3, 1, 3), ("g", 4, 2, 1), ("g", 5, 1, 1), ("g", 6, 3, 1)], "g string, k int, x int, y int")
@@ -132,8 +134,6 @@ def test_nearest_in_block_with_shared_close_and_missing_values(spark):
 
 
 def test_near_duplicate_sets_lose_no_link(spark):
-    import random
-
     r = random.Random(2)
     base = [sorted(r.sample(range(40), 10)) for _ in range(12)]
     sets = [(i, x) for i, x in enumerate(base)] + [(100 + i, x) for i, x in enumerate(base)] + [(200 + i, x[:-1]) for i, x in enumerate(base)] + [(300 + i, [*x[1:], 41]) for i, x in enumerate(base)] + [(999, [])]
@@ -144,3 +144,58 @@ def test_near_duplicate_sets_lose_no_link(spark):
     near = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) - 1e-9
     want = {(k, classes[tuple(sorted(x))], sum(c != classes[tuple(sorted(x))] and len(x) > 0 and near(x, y) for y, c in classes.items())) for k, x in sets}
     assert set(rows(Z.near_duplicate_sets(d, "k", "items", 0.8))) == want
+
+
+def test_matching_is_the_greedy_walk(spark):
+    r = random.Random(2)
+    pairs = sorted({(f"x{r.randint(0, 60)}", f"y{r.randint(0, 60)}", r.randint(1, 9)) for _ in range(400)})
+    taken, want = set(), []
+    for a, b, n in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in taken and b not in taken:
+            taken |= {a, b}
+            want.append((a, b, n))
+    d = spark.createDataFrame([*pairs, *pairs[:5], (None, "y", 99)], "a string, b string, n int")
+    assert rows(S.greedy_matching(d, "a", "b", [-F.col("n"), F.col("a"), F.col("b")]), "a", "b", "n") == sorted(want)
+
+
+def test_metadata_similarity_of_levels_brands_and_titles(spark):
+    d = spark.createDataFrame(
+        [(1, "Home > Chairs", "Oak & Co", 60.0, "The red chair"), (2, "home > chairs", "oak co", 70.0, "red chair for home"), (3, "Home > Tables", "Oak Co North", 700.0, "table"), (4, None, None, None, None), (5, "", "", 0.0, "")],
+        "id long, c string, v string, p double, t string",
+    )
+    got = {(r["query"], r["other"]): round(r["score"], 6) for r in Z.similar_by_metadata(d, d, "id", "c", "v", "p", "t", (25, 50, 100), least=0.0).collect()}
+    assert got[1, 2] == round(0.35 + 0.25 * 0.7 + 0.2 + 0.15 * 2 / 3, 6)
+    assert got[1, 3] == round(0.35 * 0.7 + 0.25 * 0.7 + 0.2 * 0.5, 6)
+    assert not any(4 in k or 5 in k for k in got)
+    assert Z.similar_by_metadata(d, d.limit(0), "id", "c", "v", "p", "t", (25,)).count() == 0
+
+
+def test_attribute_similarity_against_all_pairs(spark):
+    r = random.Random(3)
+    items = [(i, r.choice(["a", "b", None]), r.choice(["x", "y", None]), r.choice([None, 0.0, 1.0, 2.0, 2.0, 3.0, 9.0])) for i in range(40)]
+    want = []
+    for a, ca, ma, pa in items:
+        best = []
+        for b, cb, mb, pb in items:
+            c, m = ca is not None and ca == cb, ma is not None and ma == mb
+            full = bool(pa and pb)
+            score = 0.5 * c + 0.3 * m + (0.2 * min(pa, pb) / max(pa, pb) if full else 0.0)
+            if a != b and (c or m) and score > 0.4:
+                best.append((not c, not m, round(abs(log(pa) - log(pb)), 4) if full else 99.0, b))
+        want += [(a, x[3]) for x in sorted(best)[:4]]
+    d = spark.createDataFrame(items, "i long, c string, m string, p double")
+    assert rows(Z.similar_by_attributes(d, "i", "c", "m", "p", 4), "a", "b") == sorted(want, key=repr)
+
+
+def test_keyed_table(spark, tmp_path):
+    k = K.Keyed(spark, f"file://{tmp_path}/t", ["id"], buckets=3)
+    new = lambda x: spark.createDataFrame(x, "id long, v string")
+    k.upsert(new([(1, "a"), (2, "b"), (None, "z")]))
+    k.upsert(new([(2, "c"), (2, "d"), (3, "e")]), [F.desc("v")])
+    assert rows(k.read(), "id", "v") == [(1, "a"), (2, "d"), (3, "e")]
+    assert k.update(F.col("id") > 1, {"v": F.lit("u")}) == 2 and k.update(F.col("id") > 9, {"v": F.lit("u")}) == 0
+    assert k.delete(F.col("id") == 3) == 1 and k.delete(F.col("v").isNull()) == 0
+    assert rows(K.Keyed(spark, f"file://{tmp_path}/t", ["id"], buckets=3).read(), "id", "v") == [(1, "a"), (2, "u")]
+    assert k.delete(F.lit(True)) == 2 and k.read().count() == 0
+    k.upsert(new([(5, "n")]))
+    assert rows(k.read(), "id", "v") == [(5, "n")]
