@@ -1,14 +1,16 @@
 """Schemas that drift between the files of a series.
 
-Tagged-union inference: the schema of each file is inferred on its own, in parallel; the schemas of a series are then
-fused along its time order, keeping every alternative type that a field has had. Conflicting types become typed branches
-of one record (``v_integer``, ``v_decimal``, ...) beside the canonical text.
+Tagged-union inference: the schema of each file is inferred on its own, in parallel; the schemas are then fused, renamed
+columns into one field, keeping every alternative type that a field has had and where it first came up. In the one table
+of all files a field of a single type is a column of that type; conflicting types become a struct of typed branches
+beside the canonical text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -118,13 +120,20 @@ def renames(pairs: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("file_id", "gone", "come", "then", "now").mapInPandas(match, "file_id string, old_field string, new_field string")
 
 
-def drift(files: DataFrame) -> DataFrame:
-    """Each change of a file against the one before it in its series: file_id, change_kind, old_field, new_field.
+#: Files of a series whose columns are looked at together; what came before is carried over from block to block.
+BLOCK = 1024
 
-    Files without a header have no fields. Ties of exported_at are ordered by file_id; files without a time come first,
-    and those without a series have no file before them, thus no changes. The key column takes part like any
-    other, except that it can't be renamed. Null bodies are files without fields.
-    """
+
+@dataclass
+class Compared:
+    """Schemas in order, each file beside the one before it, and the columns renamed between them; all written."""
+
+    schemas: DataFrame  # file_id, series_id, exported_at, fields, place, before
+    pairs: DataFrame  # file_id, before, fields, old, gone, come
+    renamed: DataFrame  # file_id, old_field, new_field
+
+
+def compare(files: DataFrame) -> Compared:
     s = written(in_order(file_schemas(files)), "schemas")
     names = lambda c: F.transform(c, lambda x: x["name"])
     before = s.select(F.col("file_id").alias("before"), F.col("fields").alias("old"))
@@ -135,15 +144,41 @@ def drift(files: DataFrame) -> DataFrame:
     )
     pairs = written(pairs, "pairs")
     to_match = pairs.where((F.size("gone") > 0) & (F.size("come") > 0)).select("file_id", "before", "gone", "come")
-    renamed = written(renames(to_match, files), "renames")
+    return Compared(s, pairs, written(renames(to_match, files), "renames"))
+
+
+def _last_before(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with ``was``: the last non-null ``value`` at a lower ``place`` among equal keys.
+
+    The places are cut into blocks, as one key may hold most rows: windows see one block, and one row of each block is
+    carried to the next ones.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col("place") / BLOCK))
+    inside = W.partitionBy(*keys, "_block").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_block").agg(F.max_by(value, "place").alias("_end"))
+    # a block without such a value has no end, so the ends are matched to blocks of rows
+    blocks = rows.select(*keys, "_block").distinct().join(ends, [*keys, "_block"], "left")
+    carried = F.last("_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select(*keys, "_block", carried.alias("_carried"))
+    own = rows.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
+    return own.join(blocks, [*keys, "_block"]).withColumn("was", F.coalesce("_inside", "_carried")).drop("_block", "_inside", "_carried")
+
+
+def drift(files: DataFrame) -> DataFrame:
+    """Each change of a file against the one before it in its series: file_id, change_kind, old_field, new_field.
+
+    Files without a header have no fields. Ties of exported_at are ordered by file_id; files without a time come first,
+    and those without a series have no file before them, thus no changes. The key column takes part like any
+    other, except that it can't be renamed. Null bodies are files without fields.
+    """
+    c = compare(files)
+    s, pairs, renamed = c.schemas, c.pairs, c.renamed
     gone = pairs.select("file_id", F.explode("gone").alias("old_field")).join(renamed.select("file_id", "old_field"), ["file_id", "old_field"], "left_anti")
     come = pairs.select("file_id", F.explode("come").alias("new_field")).join(renamed.select("file_id", "new_field"), ["file_id", "new_field"], "left_anti")
     # kept fields stand in the file before too; the last type in any earlier file, also from before a gap
-    f = s.select("file_id", "series_id", "place", F.inline("fields"))
-    by_name = W.partitionBy("series_id", "name").orderBy("place")
-    was = F.last("type", ignorenulls=True).over(by_name.rowsBetween(W.unboundedPreceding, -1))
-    stood = F.lag("place").over(by_name) == F.col("place") - 1
-    kept = f.withColumns({"was": was, "stood": stood}).where(F.col("stood") & (F.col("type") != F.col("was")))
+    f = s.where(F.col("series_id").isNotNull()).select("file_id", "series_id", "place", F.inline("fields"))
+    stood = pairs.select("file_id", F.explode("old").alias("x")).select("file_id", F.col("x.name").alias("name"))
+    kept = _last_before(f, ["series_id", "name"], "type").where(F.col("type") != F.col("was")).join(stood, ["file_id", "name"], "left_semi")
     typed = lambda c: F.explode(F.col(c))
     new = pairs.select("file_id", typed("fields").alias("x")).select("file_id", F.col("x.name").alias("new_field"), F.col("x.type").alias("now"))
     old = pairs.select("file_id", typed("old").alias("x")).select("file_id", F.col("x.name").alias("old_field"), F.col("x.type").alias("was"))
@@ -159,30 +194,136 @@ def drift(files: DataFrame) -> DataFrame:
     )
 
 
-def unified(files: DataFrame) -> DataFrame:
-    """All files as one table of tagged unions: file_id, series_id, exported_at, row_no, field, tag and one typed branch.
+def _snake(name: str) -> str:
+    return re.sub(r"[^\w]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)).strip("_").lower() or "column"
+
 
-    field is the name in snake case, so spellings of one name fall together; name is the name in the file. tag is the
-    type of the column in its file; exactly one of v_integer, v_decimal, v_boolean, v_timestamp and v_text is set, and
-    canonical has the trimmed text. Empty cells have no row.
+def field_names(names: list[str], renamed: dict[str, str]) -> list[str]:
+    """The field of each column of a file: the first name of its chain of renames, in snake case.
+
+    Spellings of one name fall together. Where two columns of a file would be one field, the later one goes by its own
+    name, and if that is taken too, by that name with a number.
     """
+    out: list[str] = []
+    for n in names:
+        options = [_snake(renamed.get(n, n)), _snake(n)]
+        options += [f"{options[1]}_{i}" for i in range(2, len(names) + 2)]
+        out.append(next(x for x in options if x not in out))
+    return out
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for f, s, t, body in zip(batch["file_id"], batch["series_id"], batch["exported_at"], batch["body"]):
-                out = [(n, type_of(v), i + 1, x.strip()) for n, v in _by_column(body).items() for i, x in enumerate(v) if x.strip()]
-                yield pd.DataFrame(out, columns=["name", "tag", "row_no", "canonical"]).assign(file_id=f, series_id=s, exported_at=t)
-
-    own = files.dropDuplicates(["file_id"]).select("file_id", "series_id", "exported_at", "body")
-    flat = own.mapInPandas(spread, "name string, tag string, row_no int, canonical string, file_id string, series_id string, exported_at timestamp")
-    field = F.lower(F.regexp_replace(F.regexp_replace("name", r"([a-z0-9])([A-Z])", "$1_$2"), r"[\s\-.]+", "_"))
-    v = F.col("canonical")
-    branch = lambda t, c: F.when(F.col("tag") == t, c)
-    return flat.select(
-        "file_id", "series_id", "exported_at", "row_no", "name", field.alias("field"), "tag",
-        branch("integer", v.try_cast("decimal(38,0)")).alias("v_integer"),
-        branch("decimal", v.try_cast("double")).alias("v_decimal"),
-        branch("boolean", F.lower(v) == "true").alias("v_boolean"),
-        branch("timestamp", F.try_to_timestamp(F.regexp_replace(F.regexp_replace(v, "Z$", ""), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("v_timestamp"),
-        branch("text", v).alias("v_text"), "canonical",
+
+def first_names(c: Compared) -> DataFrame:
+    """file_id and renamed map<name, first name> of the files that have columns which were renamed earlier.
+
+    A column's life in a series runs from where it comes until it goes. A renamed one goes on with the life of the old
+    name; the chains are followed back by doubling, so a chain of n renames takes about log2(n) rounds.
+    """
+    place = c.schemas.select("file_id", "series_id", "place").where(F.col("series_id").isNotNull())
+    starts = (
+        c.schemas.where(F.col("before").isNull()).select("file_id", F.explode("fields.name").alias("name"))
+        .unionByName(c.pairs.select("file_id", F.explode("come").alias("name")))
+        .join(c.renamed.select("file_id", F.col("new_field").alias("name"), "old_field"), ["file_id", "name"], "left")
+        .join(place, "file_id")
+        .select("series_id", "name", "place", "old_field")
     )
+    starts = written(starts, "starts")
+    # the life of the old name that a rename goes on with: its last start before
+    asked = starts.where(F.col("old_field").isNotNull()).select("series_id", F.col("old_field").alias("name"), "place", F.col("name").alias("new"), F.lit(None).cast("long").alias("at"))
+    both = starts.select("series_id", "name", "place", F.lit(None).cast("string").alias("new"), F.col("place").alias("at")).unionByName(asked)
+    found = _last_before(both, ["series_id", "name"], "at").where(F.col("new").isNotNull())
+    links = found.select("series_id", F.col("new").alias("name"), "place", F.col("name").alias("up"), F.col("was").alias("up_place"))
+    links = written(links, "links")
+    while True:
+        up = links.select("series_id", F.col("name").alias("up"), F.col("place").alias("up_place"), F.col("up").alias("_up"), F.col("up_place").alias("_place"))
+        both = links.join(up, ["series_id", "up", "up_place"], "left")
+        higher = F.col("_up").isNotNull()
+        new = both.select("series_id", "name", "place", F.when(higher, F.col("_up")).otherwise(F.col("up")).alias("up"), F.when(higher, F.col("_place")).otherwise(F.col("up_place")).alias("up_place"), higher.alias("moved"))
+        new = written(new, "links")
+        moved = new.where("moved").limit(1).count()
+        links = new.drop("moved")
+        if not moved:
+            break
+    ends = starts.join(links.select("series_id", "name").distinct(), ["series_id", "name"], "left_semi")
+    ends = ends.withColumn("next", F.lead("place").over(W.partitionBy("series_id", "name").orderBy("place"))).select("series_id", "name", "place", "next")
+    lives = links.join(ends, ["series_id", "name", "place"]).select("series_id", "name", F.col("place").alias("start"), "next", "up")
+    there = c.schemas.where(F.col("series_id").isNotNull()).select("file_id", "series_id", "place", F.explode("fields.name").alias("name"))
+    own = there.join(lives, ["series_id", "name"]).where((F.col("place") >= F.col("start")) & (F.col("next").isNull() | (F.col("place") < F.col("next"))))
+    return own.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "up"))).alias("renamed"))
+
+
+def _columns(c: Compared) -> DataFrame:
+    """file_id, series_id, exported_at, place, name, field, type of every column of every file."""
+    d = c.schemas.join(first_names(c), "file_id", "left")
+
+    @F.pandas_udf("array<string>")
+    def fields_of(names: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+        none = lambda x: [] if x is None else x
+        return pd.Series([field_names(list(none(n)), dict(zip(none(a), none(b)))) for n, a, b in zip(names, old, new)], dtype="object")
+
+    named = d.withColumn("names", fields_of(F.col("fields.name"), F.map_keys("renamed"), F.map_values("renamed")))
+    own = named.select("file_id", "series_id", "exported_at", "place", F.explode(F.arrays_zip("fields", "names")).alias("x"))
+    return own.select("file_id", "series_id", "exported_at", "place", F.col("x.fields.name").alias("name"), F.col("x.names").alias("field"), F.col("x.fields.type").alias("type"))
+
+
+def fused_schema(files: DataFrame) -> DataFrame:
+    """Per series and field every alternative type: series_id, field, type, names, files, first_file, first_at, alternative.
+
+    ``alternative`` numbers a field's types from 1 in the order in which they came up; a column that is empty in a file
+    has no type there. names are the spellings and former names under which the type stood.
+    """
+    typed = _columns(compare(files)).where(F.col("type").isNotNull())
+    first = F.min(F.struct("place", "file_id", "exported_at"))
+    one = typed.groupBy("series_id", "field", "type").agg(F.array_sort(F.collect_set("name")).alias("names"), F.count(F.lit(1)).alias("files"), first.alias("_first"))
+    # at most one row for each type there is
+    number = F.row_number().over(W.partitionBy("series_id", "field").orderBy("_first", "type"))
+    return one.select("series_id", "field", "type", "names", "files", F.col("_first.file_id").alias("first_file"), F.col("_first.exported_at").alias("first_at"), number.alias("alternative"))
+
+
+_BRANCHES = {
+    "integer": lambda v: v.try_cast("decimal(38,0)"),
+    "decimal": lambda v: v.try_cast("double"),
+    "boolean": lambda v: F.lower(v) == "true",
+    "timestamp": lambda v: F.try_to_timestamp(F.regexp_replace(F.regexp_replace(v, "Z$", ""), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")),
+    "text": lambda v: v,
+}
+
+
+def unified(files: DataFrame) -> DataFrame:
+    """All files as one table, one row per record: file_id, series_id, exported_at, row_no and ``record``.
+
+    ``record`` is a struct of all fields that any file has, renamed columns in one field (``field_names``). A field that has
+    had one type is of that type (integer: decimal(38,0), decimal: double, boolean, timestamp, text: string; text also
+    where it was always empty). A field of several types is a struct of one branch for each of them, of which the one of
+    the column's type in its file is set, and ``canonical``, the trimmed text. Empty cells and fields that a file lacks are
+    null; records without any value keep their row. The list of fields and types goes to the driver, as it is the schema
+    of the table.
+    """
+    c = compare(files)
+    columns = written(_columns(c), "columns")
+    types: dict[str, set[str]] = {}
+    for r in columns.select("field", "type").distinct().collect():
+        types.setdefault(r["field"], set()).update([r["type"]] if r["type"] else [])
+    renamed = columns.where(F.col("field") != F.col("name")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "field"))).alias("fields"))
+    own = files.select("file_id", "series_id", "exported_at", "body").dropDuplicates(["file_id"]).join(renamed, "file_id", "left")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for f, s, t, body, fields in zip(batch["file_id"], batch["series_id"], batch["exported_at"], batch["body"], batch["fields"]):
+                data, field = _by_column(body), dict(fields or {})
+                tags = {field.get(n, n): type_of(v) for n, v in data.items()}
+                rows = [{field.get(n, n): x.strip() for n, x in zip(data, cells) if x.strip()} for cells in zip(*data.values())]
+                for a in range(0, len(rows), 10_000):  # long files leave in parts
+                    part = rows[a : a + 10_000]
+                    yield pd.DataFrame({"file_id": f, "series_id": s, "exported_at": t, "row_no": range(a + 1, a + 1 + len(part)), "values": part, "tags": [tags] * len(part)})
+
+    flat = own.mapInPandas(read, "file_id string, series_id string, exported_at timestamp, row_no int, values map<string,string>, tags map<string,string>")
+    record = []
+    for field in sorted(types):
+        kinds = [k for k in _BRANCHES if k in types[field]]
+        text, tag = F.element_at("values", F.lit(field)), F.element_at("tags", F.lit(field))
+        if len(kinds) > 1:
+            branches = [F.when(tag == k, _BRANCHES[k](text)).alias(k) for k in kinds]
+            record.append(F.when(text.isNotNull(), F.struct(*branches, text.alias("canonical"))).alias(field))
+        else:
+            record.append(_BRANCHES[kinds[0] if kinds else "text"](text).alias(field))
+    return flat.select("file_id", "series_id", "exported_at", "row_no", (F.struct(*record) if record else F.lit(None).cast("struct<column:string>")).alias("record"))

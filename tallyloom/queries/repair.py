@@ -11,7 +11,7 @@ from ..operators.csv_rows import failed_rows, loaded_rows
 from ..operators.instants import normalise_instants
 from ..operators.orphans import find_orphans, orphan_report
 from ..operators.packed_values import split_values
-from ..operators.schema_drift import drift, unified
+from ..operators.schema_drift import drift, fused_schema, unified
 from ..sources.tables import table
 
 ORDERS, MAIN, SYNTH = "store_main_orders", "shop2_catalog_joined_main", "shop2_catalog_joined_set_synth1"
@@ -95,8 +95,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift(table(spark, folder, "feed_files"))
 
 
+def p6_alternatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every alternative type of every field, with the file where it first came up."""
+    d = fused_schema(table(spark, folder, "feed_files"))
+    return d.withColumn("names", F.array_join("names", "|"))
+
+
 def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unified(table(spark, folder, "feed_files"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p4_loaded, p6_found, p6_unified)}
+QUERIES = {f.__name__: (f, None) for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p4_loaded, p6_found, p6_alternatives, p6_unified)}

@@ -1,6 +1,9 @@
 from datetime import datetime, timedelta
 
-from tallyloom.operators.schema_drift import drift, file_schemas, in_order, type_of, unified
+from pyspark.sql import functions as F
+
+from tallyloom.operators import schema_drift as D
+from tallyloom.operators.schema_drift import drift, field_names, file_schemas, fused_schema, in_order, type_of, unified
 
 from .conftest import rows
 
@@ -67,8 +70,39 @@ def test_files_without_a_time_come_first_and_without_a_series_stand_alone(spark)
     assert rows(drift(d)) == [("f1", "added", "", "b"), ("f1", "removed", "a", ""), ("f3", "added", "", "a")]
 
 
-def test_unified_rows_have_one_branch(spark):
-    d = unified(files(spark, 'sku,productId,ok\n"a,b",7,TRUE\n', "sku,Product-Id,ok\nq,x,\n"))
-    assert rows(d, "file_id", "field", "tag", "v_integer", "v_boolean", "v_text")[:2] == [("f0", "ok", "boolean", None, True, None), ("f0", "product_id", "integer", 7, None, None)]
-    one = d.selectExpr("int(v_integer is not null) + int(v_decimal is not null) + int(v_boolean is not null) + int(v_timestamp is not null) + int(v_text is not null) as n")
-    assert {r[0] for r in one.collect()} == {1}
+def test_field_names():
+    assert field_names(["sku", "Published Scope", "Qty", "qty", "QTY", ""], {"Qty": "amount"}) == ["sku", "published_scope", "amount", "qty", "qty_2", "column"]
+    assert field_names(["a", "b"], {"b": "a"}) == ["a", "b"]  # the name came again beside the renamed column
+
+
+def test_unified_is_one_row_per_record_with_renames_and_branches(spark):
+    d = files(
+        spark,
+        'sku,title,Product Id,n\n"a,b",Lamp,7,\nq,Chair,8,\n',
+        "sku,variant_title,product-id,n\nq,Chair,x,\n",  # title renamed; another spelling and type of the product id, as q has other texts
+        "sku,name,product-id,n\nq,Chair,y,\n,,,\n",  # renamed once more
+        "sku,name,product-id,n,title\nq,Chair,9,,again\n",  # the first name comes again, beside its heir
+    )
+    out = unified(d)
+    got = sorted(out.select("file_id", "row_no", "record.*").collect(), key=lambda r: (r["file_id"], r["row_no"]))
+    assert [(r["file_id"], r["row_no"], r["sku"], r["title"]) for r in got] == [("f0", 1, "a,b", "Lamp"), ("f0", 2, "q", "Chair"), ("f1", 1, "q", "Chair"), ("f2", 1, "q", "Chair"), ("f2", 2, None, None), ("f3", 1, "q", "Chair")]
+    assert [r["product_id"] and r["product_id"].asDict() for r in got] == [
+        {"integer": 7, "text": None, "canonical": "7"}, {"integer": 8, "text": None, "canonical": "8"}, {"integer": None, "text": "x", "canonical": "x"},
+        {"integer": None, "text": "y", "canonical": "y"}, None, {"integer": 9, "text": None, "canonical": "9"},
+    ]
+    assert [r["title_2"] for r in got] == [None] * 5 + ["again"] and {r["n"] for r in got} == {None}
+    assert out.schema["record"].dataType["sku"].dataType.typeName() == "string"
+    alternatives = rows(fused_schema(d), "series_id", "field", "type", "files", "first_file", "alternative")
+    assert ("s", "product_id", "integer", 2, "f0", 1) in alternatives and ("s", "product_id", "text", 2, "f1", 2) in alternatives
+    assert [r["names"] for r in fused_schema(d).where("field = 'title'").collect()] == [["name", "title", "variant_title"]]
+
+
+def test_long_series_go_through_blocks(spark, monkeypatch):
+    """One series holds nearly all files; its types and renames are carried from block to block."""
+    monkeypatch.setattr(D, "BLOCK", 4)
+    bodies = [f"sku,a,c{i // 9}\nx,{i if i < 3 else ''},v\n" for i in range(37)] + ["sku,a,c4\nx,word,v\n"]
+    d = files(spark, *bodies).unionByName(files(spark, "sku\n1\n", series="other").withColumn("file_id", F.lit("g")))
+    found = rows(drift(d))
+    assert found == sorted([(f"f{9 * k}", "renamed", f"c{k - 1}", f"c{k}") for k in (1, 2, 3, 4)] + [("f37", "retyped", "a", "a")], key=repr)
+    record = unified(d).where("series_id = 's'")
+    assert record.select("record.*").columns == ["a", "c0", "sku"] and record.where("record.c0 = 'v'").count() == 38
