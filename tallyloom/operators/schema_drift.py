@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.shared import written
-from ..sources.csv_text import physical_lines, read_row
+from ..sources.csv_text import read_rows
 
 _TYPES = (
     ("integer", re.compile(r"[+-]?[0-9]+")),
@@ -39,14 +39,9 @@ def type_of(values: list[str]) -> str | None:
 
 def read_file(body: str | None) -> tuple[list[str], list[list[str]]]:
     """(names, rows); short rows are filled with '', a name that stands twice counts where it stands first."""
-    lines = physical_lines(body or "")
-    rows, at, width = [], 0, 0
-    while at < len(lines):
-        if lines[at].strip():
-            cells, at = read_row(lines, at, ",", width or 1 << 30) or (lines[at].split(","), at)
-            width = width or len(cells)
-            rows.append((cells + [""] * width)[:width])
-        at += 1
+    rows = [r.raw.split(",") if r.cells is None else r.cells for r in read_rows(body, ",")]
+    width = len(rows[0]) if rows else 0
+    rows = [(r + [""] * width)[:width] for r in rows]
     return ([x.strip() for x in rows[0]], rows[1:]) if rows else ([], [])
 
 

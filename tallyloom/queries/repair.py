@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import id_number, present
 from ..functions.instants import instant
-from ..operators.csv_rows import failed_rows, loaded_rows
+from ..operators.csv_rows import explained, failed_rows, loaded_rows
 from ..operators.instants import normalise_instants
 from ..operators.orphans import find_orphans, orphan_report
 from ..operators.packed_values import split_values
@@ -84,9 +84,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return failed_rows(table(spark, folder, "upload_requests")).select("upload_id", "line_no", "reason").distinct()
+
+
+def p4_broken(spark: SparkSession, folder: str) -> DataFrame:
+    """The broken rows with their whole raw text."""
     return failed_rows(table(spark, folder, "upload_requests"))
 
 
+def p4_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """What csv_uploads.error_message says beside what is wrong in the text."""
+    return explained(failed_rows(table(spark, folder, "upload_requests")), table(spark, folder, "csv_uploads"))
+
+
 def p4_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return loaded_rows(table(spark, folder, "upload_requests"))
 
@@ -105,4 +115,4 @@ def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unified(table(spark, folder, "feed_files"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p4_loaded, p6_found, p6_alternatives, p6_unified)}
+QUERIES = {f.__name__: (f, None) for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p4_broken, p4_messages, p4_loaded, p6_found, p6_alternatives, p6_unified)}

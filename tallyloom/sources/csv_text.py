@@ -1,18 +1,37 @@
-"""Rows of a CSV text, read permissively."""
+"""Rows of a CSV text, read permissively and as a stream over the text: no list of its lines is made."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
-_LINE_END = re.compile(r"\r\n|\n")
 _DELIMITERS = ",;\t|"
 
 
-def physical_lines(text: str) -> list[str]:
-    """Lines by \\n or \\r\\n; a text without \\n may use \\r alone."""
-    text = text.removeprefix("﻿")
-    return _LINE_END.split(text) if "\n" in text else text.split("\r")
+class Lines:
+    """The physical lines of a text by position: they end with \\n or \\r\\n; a text without \\n may use \\r alone."""
+
+    def __init__(self, text: str):
+        self.text = text.removeprefix("\ufeff")
+        self.end = "\n" if "\n" in self.text else "\r"
+
+    def at(self, pos: int) -> tuple[str, int]:
+        """The line that starts at ``pos``, and where the next one starts (beyond the text after the last)."""
+        k = self.text.find(self.end, pos)
+        if k < 0:
+            return self.text[pos:], len(self.text) + 1
+        return self.text[pos : k - (self.end == "\n" and k > pos and self.text[k - 1] == "\r")], k + 1
+
+    def more(self, pos: int) -> bool:
+        return pos <= len(self.text)
+
+
+class Row(NamedTuple):
+    line_no: int  # from 1, of the physical line on which the row starts
+    row_no: int  # from 0, the header
+    raw: str
+    cells: list[str] | None  # None where the row isn't well quoted; such a row ends with its line
 
 
 def delimiter_of(header: str) -> str:
@@ -21,25 +40,26 @@ def delimiter_of(header: str) -> str:
     return max(_DELIMITERS, key=lambda d: (bare.count(d), -_DELIMITERS.index(d)))
 
 
-def read_row(lines: list[str], at: int, delimiter: str, width: int) -> tuple[list[str], int] | None:
-    """The cells of the row that starts on line ``at``, and its last line; None if it isn't well quoted.
+def read_row(lines: Lines, at: int, delimiter: str, width: int) -> tuple[list[str], int, int] | None:
+    """The cells of the row that starts at ``at``, where the next one starts, and how many lines it has; None if it isn't
+    well quoted.
 
     A row that spans lines must also have ``width`` cells.
     """
-    line, end, p, cells = lines[at], at, 0, []
+    line, after = lines.at(at)
+    p, n, cells = 0, 1, []
     if '"' not in line:
-        return line.split(delimiter), at
+        return line.split(delimiter), after, 1
     while True:
         if line[p : p + 1] == '"':
             p, held = p + 1, []
             while True:
                 k = line.find('"', p)
                 if k < 0:
-                    end += 1
-                    if end == len(lines) or len(cells) >= width:
+                    if not lines.more(after) or len(cells) >= width:
                         return None
                     held.append(line[p:] + "\n")
-                    line, p = lines[end], 0
+                    (line, after), p, n = lines.at(after), 0, n + 1
                 elif line[k + 1 : k + 2] == '"':
                     held.append(line[p : k + 1])
                     p = k + 2
@@ -56,41 +76,32 @@ def read_row(lines: list[str], at: int, delimiter: str, width: int) -> tuple[lis
             cells.append(line[p:k])
             p = k
         if p >= len(line):
-            return None if end > at and len(cells) != width else (cells, end)
+            return None if n > 1 and len(cells) != width else (cells, after, n)
         p += 1
 
 
-def read_text(text: str | None) -> tuple[list[str], Iterator[tuple[int, str, list[str] | None, str | None]]]:
-    """(header, rows): the stripped names, and for each row (line number from 1, raw text, cells or None, reason or None).
+def read_rows(text: str | None, delimiter: str | None = None) -> Iterator[Row]:
+    """The rows of a text, the header first; lines that are empty or of spaces only are no rows but count.
 
-    Lines that are empty or of spaces only are no rows. A text that is null or blank has an empty header and no rows.
+    The delimiter is that of the header if none is given. A header that isn't well quoted is split at its delimiters.
     """
-    lines = physical_lines(text or "")
-    top = next((i for i, x in enumerate(lines) if x.strip(" ")), None)
-    if top is None:
-        return [], iter(())
-    delimiter = delimiter_of(lines[top])
-    first = read_row(lines, top, delimiter, lines[top].count(delimiter) + 1)
-    cells, end = first or (lines[top].split(delimiter), top)
-    header = [x.strip() for x in cells]
-
-    def rows() -> Iterator[tuple[int, str, list[str] | None, str | None]]:
-        at = end + 1
-        while at < len(lines):
-            if not lines[at].strip(" "):
-                at += 1
-                continue
-            got = read_row(lines, at, delimiter, len(header))
-            if got is None:
-                yield at + 1, lines[at], None, "quoting"
-                at += 1
-                continue
-            cells, last = got
-            raw = "\n".join(lines[at : last + 1])
-            if len(cells) != len(header):
-                yield at + 1, raw, None, "column_count"
-            else:
-                yield at + 1, raw, [x.strip() for x in cells], None
-            at = last + 1
-
-    return header, rows()
+    lines, at, line_no, row_no, width = Lines(text or ""), 0, 1, 0, None
+    while lines.more(at):
+        line, after = lines.at(at)
+        if not line.strip(" "):
+            at, line_no = after, line_no + 1
+            continue
+        delimiter = delimiter or delimiter_of(line)
+        got = read_row(lines, at, delimiter, line.count(delimiter) + 1 if width is None else width)
+        if got is None and width is None:
+            got = line.split(delimiter), after, 1
+        if got is None:
+            yield Row(line_no, row_no, line, None)
+            at, line_no = after, line_no + 1
+        else:
+            cells, after, n = got
+            width = len(cells) if width is None else width
+            raw = line if n == 1 else lines.text[at : after - 1].replace("\r\n", "\n").removesuffix("\r" if lines.end == "\n" else "")
+            yield Row(line_no, row_no, raw, cells)
+            at, line_no = after, line_no + n
+        row_no += 1

@@ -1,5 +1,5 @@
-from tallyloom.operators.csv_rows import failed_rows, loaded_rows
-from tallyloom.sources.csv_text import read_text
+from tallyloom.operators.csv_rows import explained, failed_rows, loaded_rows
+from tallyloom.sources.csv_text import read_rows
 
 from .conftest import rows
 
@@ -8,7 +8,7 @@ HEAD = "order_id,name,price,available,createdAt\n"
 
 def broken(spark, *texts):
     d = spark.createDataFrame([(f"u{i}", t, "clash") for i, t in enumerate(texts)], "upload_id string, csv_data string, reason string")
-    return rows(failed_rows(d))
+    return rows(failed_rows(d), "upload_id", "line_no", "reason")
 
 
 def test_reasons_in_order(spark):
@@ -52,5 +52,25 @@ def test_valid_rows_are_typed(spark):
 
 
 def test_spanning_row_must_have_the_right_width():
-    _, got = read_text('a,b\n"x\ny",1\n"x\ny",1,2\nz,2')
-    assert [(n, reason) for n, _, _, reason in got] == [(2, None), (4, "quoting"), (5, "column_count"), (6, None)]
+    got = list(read_rows('a,b\n"x\ny",1\n"x\ny",1,2\nz,2'))
+    assert [(r.line_no, r.row_no, r.raw, r.cells and len(r.cells)) for r in got] == [(1, 0, "a,b", 2), (2, 1, '"x\ny",1', 2), (4, 2, '"x', None), (5, 3, 'y",1,2', 3), (6, 4, "z,2", 2)]
+    assert [r.cells for r in read_rows('a\r\n"x\r\ny"\r\n')] == [["a"], ["x\ny"]] and [r.cells for r in read_rows("a\r1\r")] == [["a"], ["1"]]
+
+
+def test_raw_text_and_other_columns_are_kept(spark):
+    text = 'Title,order_id,price,title,price\n"a ""b""",gid/1,1,x,\nt,gid/2,,y,7\nt,,1,y,\nt,gid/3,1\n"t" t,gid/4,1,y,\n'
+    d = spark.createDataFrame([("u", text)], "upload_id string, csv_data string")
+    assert rows(failed_rows(d), "line_no", "reason", "raw") == [(4, "invalid_value", "t,,1,y,"), (5, "column_count", "t,gid/3,1"), (6, "quoting", '"t" t,gid/4,1,y,')]
+    assert [(r["order_id"], float(r["price"]), r["other"]) for r in loaded_rows(d).orderBy("line_no").collect()] == [("gid/1", 1.0, {"Title": 'a "b"', "title": "x"}), ("gid/2", 7.0, {"Title": "t", "title": "y"})]
+
+
+def test_messages(spark):
+    head = "order_id,price\n"
+    d = spark.createDataFrame([("a", head + '"x" y,1\n'), ("b", head + "\n1,2\n1,x\n"), ("c", head + "1,2,3\n"), ("d", head + "1,2\n"), ("e", head + "1\n")], "upload_id string, csv_data string")
+    u = spark.createDataFrame(
+        [("a", "Row 1 has 3 columns, expected 2 | Unbalanced quotes near row 1", 1), ("b", "Row 9 has 1 columns, expected 2", 1), ("b", "Invalid numeric value in orders CSV, row 2, column 'price': 'x'.", 2), ("b", None, 3), ("c", "Unbalanced quotes near row 3…", 1), ("d", "see log", 1), (None, "x", 1), ("z", " ", 1)],
+        "id string, error_message string, updated_at int",
+    )
+    got = rows(explained(failed_rows(d), u), "upload_id", "part", "said", "said_row", "agrees", "placed", "first_line")
+    want = [("a", 1, "column_count", 1, False, False, 2), ("a", 2, "quoting", 1, True, True, 2), ("b", 1, "invalid_value", 2, True, True, 4), ("c", 1, "quoting", None, False, None, 2), ("d", 1, "vague", None, None, None, None), ("e", None, "none", None, None, None, 2)]
+    assert got == want
