@@ -15,8 +15,10 @@ def extend_dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
     """Parse the distinct (source, zone, raw) of ``values`` that the dictionary at ``path`` lacks, and append them.
 
     Without a path the dictionary is new. Returns the whole dictionary: source, zone, raw, utc_micros (null for texts
-    that stand for no time, so that these too are parsed only once). Null raws are left out; a null zone is kept as ''.
+    that stand for no time, so that these too are parsed only once), each text once, also where writers at the same time
+    have both appended it. Null raws are left out; a null zone is kept as ''.
     """
+    kept = path is not None
     spark = values.sparkSession
     known = None
     if path is not None:
@@ -30,7 +32,9 @@ def extend_dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
     if known is not None:
         fresh = fresh.join(known.select(*KEYS), KEYS, "left_anti")
     fresh.withColumn("utc_micros", F.unix_micros(instant(F.col("raw"), F.col("zone")))).write.mode("append").parquet(path)
-    return spark.read.schema("source string, zone string, raw string, utc_micros long").parquet(path)
+    whole = spark.read.schema("source string, zone string, raw string, utc_micros long").parquet(path)
+    # by the keys of the join that follows, so the grouping needs no exchange of its own; a new dictionary is unique as it is
+    return whole.groupBy(*KEYS).agg(F.max("utc_micros").alias("utc_micros")) if kept else whole
 
 
 def normalise_instants(rows: DataFrame, dictionary_path: str | None = None) -> DataFrame:

@@ -60,6 +60,9 @@ def test_dictionary_is_incremental_and_keeps_every_row(spark, tmp_path):
     out = normalise_instants(second, path)
     assert rows(out, "raw_no", "utc_micros") == [(4, 1717690419 * 10**6), (5, None)]
     assert spark.read.parquet(path).count() == 3
+    spark.read.parquet(path).write.mode("append").parquet(path)  # as two writers at the same time would
+    assert spark.read.parquet(path).count() == 6 and extend_dictionary(second, path).count() == 3
+    assert normalise_instants(first, path).count() == 4 and normalise_instants(second, path).count() == 2
     assert normalise_instants(first.limit(0)).count() == 0
 
 
