@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
 
 
-def dense_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
-    """The frame (one row per key) with codes 0..n-1 in key order.
+def dense_codes(df: DataFrame, key: str | list[str], code: str = "code") -> DataFrame:
+    """The frame (one row per key of one or more columns) with codes 0..n-1 in key order.
 
     The rows are range-partitioned and numbered inside each partition; only one count per partition reaches the
     driver, to make the offsets. The numbered rows are written to the shared folder first, so that a lost executor
     can't renumber them.
     """
+    keys = [key] if isinstance(key, str) else key
     own = (
-        df.repartitionByRange(F.col(key))
-        .sortWithinPartitions(key)
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
         .withColumn("_m", F.monotonically_increasing_id())
     )
     own = written(own.withColumn("_p", F.shiftright("_m", 33).cast("int")).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"), "codes")
@@ -29,8 +30,3 @@ def dense_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
         return own.select(*df.columns, F.lit(0).cast("long").alias(code))
     offset = F.create_map(*[F.lit(x) for p in offsets for x in p])[F.col("_p")]
     return own.select(*df.columns, (F.col("_i") + offset).cast("long").alias(code))
-
-
-def hot(df: DataFrame, key: Column, at_least: int) -> DataFrame:
-    """Keys with more than ``at_least`` rows and their counts."""
-    return df.groupBy(key.alias("key")).count().where(F.col("count") > at_least)

@@ -1,9 +1,10 @@
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyloom.functions.ids import id_number
-from tallyloom.operators.orphans import find_orphans, orphan_report
+from tallyloom.operators.orphans import RANGE, compressed, expanded, find_orphans, orphan_report
 
 from .conftest import rows
 
@@ -43,6 +44,23 @@ def test_kinds_against_brute_force(spark):
     assert report.where("month = '2024-03'").count() > 0
 
 
+def test_bitmaps_in_both_forms():
+    r = np.random.default_rng(1)
+    for share in (0.0, 0.001, 0.05, 0.5, 1.0):
+        bits = r.random(RANGE) < share
+        raw = np.packbits(bits, bitorder="little").tobytes()
+        assert (expanded(compressed(raw)) == bits).all()
+        assert len(compressed(raw)) <= min(2 * bits.sum() + (bits.sum() == 0), RANGE // 8 + 1) or share > 0.05
+
+
+def test_texts_as_keys_over_several_ranges(spark):
+    n = RANGE * 2 + 100
+    refs = spark.range(n).selectExpr("'r' AS relation", "cast(id as string) AS record_key", "concat('key ', id) AS key", "timestamp'2024-01-05 00:00:00' AS at")
+    parents = spark.range(n).where("id % 1000 <> 7").selectExpr("'r' AS relation", "concat('key ', id) AS key", "id % 1000 = 8 AS deleted", "cast(null as timestamp) AS created_at")
+    found = {(r["record_key"], r["kind"]) for r in find_orphans(refs, parents).collect()}
+    assert found == {(str(i), "missing") for i in range(7, n, 1000)} | {(str(i), "deleted") for i in range(8, n, 1000)}
+
+
 def test_empty_tables(spark):
     none_r, none_p = spark.createDataFrame([], REFS), spark.createDataFrame([], PARENTS)
     assert find_orphans(none_r, none_p).count() == 0
