@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+
+
+def _ranked(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """group, value (each distinct one, without nulls), and the places _first to _last, from 0, that it takes among _n sorted.
+
+    Values are counted, sorted by range over all partitions and numbered inside each; only one count for each group and
+    partition crosses them. So a group that holds most rows is on many tasks, and no task holds a group.
+    """
+    own = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    own = written(own.repartitionByRange(*group, value).withColumn("_p", F.spark_partition_id()), "value-counts")
+    sums = own.groupBy(*[F.col(g).alias(f"_{g}") for g in group], F.col("_p").alias("_at")).agg(F.sum("_c").alias("_k"))
+    same = W.partitionBy(*[f"_{g}" for g in group])  # a row for each partition
+    before = F.coalesce(F.sum("_k").over(same.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumns({"_before": before, "_n": F.sum("_k").over(same)})
+    on = F.col("_p") == F.col("_at")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    inside = F.sum("_c").over(W.partitionBy(*group, "_p").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    last = F.col("_inside") + F.col("_before") - 1
+    return own.withColumn("_inside", inside).join(sums, on).select(*group, value, (last - F.col("_c") + 1).alias("_first"), last.alias("_last"), "_n")
+
 
 def ranked_percentiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float], how: str = "before") -> DataFrame:
-    """Percentiles per group by the row number of sorted values, without holding a group in memory. Nulls don't count.
+    """Percentiles per group, exact. Nulls don't count.
 
-    ``floor`` takes index int(q*n), at most n-1; ``before`` takes max(0, int(n*q)-1).
+    ``floor`` takes index int(q*n), at most n-1; ``before`` takes max(0, int(n*q)-1); ``linear`` interpolates at q*(n-1).
     """
-    own = W.partitionBy(*group)
-    d = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(own.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
-    pick = lambda q: F.least(F.floor(F.col("_n") * q), F.col("_n") - 1) if how == "floor" else F.greatest(F.floor(F.col("_n") * q) - 1, F.lit(0))
-    return d.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == pick(q), F.col(value))).alias(n) for n, q in qs.items()])
+    n = F.col("_n")
+    at = lambda i: F.max(F.when(i.between(F.col("_first"), F.col("_last")), F.col(value)))
+
+    def pick(q: float) -> Column:
+        if how == "linear":
+            place = (n - 1) * q
+            share = F.max(place - F.floor(place))
+            return at(F.floor(place)) * (1 - share) + at(F.ceil(place)) * share
+        return at(F.least(F.floor(n * q), n - 1) if how == "floor" else F.greatest(F.floor(n * q) - 1, F.lit(0)))
+
+    return _ranked(df, group, value).groupBy(*group).agg(*[pick(q).alias(name) for name, q in qs.items()])
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,16 +59,16 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, column: str) -> DataFrame:
     """(x - median) / IQR squeezed by the logistic function, 0.5 where the IQR is 0."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    iqr = F.col("_q")[2] - F.col("_q")[0]
-    return df.join(F.broadcast(q)).withColumn(f"{column}_robust", F.when(iqr > 0, 1 / (1 + F.exp(-(F.col(column) - F.col("_q")[1]) / iqr))).otherwise(0.5)).drop("_q")  # one row
+    q = ranked_percentiles(df, [], column, {"_low": 0.25, "_mid": 0.5, "_high": 0.75}, "linear")
+    iqr = F.col("_high") - F.col("_low")
+    return df.join(F.broadcast(q)).withColumn(f"{column}_robust", F.when(iqr > 0, 1 / (1 + F.exp(-(F.col(column) - F.col("_mid")) / iqr))).otherwise(0.5)).drop("_low", "_mid", "_high")  # one row
 
 
 def z_sigmoid_without_outliers(df: DataFrame, column: str, reach: float = 3.0) -> DataFrame:
     """Logistic of the z score; mean and deviation of the values within ``reach`` IQRs of the quartiles."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    fence = (F.col("_q")[1] - F.col("_q")[0]) * reach
-    inside = df.join(F.broadcast(q)).where(F.col(column).between(F.col("_q")[0] - fence, F.col("_q")[1] + fence))
+    q = ranked_percentiles(df, [], column, {"_low": 0.25, "_high": 0.75}, "linear")
+    fence = (F.col("_high") - F.col("_low")) * reach
+    inside = df.join(F.broadcast(q)).where(F.col(column).between(F.col("_low") - fence, F.col("_high") + fence))
     m = inside.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
     return df.join(F.broadcast(m)).withColumn(f"{column}_z", F.when(F.col("_s") > 0, 1 / (1 + F.exp(-(F.col(column) - F.col("_m")) / F.col("_s")))).otherwise(0.5)).drop("_m", "_s")  # one row
 

@@ -130,7 +130,8 @@ def _(t):
     "SELECT product_type, round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5), 4) AS p50, round(quantile_cont(price, 0.75), 4) AS p75, round(quantile_cont(price, 0.95), 4) AS p95 FROM catalog GROUP BY 1",
 )
 def _(t):
-    return t.catalog.groupBy("product_type").agg(*[F.round(F.percentile("price", q), 4).alias(n) for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))])
+    d = S.ranked_percentiles(t.catalog.select("product_type", "price"), ["product_type"], "price", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, "linear")
+    return d.select("product_type", *[F.round(n, 4).alias(n) for n in ("p25", "p50", "p75", "p95")])
 
 
 @add(
@@ -139,10 +140,11 @@ def _(t):
 round(stddev_samp(value), 4) AS deviation FROM events GROUP BY 1""",
 )
 def _(t):
-    return t.events.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.round(F.percentile("value", 0.95), 4).alias("p95"), F.round(F.percentile("value", 0.99), 4).alias("p99"),
-        F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.stddev_samp("value"), 4).alias("deviation"),
-    )
+    p = S.ranked_percentiles(t.events.select("event_type", "value"), ["event_type"], "value", {"median": 0.5, "p95": 0.95, "p99": 0.99}, "linear")
+    d = t.events.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.stddev_samp("value"), 4).alias("deviation")
+    )
+    return d.join(p.select("event_type", *[F.round(n, 4).alias(n) for n in ("median", "p95", "p99")]), "event_type")
 
 
 @add("a24_share_of_total", "SELECT event_type, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")

@@ -22,21 +22,18 @@ def event_stream(spark: SparkSession, folder: str, per_trigger: int = 64) -> Dat
     return r.option("pathGlobFilter", "events.parquet").parquet(folder) if one else r.parquet(f"{folder}/events.parquet")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
     """Runs a stream over what is there and reads its result back from the shared folder.
 
-    Complete results replace each other; appended ones go to a file sink, which commits each batch once.
+    Results are appended by a file sink, which commits each batch once. Windows come out when the watermark has passed
+    their end, and their state goes. With ``at``, a folder that keeps result and progress, a later run goes on where the
+    one before ended, or was broken off.
     """
     spark = stream.sparkSession
-    out, log = new_path(spark, name), new_path(spark, f"{name}-log")
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
-    if mode == "complete":
-        w = w.foreachBatch(lambda d, _: d.write.mode("overwrite").parquet(out))
-    else:
-        w = w.format("parquet").option("path", out)
-    w.start().awaitTermination()
-    flat = spark.read.parquet(out)
-    return flat
+    at = at or new_path(spark, name)
+    w = stream.writeStream.outputMode("append").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True)
+    w.format("parquet").option("path", f"{at}/result").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/result")
 
 
 def tumbling(events: DataFrame, width: str) -> DataFrame:
@@ -69,18 +66,29 @@ def changes_batch(events: DataFrame) -> DataFrame:
     return events.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col("event_type"))).select("event_id", "user_id", "event_type")
 
 
-def changes_stream(events: DataFrame) -> DataFrame:
-    """``changes_batch`` on a stream: the state of a user is the type last seen."""
+def changes_stream(events: DataFrame, forget: str | None = None) -> DataFrame:
+    """``changes_batch`` on a stream: the state of a user is the type last seen.
+
+    With ``forget`` a user's state goes when the watermark is that far beyond the user's last event (the next one counts as a
+    change then), so users who never come back don't pile up; events must have a watermark.
+    """
+    wait = int(pd.Timedelta(forget).total_seconds() * 1000) if forget else 0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, until = state.get if state.exists else (None, 0)
         own = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         before = own["event_type"].shift(1)
         before.iloc[0] = last
-        state.update((own["event_type"].iloc[-1],))
+        until = max(until, int(own["ts"].max().timestamp() * 1000) + wait)
+        state.update((own["event_type"].iloc[-1], until))
+        if forget:
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield own.loc[before.isna() | (before != own["event_type"]), ["event_id", "user_id", "event_type"]]
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, event_type string", "last string", "append", "NoTimeout")
+    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, event_type string", "last string, until long", "append", "EventTimeTimeout" if forget else "NoTimeout")
 
 
 def first_in_time(events: DataFrame, keys: list[str], delay: str) -> DataFrame:

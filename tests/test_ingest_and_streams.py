@@ -78,8 +78,15 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     e = events(spark)
     e.write.parquet(f"{tmp_path}/events.parquet")
     stream = lambda: S.event_stream(spark, f"file://{tmp_path}")
-    assert rows(S.run_available(S.tumbling(stream(), "1 hour"), "t", "complete")) == rows(S.tumbling(e, "1 hour"))
-    assert rows(S.run_available(S.sessions(stream().withWatermark("ts", "1 hour"), "20 minutes"), "s", "complete")) == rows(S.sessions(e, "20 minutes"))
+    end = e.agg(F.max("ts")).first()[0] - timedelta(hours=1)  # windows are closed up to here
+    hours = S.tumbling(e, "1 hour").where(F.col("window_start") + F.expr("interval 1 hour") <= F.lit(end))
+    made = lambda at=None: S.run_available(S.tumbling(stream().withWatermark("ts", "1 hour"), "1 hour"), "t", at)
+    assert rows(made()) == rows(hours) and hours.count() > 3
+    kept = f"file://{tmp_path}/kept"
+    assert rows(made(kept)) == rows(made(kept)) == rows(hours)  # the second run goes on from the end of the first
+    closed = S.sessions(e, "20 minutes").where((F.col("session_start") <= F.lit(end - timedelta(minutes=20))) & (F.col("n") == 1))
+    assert rows(S.run_available(S.sessions(stream().withWatermark("ts", "1 hour"), "20 minutes"), "s")) == rows(closed)
+    assert rows(S.run_available(S.changes_stream(stream().withWatermark("ts", "1 hour"), "2 days"), "c"), "event_id", "user_id", "event_type") == rows(S.changes_batch(e))
     assert rows(S.run_available(S.changes_stream(stream()), "c"), "event_id", "user_id", "event_type") == rows(S.changes_batch(e))
     assert S.run_available(S.first_in_time(stream().union(stream()), ["event_id"], "30 days"), "f").count() == 40
 
@@ -90,3 +97,15 @@ def test_batch_event_operators(spark):
     assert S.over_rate(e.limit(0), 60, 1).count() == 0
     assert rows(S.complete_groups(e, "user_id", "event_type", ["a", "b"]), "user_id") == [(0,), (1,), (2,)]
     assert rows(S.complete_groups(e, "user_id", "event_type", ["a", "z"])) == []
+
+
+def test_state_that_is_forgotten(spark, tmp_path):
+    """Files come one at a time; a user's type is forgotten when others' events are days ahead."""
+    start = datetime(2024, 1, 1)
+    files = [[(0, start, 1, "a")], [(1, start + timedelta(hours=1), 1, "a"), (2, start + timedelta(days=9), 2, "a")], [(3, start + timedelta(days=10), 2, "b")], [(4, start + timedelta(days=11), 1, "a")]]
+    for i, part in enumerate(files):
+        spark.createDataFrame([(*r, 0.0, "{}") for r in part], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = S.run_available(S.changes_stream(S.event_stream(spark, f"file://{tmp_path}", per_trigger=1).withWatermark("ts", "1 hour"), "2 days"), "f")
+    assert [r["event_id"] for r in got.orderBy("event_id").collect()] == [0, 2, 3, 4]
+    kept = S.run_available(S.changes_stream(S.event_stream(spark, f"file://{tmp_path}", per_trigger=1)), "k")
+    assert [r["event_id"] for r in kept.orderBy("event_id").collect()] == [0, 2, 3]
