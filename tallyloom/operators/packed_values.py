@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -114,21 +115,22 @@ def _automaton(words: list[str]):
 
 
 def known_values(rows: DataFrame, text: str) -> DataFrame:
-    """The distinct quoted values that hold a separator: column ``value``."""
+    """The distinct quoted values that hold a separator, and how many cells have each quoted: value, cells.
+
+    A single cell is enough, as a quoted stretch is one value by definition; ``cells`` tells which of them are weakly backed.
+    """
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: set[str] = set()
+            seen: Counter[str] = Counter()
             for cell in batch[text]:
                 cell = (cell or "").strip()
-                for v in _listed(cell) or [p for q, _, _, p in _stretches(cell) if q]:
-                    v = v.strip()
-                    if any(c in SEPARATORS for c in v):
-                        seen.add(v)
-            yield pd.DataFrame({"value": sorted(seen)}, dtype="object")
+                values = {x.strip() for x in _listed(cell) or [p for q, _, _, p in _stretches(cell) if q]}
+                seen.update(v for v in values if any(c in SEPARATORS for c in v))
+            yield pd.DataFrame(sorted(seen.items()), columns=["value", "cells"]).astype({"value": "object", "cells": "int64"})
 
     quoted = rows.where(F.col(text).contains('"')).select(text)
-    return written(quoted.mapInPandas(learn, "value string").distinct(), "known-values")
+    return written(quoted.mapInPandas(learn, "value string, cells long").groupBy("value").agg(F.sum("cells").alias("cells")), "known-values")
 
 
 def split_values(rows: DataFrame, text: str, block: int = 200_000) -> DataFrame:

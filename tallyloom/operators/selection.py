@@ -24,6 +24,22 @@ def merge_by_set(candidates: DataFrame) -> DataFrame:
     return d.groupBy("signature").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("source")).alias("sources"), F.max_by("source", F.struct("score", "source")).alias("best"))
 
 
+def merge_candidates(candidates: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One row per set of products and kind: signature, kind, the largest confidence, lift and support, the mean fit, all
+    sources, and products and score of the best.
+
+    candidates: products array, kind, source, score, confidence, lift, support, fit. Sets of ``existing`` (signature, kind)
+    are left out. Ties of the best go to the products that come last.
+    """
+    d = candidates.withColumn("signature", F.array_sort(F.array_distinct("products")))
+    if existing is not None:
+        d = d.join(existing.select("signature", "kind"), ["signature", "kind"], "left_anti")
+    best = F.struct("score", "products")
+    return d.groupBy("signature", "kind").agg(
+        *[F.max(c).alias(c) for c in ("score", "confidence", "lift", "support")], F.avg("fit").alias("fit"), F.array_sort(F.collect_set("source")).alias("sources"), F.max_by("products", best).alias("products")
+    )
+
+
 def weighted_top(df: DataFrame, weights: dict[str, float], key: str, k: int) -> DataFrame:
     """key and score of the k rows with the highest weighted sum of the scaled columns."""
     d = min_max(df, list(weights))

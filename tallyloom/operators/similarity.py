@@ -10,21 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.shared import once
+from .baskets import basket_pairs
+
 
 def jaccard_pairs(sets: DataFrame, least: float = 0.0) -> DataFrame:
     """a < b and the Jaccard similarity of their word sets, for keys that share a word.
 
-    sets: key, words (array; repeats and nulls don't count). Pairs meet through shared words, and only counts cross.
+    sets: key, words (array; repeats and nulls don't count). A word is handled as a basket of the keys that have it, so a
+    word that a third of all keys share is split into blocks on all partitions; only counts cross. The words are written
+    once.
     """
-    words = sets.select("key", F.explode(F.array_distinct(F.array_compact("words"))).alias("w"))
+    words = once(sets.select("key", F.explode(F.array_distinct(F.array_compact("words"))).alias("w")), "words")
     sizes = words.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
-    shared = (
-        words.select(F.col("key").alias("a"), "w")
-        .join(words.select(F.col("key").alias("b"), "w"), "w")
-        .where(F.col("a") < F.col("b"))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("s"))
-    )
+    shared = basket_pairs(words, "w", "key").groupBy(F.col("item_a").alias("a"), F.col("item_b").alias("b")).agg(F.count(F.lit(1)).alias("s"))
     side = lambda x: sizes.select(F.col("key").alias(x), F.col("k").alias(f"k_{x}"))
     j = F.col("s") / (F.col("k_a") + F.col("k_b") - F.col("s"))
     return shared.join(side("a"), "a").join(side("b"), "b").select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= least)

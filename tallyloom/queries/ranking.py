@@ -70,6 +70,23 @@ def _(t):
     return S.merge_by_set(one.unionByName(two)).select(F.array_join("signature", "|").alias("signature"), "score", F.array_join("sources", ",").alias("sources"), "best")
 
 
+@add(
+    "u04_merge_candidates",
+    """WITH c AS (SELECT item_a AS x, item_b AS y, 'pair' AS source, n * 1.0::DOUBLE AS score, n % 7 * 1.0::DOUBLE AS confidence, n % 5 * 1.0::DOUBLE AS lift, n % 3 * 1.0::DOUBLE AS support, n % 11 * 1.0::DOUBLE AS fit FROM vpairs
+UNION ALL SELECT item_b, item_a, 'swap', n + 1.0::DOUBLE, n % 4 * 1.0::DOUBLE, n % 6 * 1.0::DOUBLE, n % 2 * 1.0::DOUBLE, n % 13 * 1.0::DOUBLE FROM vpairs WHERE n % 2 = 0)
+SELECT least(x, y) || '|' || greatest(x, y) AS signature, max(score) AS score, max(confidence) AS confidence, max(lift) AS lift, max(support) AS support, avg(fit) AS fit, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, arg_max(x || '|' || y, score) AS products
+FROM c WHERE least(x, y) <> 'Brand#11' GROUP BY 1""",
+)
+def _(t):
+    """Sets that are already there are left out, those of several sources become one."""
+    p, n = vendor_pairs(t), F.col("n")
+    row = lambda d, a, b, source, add, *mods: d.select(F.array(a, b).alias("products"), F.lit("pair").alias("kind"), F.lit(source).alias("source"), (n + add).cast("double").alias("score"), *[(n % m).cast("double").alias(c) for c, m in zip(("confidence", "lift", "support", "fit"), mods)])
+    known = p.where("item_a = 'Brand#11'").select(F.array("item_a", "item_b").alias("signature"), F.lit("pair").alias("kind"))
+    d = S.merge_candidates(row(p, "item_a", "item_b", "pair", 0, 7, 5, 3, 11).unionByName(row(p.where("n % 2 = 0"), "item_b", "item_a", "swap", 1, 4, 6, 2, 13)), known)
+    join = lambda c, by: F.array_join(c, by).alias(c)
+    return d.select(join("signature", "|"), "score", "confidence", "lift", "support", "fit", join("sources", ","), join("products", "|"))
+
+
 @add("u10_concat_and_cut", "WITH c AS (SELECT 1 AS p, item_a AS a, item_b AS b, n FROM vpairs WHERE n >= 30 UNION ALL SELECT 2, item, '', n_item FROM vitems) SELECT p, a, b FROM c ORDER BY p, n DESC, a, b LIMIT 40")
 def _(t):
     p = vendor_pairs(t).where("n >= 30").select(F.lit(1).alias("p"), F.col("item_a").alias("a"), F.col("item_b").alias("b"), "n")
@@ -237,6 +254,32 @@ def _(t):
     return R.first_per_key(d, ["products", "kind"], [F.desc("n"), F.col("first")])
 
 
+@add("x12_without_embedding", "SELECT variant_id FROM catalog WHERE variant_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)")
+def _(t):
+    """Catalogue records that an embedding has still to be made for."""
+    have = t.raw("embeddings").where("embedding is not null").select(F.col("vec_id").alias("variant_id"))
+    return t.catalog.select("variant_id").join(have, "variant_id", "left_anti")
+
+
+@add(
+    "x14_lookup_with_fallback",
+    """WITH r AS (SELECT order_id, line_item_id, variant_id, location_id FROM lines), own AS (SELECT variant_id, location_id, max(available) AS a FROM inventory WHERE updated_on >= DATE '1998-01-01' GROUP BY 1, 2), any_place AS (SELECT variant_id, max(available) AS a FROM inventory WHERE updated_on >= DATE '1998-06-01' GROUP BY 1)
+SELECT CASE WHEN own.a IS NOT NULL THEN 'place' WHEN any_place.a IS NOT NULL THEN 'store' ELSE 'none' END AS found, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct FROM r LEFT JOIN own ON own.variant_id = r.variant_id AND own.location_id = r.location_id LEFT JOIN any_place ON any_place.variant_id = r.variant_id GROUP BY 1""",
+)
+def _(t):
+    """Stock of each line by its place, else by any place of the store; how many lines each way finds."""
+    level = lambda day, *keys: t.inventory.where(F.col("updated_on") >= F.lit(day).cast("date")).groupBy(*keys).agg(F.max("available").alias("_".join(("stock", *keys))))
+    d = t.lines.select("variant_id", "location_id").join(level("1998-01-01", "variant_id", "location_id"), ["variant_id", "location_id"], "left").join(level("1998-06-01", "variant_id"), "variant_id", "left")
+    found = F.when(F.col("stock_variant_id_location_id").isNotNull(), "place").when(F.col("stock_variant_id").isNotNull(), "store").otherwise("none")
+    n = d.groupBy(found.alias("found")).agg(F.count("*").alias("n"))
+    return n.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()), 4))  # three rows
+
+
+@add("a45_category_counts", "SELECT vendor, product_type, count(*) AS n, count(CASE WHEN available_total > 0 THEN 1 END) AS in_stock FROM catalog GROUP BY CUBE (vendor, product_type)")
+def _(t):
+    return t.catalog.cube("vendor", "product_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("available_total") > 0, 1)).alias("in_stock"))
+
+
 @add("x03_first_of_wave", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
 def _(t):
     return R.first_per_key(t.events.select("user_id", "event_id", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")

@@ -10,7 +10,7 @@ from ..functions.instants import instant
 from ..operators.csv_rows import explained, failed_rows, loaded_rows
 from ..operators.instants import extend_dictionary, normalise_instants
 from ..operators.orphans import find_orphans, orphan_report
-from ..operators.packed_values import split_values
+from ..operators.packed_values import known_values, split_values
 from ..operators.schema_drift import drift, fused_schema, unified
 from ..plans.shared import new_path, written
 from ..sources.tables import table
@@ -72,9 +72,18 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(_orphans(spark, folder))
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+def _tags(spark: SparkSession, folder: str) -> DataFrame:
     rows = [table(spark, folder, t).select(F.lit(t).alias("source_table"), id_number(F.col("variant_id")).alias("variant_no"), "tags") for t in (MAIN, SYNTH)]
-    return split_values(rows[0].unionByName(rows[1]).where(F.col("variant_no").isNotNull()), "tags").distinct()
+    return rows[0].unionByName(rows[1]).where(F.col("variant_no").isNotNull())
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split_values(_tags(spark, folder), "tags").distinct()
+
+
+def p2_known(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that may hold delimiters, and how many cells back each."""
+    return known_values(_tags(spark, folder), "tags")
 
 
 def _times(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,4 +144,4 @@ def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unified(table(spark, folder, "feed_files"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (p1_found, p1_report, p2_found, p3_found, p3_incremental, p4_found, p4_broken, p4_messages, p4_loaded, p6_found, p6_alternatives, p6_unified)}
+QUERIES = {f.__name__: (f, None) for f in (p1_found, p1_report, p2_found, p2_known, p3_found, p3_incremental, p4_found, p4_broken, p4_messages, p4_loaded, p6_found, p6_alternatives, p6_unified)}

@@ -1,4 +1,4 @@
-from tallyloom.operators.packed_values import split_cell, split_values
+from tallyloom.operators.packed_values import known_values, split_cell, split_values
 
 from .conftest import rows
 
@@ -39,3 +39,8 @@ def test_several_blocks_give_the_same(spark):
     d = spark.createDataFrame([(i, f'"v{i}, w{i}",u') for i in range(30)] + [(i + 100, f"k|v{i}, w{i}|l") for i in range(30)], "id int, tags string")
     assert rows(split_values(d, "tags")) == rows(split_values(d, "tags", 7))
     assert rows(split_values(d, "tags").where("id = 105"), "position_no", "tag_value") == [(1, "k"), (2, "v5, w5"), (3, "l")]
+
+
+def test_known_values_are_counted_by_cell(spark):
+    d = spark.createDataFrame([('"a, b",c,"a, b"',), ('x;"a, b"',), ('["a, b","p|q"]',), (None,), ('"plain",y',)], "tags string")
+    assert rows(known_values(d, "tags"), "value", "cells") == [("a, b", 3), ("p|q", 1)]

@@ -2,6 +2,7 @@ import os
 import random
 from math import log
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,26 @@ def test_percentile_definitions_differ(spark):
     assert rows(T.ranked_percentiles(d, ["g"], "x", {"a": 0.5, "b": 0.75}, "floor")) == [("g", 3, 4), ("h", 7, 7)]
 
 
+def test_linear_percentiles_of_a_hot_and_a_null_group(spark):
+    r = random.Random(6)
+    data = [(g, r.choice([None, r.random(), float(r.randint(0, 5))])) for g in ["hot"] * 2000 + [None] * 30 + ["one"]]
+    d = spark.createDataFrame(data, "g string, x double")
+    got = {x["g"]: (x["a"], x["b"], x["c"]) for x in T.ranked_percentiles(d, ["g"], "x", {"a": 0.0, "b": 0.37, "c": 1.0}, "linear").collect()}
+    for g in {g for g, x in data if x is not None}:
+        assert np.allclose(got[g], np.quantile([x for h, x in data if h == g and x is not None], [0.0, 0.37, 1.0]))
+    assert T.ranked_percentiles(d.limit(0), ["g"], "x", {"a": 0.5}, "linear").count() == 0
+
+
+def test_merged_candidates(spark):
+    schema = "products array<string>, kind string, source string, score double, confidence double, lift double, support double, fit double"
+    c = spark.createDataFrame([(["b", "a"], "k", "x", 1.0, 0.9, 1.0, 0.1, 0.2), (["a", "b"], "k", "y", 3.0, 0.1, 2.0, 0.3, 0.4), (["a", "b"], "other", "y", 3.0, 0.1, 2.0, 0.3, 0.4), (["c"], "k", "x", 2.0, None, 1.0, 0.0, None)], schema)
+    known = spark.createDataFrame([(["c"], "k")], "signature array<string>, kind string")
+    got = {(tuple(r["signature"]), r["kind"]): r for r in S.merge_candidates(c, known).collect()}
+    assert set(got) == {(("a", "b"), "k"), (("a", "b"), "other")}
+    one = got[("a", "b"), "k"]
+    assert (one["score"], one["confidence"], one["lift"], one["support"], round(one["fit"], 6), one["sources"], one["products"]) == (3.0, 0.9, 2.0, 0.3, 0.3, ["x", "y"], ["a", "b"])
+
+
 def test_scaling_of_flat_columns(spark):
     d = spark.createDataFrame([(1, 2.0, 5.0), (2, 4.0, 5.0)], "k int, a double, b double")
     assert rows(T.min_max(d, ["a", "b"]), "a_norm", "b_norm") == [(0.0, 0.5), (1.0, 0.5)]
