@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
-from math import log1p
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,36 +51,109 @@ NAMES = (
 )
 
 
-def line_statistics(line: str) -> list[float]:
-    """The statistics of one line, in the order of NAMES."""
-    words = line.split()
-    n, chars, plain = len(words), max(1, len(line)), line.isascii()
-    raw = line.encode("ascii", "ignore")  # counted by deleting bytes
-    letters, digits, spaces, vowels = (len(raw) - len(raw.translate(None, x)) for x in (_ASCII_LETTERS, b"0123456789", b" \t\x0b\x0c", b"aeiouyAEIOUY"))
-    latin, running, broken = letters, n, 0
-    if not plain:  # the other characters one by one
-        rest = _ASCII.sub("", line)
-        letters, digits, spaces = letters + sum(map(str.isalpha, rest)), digits + sum(map(str.isnumeric, rest)), spaces + sum(map(str.isspace, rest))
-        latin, vowels, broken = latin + len(_LATIN.findall(rest)), vowels + len(_VOWEL.findall(rest)), len(_BROKEN.findall(rest))
-        running = max(n, len(_NO_SPACE.findall(rest)) / 2)  # scripts without spaces
-    cut = [w if w.isalnum() else w.strip(_EDGES) for w in words]
-    bare = [w.lower() for w in cut]
-    counts = Counter(bare) if n >= 8 else {}
-    sizes = list(map(len, words))
-    top = max(counts.values(), default=0)
-    firsts = [w[0] for w in cut if w]
-    upper = sum(map(str.isupper, firsts))
-    m = max(1, n)
-    return [
-        log1p(running), sum(sizes) / m, letters / chars, digits / chars, (len(line) - letters - digits - spaces) / chars,
-        float(line.rstrip().endswith(_SENTENCE_END)), float(_BULLET.match(line) is not None), line.count(",") / m, (line.count("|") + line.count(";") + line.count("\t") + line.count("=")) / m,
-        upper / m, sum(map(COMMON.__contains__, bare)) / m, len(counts) / m if n >= 8 else 1.0,
-        vowels / max(1, latin) if latin >= 0.5 * letters else 0.4, 1 - latin / max(1, letters), broken / chars, len(_TAG.findall(line)) / m if "<" in line else 0.0,
-        log1p(max(sizes, default=0)), len(_GAPS.findall(line)) / m if "  " in line or "\t" in line else 0.0, len(_STOPS.findall(line)) / max(1, running),
-        sum(_DIGIT.search(w) is not None for w in words if not w.isalpha()) / m if digits else 0.0,
-        top / m if n >= 8 else 0.1, (sum(map(str.isalpha, firsts)) - upper) / m,
-        log1p(running / max(1, sum(not x.isspace() and x != "" for x in _SEGMENT.split(line)))), sum(map(COMMON.__contains__, words)) / m,
-    ]
+def _table(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, np.int32)
+    out[list(chars)] = 1
+    return out
+
+
+_LETTERS, _DIGITS, _BLANKS, _VOWELS, _COMMAS, _BARS = map(_table, (_ASCII_LETTERS, b"0123456789", b" \t\x0b\x0c", b"aeiouyAEIOUY", b",", b"|;\t="))
+_STOP_BYTES, _SPACE_BYTES, _CUT_BYTES = map(_table, (b".!?", b" \t\n\r\x0b\x0c", b"\n,;|\t=#>:.!?"))
+_ANY_SPACE = _table(b" \t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_ENDS = frozenset(_SENTENCE_END)
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _per_line(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values."""
+    total = np.r_[0, np.cumsum(values)]
+    return total[ends] - total[starts]
+
+
+def line_statistics(lines: list[str]) -> np.ndarray:
+    """The statistics of each line, in the order of NAMES.
+
+    Words are looked at once for each distinct one of all lines, ASCII characters in one array for all lines; only the
+    other characters, and marks at certain places, are looked for line by line.
+    """
+    if not lines:
+        return np.zeros((0, len(NAMES)))
+    words = [x.split() for x in lines]
+    n = np.fromiter(map(len, words), np.int64, len(lines))
+    ends = np.cumsum(n)
+    starts, number, m = ends - n, _Numbers(), np.maximum(n, 1)
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, ends[-1])
+    own = list(number)
+    cut = [w if w.isalnum() else w.strip(_EDGES) for w in own]
+    bare, bare_number = [w.lower() for w in cut], _Numbers()
+    of_words = lambda values, kind=np.int64: np.fromiter(values, kind, len(own))[ids]
+    share = lambda values: _per_line(of_words(values), starts, ends) / m
+    sizes = of_words(map(len, own))
+    longest, top, distinct = np.zeros(len(lines), np.int64), np.full(len(lines), 0.1), np.ones(len(lines))
+    filled = n > 0
+    if filled.any():
+        longest[filled] = np.maximum.reduceat(sizes, starts[filled])
+    long = n >= 8
+    if long.any():
+        line = np.repeat(np.arange(len(lines)), n)
+        keep = long[line]
+        key, count = np.unique(line[keep] << 32 | of_words(map(bare_number.__getitem__, bare))[keep], return_counts=True)
+        at = np.flatnonzero(np.r_[True, key[1:] >> 32 != key[:-1] >> 32])
+        where = key[at] >> 32
+        top[where] = np.maximum.reduceat(count, at) / n[where]
+        distinct[where] = np.diff(np.r_[at, len(key)]) / n[where]
+    upper, alpha = share([w[:1].isupper() for w in cut]), share([w[:1].isalpha() for w in cut])
+
+    raw = [x.encode("ascii", "ignore") for x in lines]
+    length = np.fromiter(map(len, raw), np.int64, len(raw))
+    last = np.cumsum(length + 1)
+    first = last - length - 1
+    flat = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    count = lambda table: np.add.reduceat(table[flat], first)  # the line end is in no table
+    letters, digits, spaces, vowels = map(count, (_LETTERS, _DIGITS, _BLANKS, _VOWELS))
+    stops = np.add.reduceat(_STOP_BYTES[flat] & np.r_[_SPACE_BYTES[flat[1:]], 0], first).astype(float)
+    solid = flat[_ANY_SPACE[flat] - _CUT_BYTES[flat] < 1]  # tabs cut too
+    begins = (1 - _CUT_BYTES[solid]) & np.r_[1, _CUT_BYTES[solid[:-1]]]
+    breaks = np.flatnonzero(solid == 10)
+    segments = _per_line(begins, np.r_[0, breaks[:-1] + 1], breaks)
+
+    chars, running, latin = np.fromiter(map(len, lines), np.int64, len(lines)), n.astype(float), letters.copy()
+    broken, other = np.zeros(len(lines)), np.zeros((3, len(lines)))
+    for k in np.flatnonzero(length != chars):  # the characters that aren't ASCII one by one
+        x = lines[k]
+        rest = _ASCII.sub("", x)
+        letters[k], digits[k], spaces[k] = letters[k] + sum(map(str.isalpha, rest)), digits[k] + sum(map(str.isnumeric, rest)), spaces[k] + sum(map(str.isspace, rest))
+        latin[k], vowels[k], broken[k] = latin[k] + len(_LATIN.findall(rest)), vowels[k] + len(_VOWEL.findall(rest)), len(_BROKEN.findall(rest))
+        running[k] = max(n[k], len(_NO_SPACE.findall(rest)) / 2)  # scripts without spaces
+        stops[k] = len(_STOPS.findall(x))
+        segments[k] = sum(not y.isspace() and y != "" for y in _SEGMENT.split(x))
+    bullet, tags, gaps = other
+    for k, x in enumerate(lines):
+        bullet[k] = _BULLET.match(x) is not None
+        if "<" in x:
+            tags[k] = len(_TAG.findall(x))
+        if "  " in x or "\t" in x:
+            gaps[k] = len(_GAPS.findall(x))
+    chars = np.maximum(chars, 1)
+    shown = np.fromiter(map(len, lines), np.int64, len(lines))
+    common = COMMON.__contains__
+    return np.column_stack([
+        np.log1p(running), _per_line(sizes, starts, ends) / m, letters / chars, digits / chars, (shown - letters - digits - spaces) / chars,
+        [x.rstrip()[-1:] in _ENDS for x in lines], bullet, count(_COMMAS) / m, count(_BARS) / m,
+        upper, share(map(common, bare)), distinct,
+        np.where(latin >= 0.5 * letters, vowels / np.maximum(1, latin), 0.4), 1 - latin / np.maximum(1, letters), broken / chars, tags / m,
+        np.log1p(longest), gaps / m, stops / np.maximum(1, running),
+        share([not w.isalpha() and _DIGIT.search(w) is not None for w in own]),
+        top, alpha - upper,
+        np.log1p(running / np.maximum(1, segments)), share(map(common, own)),
+    ])
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -184,23 +256,26 @@ class LineModel:
         lines = lines_of(text)
         if not lines:
             return None
-        x = np.array([line_statistics(t) for t in lines])
+        x = line_statistics(lines)
         w = np.expm1(x[:, 0])
         w = np.maximum(w, 1.0)
         return (w[:, None] * self.posteriors(x)).sum(0) / w.sum()
 
 
-def fit_model(documents: DataFrame, labels: DataFrame, bound: int = 2_000) -> LineModel:
-    """Fits the model to labelled documents, at most ``bound`` of them (a sample by hash if there are more).
+def fit_model(documents: DataFrame, labels: DataFrame, bound: int = 2_000, lines: int = 5_000) -> LineModel:
+    """Fits the model to labelled documents, at most ``bound`` of them (a sample by hash if there are more), of a longer one
+    to the ``lines`` lines in its middle.
 
-    The statistics are made by the tasks; the driver gets numbers of that many documents only. Labels of other kinds and
+    The statistics are made by the tasks; the driver gets numbers of that many documents and lines only. Labels of other kinds and
     of documents that are missing or have no text don't count; without any the model can't be fitted.
     """
     own = labels.where(F.col("kind").isin(*KINDS)).groupBy("doc_id").agg(F.min("kind").alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, np.array([line_statistics(t) for t in lines_of(x)], np.float32).ravel().tolist()) for k, x in zip(b["kind"], b["text"])]
+            every = [lines_of(x) for x in b["text"]]
+            middle = [x[max(0, (len(x) - lines) // 2) :][:lines] for x in every]
+            rows = [(k, line_statistics(x).astype(np.float32).ravel().tolist()) for k, x in zip(b["kind"], middle)]
             yield pd.DataFrame(rows, columns=["kind", "x"])
 
     rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(own, "doc_id").mapInPandas(run, "kind string, x array<float>").collect()
@@ -225,10 +300,10 @@ def document_quality(documents: DataFrame, model: LineModel) -> DataFrame:
         for b in batches:
             every = [lines_of(t) for t in b["text"]]
             sizes = np.array([len(x) for x in every], int)
-            x = np.array([line_statistics(t) for lines in every for t in lines]).reshape(-1, len(NAMES))
+            x = line_statistics([t for lines in every for t in lines])
             p = m.posteriors(x, sizes[sizes > 0])
-            counts = np.array([len(t.split()) for lines in every for t in lines], float)
             chars = np.array([len(t) for lines in every for t in lines], float)
+            counts = np.array([len(t.split()) for lines in every for t in lines], float)
             w = np.maximum(np.expm1(x[:, 0]), 1.0)
             rows, at = [], 0
             for doc, n in zip(b["doc_id"], sizes):

@@ -43,6 +43,17 @@ def test_held_out_accuracy(spark):
 
 def test_posteriors_sum_to_one():
     r = random.Random(4)
-    m = Q.LineModel(steps=50).fit([(np.array([Q.line_statistics(x) for x in Q.lines_of(make(k, r))]), i) for i, k in enumerate(Q.KINDS)])
-    p = m.posteriors(np.array([Q.line_statistics(x) for x in Q.lines_of(make("list", r))]))
+    m = Q.LineModel(steps=50).fit([(Q.line_statistics(Q.lines_of(make(k, r))), i) for i, k in enumerate(Q.KINDS)])
+    p = m.posteriors(Q.line_statistics(Q.lines_of(make("list", r))))
     assert np.allclose(p.sum(1), 1)
+
+
+def test_statistics_of_many_lines_are_those_of_each():
+    lines = ["a\tb", "  ", "x\x1cy . ", "...", "a,,b", ", ,", "é", "ﬁ 12%", "a. b", "日本語。はい", "q " * 9, "A;b|c=d\t", "One two, three four five six seven two.", "- item <b>x</b>", ""]
+    every = Q.line_statistics(lines)
+    assert (every == np.vstack([Q.line_statistics([x]) for x in lines])).all()
+    at = dict(zip(Q.NAMES, every[12]))
+    assert round(np.expm1(at["words"])) == 8 and at["distinct_share"] == 7 / 8 and at["top_word_share"] == 2 / 8 and at["capital_share"] == 1 / 8 and at["ends_sentence"] == 1
+    assert at["stop_rate"] == 1 / 8 and at["comma_rate"] == 1 / 8 and round(np.expm1(at["segment_words"])) == 4
+    assert dict(zip(Q.NAMES, every[13]))["bullet"] == 1 and dict(zip(Q.NAMES, every[13]))["tag_rate"] == 2 / 3
+    assert Q.line_statistics([]).shape == (0, len(Q.NAMES))
