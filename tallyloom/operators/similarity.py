@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.shared import once
+from ..plans.shared import once, spread, written
 from .baskets import basket_pairs
 
 
@@ -147,8 +147,10 @@ def similar_by_metadata(rows: DataFrame, queries: DataFrame, key: str, category:
 
     The score sums category (1 if equal, 0.7 if one level apart, 0.4 if a level is shared; levels are parted by ' > '),
     brand (1, or 0.7 if one name holds the other), price band (``bounds``: 1, 0.5, 0.2 by distance), title (Jaccard of
-    its words) and vendor, by fixed weights; null and empty values share nothing. The queries go to the rows ``block`` at a
-    time, each block a small literal frame; each task keeps k rows of a query before the exchange.
+    its words) and vendor, by fixed weights; null and empty values share nothing. Rows with the same metadata have the
+    same score, so they are compared once and only their lowest keys can be in a result; so do queries. The kinds of
+    queries go to the kinds of rows ``block`` at a time; in a batch, categories, brands and titles are compared once
+    for each two values, and k rows of a query leave it.
     """
     band = F.lit(0)
     for x in bounds:
@@ -159,36 +161,114 @@ def similar_by_metadata(rows: DataFrame, queries: DataFrame, key: str, category:
         F.lower(category).alias("c"),
         F.col(vendor).alias("v"),
         F.lower(vendor).alias("m"),
+        F.regexp_replace(F.lower(vendor), "[^a-z0-9]", "").alias("bare"),
         F.when(F.col(price) > 0, band).alias("p"),
-        words.alias("w"),
+        F.array_sort(words).alias("w"),
     ]
-    own, asked = rows.select(*facts), queries.select(*facts)
-    a, b = (lambda n: F.col(f"q.{n}")), (lambda n: F.col(f"o.{n}"))
-    full = lambda n: (F.coalesce(a(n), F.lit("")) != "") & (F.coalesce(b(n), F.lit("")) != "")
-    levels = lambda x: F.split(x("c"), " > ")
-    depth = F.least(F.size(levels(a)), F.size(levels(b)))
-    shared = F.size(F.filter(F.sequence(F.lit(1), depth), lambda i: F.slice(levels(a), F.lit(1), i) == F.slice(levels(b), F.lit(1), i)))
-    near = F.when(shared == 0, 0.0).when((shared == F.size(levels(a)) - 1) | (shared == F.size(levels(b)) - 1), 0.7).otherwise(0.4)
-    bare = lambda x: F.regexp_replace(x("m"), "[^a-z0-9]", "")
-    common = F.size(F.array_intersect(a("w"), b("w")))
-    parts = {
-        "category": F.when(full("c"), F.when(a("c") == b("c"), 1.0).otherwise(near)),
-        "brand": F.when(full("m"), F.when(a("m") == b("m"), 1.0).when(F.contains(bare(a), bare(b)) | F.contains(bare(b), bare(a)), 0.7)),
-        "price": F.element_at(F.array(F.lit(1.0), F.lit(0.5), F.lit(0.2), F.lit(0.0)), F.least(F.abs(a("p") - b("p")), F.lit(3)) + 1),
-        "title": F.when((F.size(a("w")) > 0) & (F.size(b("w")) > 0), common / (F.size(a("w")) + F.size(b("w")) - common)),
-        "vendor": F.when(a("v") == b("v"), 1.0),
-    }
-    score = sum((F.coalesce(x, F.lit(0.0)) * _WEIGHTS[n] for n, x in parts.items()), F.lit(0.0))
-    n = asked.count()
-    blocks = -(-n // block) or 1
+    kind = ["c", "v", "m", "bare", "p", "w"]
+    own, asked = (x.select(*facts).where("key is not null") for x in (rows, queries))
+    most = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    keep = k + most  # a query's own rows go at the end
+    lowest = own.withColumn("_r", F.row_number().over(W.partitionBy(*kind).orderBy("key"))).where(F.col("_r") <= keep)
+    kinds = written(lowest.groupBy(*kind).agg(F.array_sort(F.collect_list("key")).alias("keys")), "row-kinds")
+    wanted = written(asked.select(*kind).distinct().withColumn("id", F.monotonically_increasing_id()), "query-kinds")
+    blocks = -(-wanted.count() // block) or 1
+    schema = f"id long, other {kinds.schema['keys'].dataType.elementType.simpleString()}, score double"
     out = None
     for i in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()
-        small = rows.sparkSession.createDataFrame(part, asked.schema)
-        one = own.alias("o").join(F.broadcast(small).alias("q"), F.col("q.key") != F.col("o.key")).select(a("key").alias("query"), b("key").alias("other"), score.alias("score"))
+        part = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).select("id", *kind).collect()]
+
+        def search(batches: Iterator[pd.DataFrame], part: list = part) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b) and part:
+                    yield _alike(part, b, keep, least)
+
+        one = spread(kinds).mapInPandas(search, schema)
         out = one if out is None else out.unionByName(one)
+    best = W.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "other")
+    lists = out.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= keep).drop("_r")
+    same = F.lit(True)
+    for n in ("c", "v", "p", "w"):
+        same = same & F.col(f"a.{n}").eqNullSafe(F.col(f"k.{n}"))
+    ids = asked.alias("a").join(wanted.alias("k"), same).select(F.col("a.key").alias("query"), F.col("k.id").alias("id"))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "other"))
-    return out.where(F.col("score") > least).withColumn("rank", rank).where(F.col("rank") <= k)
+    return ids.join(lists, "id").where(F.col("query") != F.col("other")).select("query", "other", "score").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _alike(asked: list[tuple], kinds: pd.DataFrame, keep: int, least: float) -> pd.DataFrame:
+    """id, other, score: the first ``keep`` rows of these kinds for each (id, c, v, m, bare, p, w) that is asked."""
+    kinds = kinds.assign(_low=[x[0] for x in kinds["keys"]]).sort_values("_low", kind="stable")
+    keys = kinds["keys"].to_list()
+    absent = lambda x: None if x is None or x != x else x
+    own = [tuple(map(absent, x)) for x in zip(kinds["c"], kinds["v"], kinds["m"], kinds["bare"], kinds["p"])]
+    titles = [() if w is None else tuple(w) for w in kinds["w"]]
+
+    def table(theirs: list, ours: list, compare: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each two different values compared once, and where the values of either side are."""
+        a, b = {x: i for i, x in enumerate(dict.fromkeys(theirs))}, {x: i for i, x in enumerate(dict.fromkeys(ours))}
+        return np.array([[compare(x, y) for y in b] for x in a], np.float64), np.array([a[x] for x in theirs]), np.array([b[x] for x in ours])
+
+    brand = lambda x: (x[2], x[3], x[1])
+    q = [x[1:6] for x in asked]
+    parts = {
+        "category": table([x[0] for x in q], [x[0] for x in own], _category_likeness),
+        "brand": table(list(map(brand, q)), list(map(brand, own)), _brand_likeness),
+        "price": table([x[4] for x in q], [x[4] for x in own], lambda x, y: 0.0 if x is None or y is None else (1.0, 0.5, 0.2, 0.0)[int(min(abs(x - y), 3))]),
+        "title": _title_likeness([tuple(x[6] or ()) for x in asked], titles),
+        "vendor": table([x[1] for x in q], [x[1] for x in own], lambda x, y: float(x is not None and x == y)),
+    }
+    ids, others, scores = [], [], []
+    step = max(1, 1_000_000 // len(own))
+    for at in range(0, len(asked), step):
+        s = np.zeros((len(asked[at : at + step]), len(own)))
+        for n, (values, i, j) in parts.items():
+            s += (values * _WEIGHTS[n])[i[at : at + step]][:, j]
+        r = np.where(s > least, np.round(s, 9), -1.0)
+        last = np.partition(r, -keep, axis=1)[:, -keep] if r.shape[1] > keep else np.full(len(r), -1.0)
+        for x, (score, rough) in enumerate(zip(s, r)):
+            # a kind's lowest key is its first; with equal scores the kinds of the lowest keys come first
+            first = np.flatnonzero(rough > last[x])
+            if last[x] >= 0:
+                first = np.concatenate([first, np.flatnonzero(rough == last[x])[:keep]])
+            rows = sorted((-rough[c], key, c) for c in first.tolist() for key in keys[c])[:keep]
+            ids += [asked[at + x][0]] * len(rows)
+            others += [key for _, key, _ in rows]
+            scores += [score[c] for _, _, c in rows]
+    return pd.DataFrame({"id": ids, "other": others, "score": scores})
+
+
+def _category_likeness(x: str | None, y: str | None) -> float:
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    a, b = x.split(" > "), y.split(" > ")
+    shared = next((i for i, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+    return 0.0 if not shared else 0.7 if shared in (len(a) - 1, len(b) - 1) else 0.4
+
+
+def _brand_likeness(x: tuple, y: tuple) -> float:
+    """Of (name, name without signs, ...)."""
+    if not x[0] or not y[0]:
+        return 0.0
+    return 1.0 if x[0] == y[0] else 0.7 if x[1] in y[1] or y[1] in x[1] else 0.0
+
+
+def _title_likeness(theirs: list[tuple], ours: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The Jaccard of each two different titles, through the words that they share, and where the titles of either side are."""
+    a, b = {x: i for i, x in enumerate(dict.fromkeys(theirs))}, {x: i for i, x in enumerate(dict.fromkeys(ours))}
+    places: dict[str, list[int]] = {}
+    for w, i in b.items():
+        for x in w:
+            places.setdefault(x, []).append(i)
+    at = {x: np.array(p) for x, p in places.items()}
+    lengths, out = np.array([len(w) for w in b]), np.zeros((len(a), len(b)))
+    for w, i in a.items():
+        for x in w:
+            if x in at:
+                out[i, at[x]] += 1
+        out[i] /= np.maximum(len(w) + lengths - out[i], 1)
+    return out, np.array([a[x] for x in theirs]), np.array([b[x] for x in ours])
 
 
 def near_duplicate_sets(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:

@@ -191,6 +191,33 @@ def test_metadata_similarity_of_levels_brands_and_titles(spark):
     assert Z.similar_by_metadata(d, d.limit(0), "id", "c", "v", "p", "t", (25,)).count() == 0
 
 
+def test_metadata_similarity_compares_each_kind_once(spark, monkeypatch):
+    """Many rows with the same metadata, some keys twice: as by pairs of rows, but from the kinds of rows."""
+    r = random.Random(6)
+    data = [(i % 290, r.choice(["x", "x > y", "x > z", None]), r.choice(["Oak", "Oak Co", ""]), r.choice([10.0, 60.0, None]), r.choice(["red chair", "chair RED", "big table"])) for i in range(300)]
+    kept = {}
+    real = Z.written
+    monkeypatch.setattr(Z, "written", lambda d, name: kept.setdefault(name, real(d, name)))
+    d = spark.createDataFrame(data, "id long, c string, v string, p double, t string")
+    got = [(x["query"], x["rank"], x["other"], round(x["score"], 6)) for x in Z.similar_by_metadata(d, d.where("id % 7 = 0").dropDuplicates(["id"]), "id", "c", "v", "p", "t", (25, 50), 4, block=5).collect()]
+    asked = {x["id"]: x for x in d.where("id % 7 = 0").dropDuplicates(["id"]).collect()}
+
+    def score(a, b):
+        x, y = (a["c"] or "", b[1] or "")
+        s = 0.35 * (1.0 if x and x == y else 0.0 if not x or not y else 0.7 if "x" in (x, y) else 0.7)
+        s += 0.25 * (0.0 if not a["v"] or not b[2] else 1.0 if a["v"] == b[2] else 0.7)
+        s += 0.2 * (0.0 if a["p"] is None or b[3] is None else 1.0 if a["p"] == b[3] else 0.2)
+        u, w = set(a["t"].lower().split()), set(b[4].lower().split())
+        return s + 0.15 * len(u & w) / len(u | w) + 0.05 * (a["v"] == b[2])
+
+    want = []
+    for q, a in asked.items():
+        best = sorted((-round(score(a, b), 9), b[0]) for b in data if b[0] != q and score(a, b) > 0.2)[:4]
+        want += [(q, i + 1, o, round(-s, 6)) for i, (s, o) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+    assert kept["row-kinds"].count() <= 4 * 3 * 3 * 2 and kept["query-kinds"].count() <= len(asked)
+
+
 def test_attribute_similarity_against_all_pairs(spark):
     r = random.Random(3)
     items = [(i, r.choice(["a", "b", None]), r.choice(["x", "y", None]), r.choice([None, 0.0, 1.0, 2.0, 2.0, 3.0, 9.0])) for i in range(40)]
