@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.codes import dense_codes
 from ..plans.shared import once, spread, written
 from .baskets import basket_pairs
 
@@ -274,21 +277,76 @@ def _title_likeness(theirs: list[tuple], ours: list[tuple]) -> tuple[np.ndarray,
 def near_duplicate_sets(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
     """key, class_id (the lowest key with the same set) and links: how many other classes have a Jaccard of ``least``.
 
-    Equal sets are one class. Classes meet through their prefix only: two sets of size k and more can reach the
-    threshold only if they share one of the first k - ceil(least * k) + 1 items in an order by rarity; sizes must fit too.
-    The meeting pairs are then checked exactly.
+    Equal sets are one class. Two sizes that can reach the threshold need some number of items in common, ``o``. The first
+    n of the common items, in an order by rarity, then lie among the first k - o + n of each set of size k, so classes
+    meet through combinations of n of these. With n = 1 that is the usual prefix; with few items in all, n = o tells
+    sets apart that share every single item with thousands of others. n is chosen for each pair of sizes by
+    ``_meeting_plan``, which decides the cost only: the meeting pairs are then checked exactly.
     """
-    s = sets.select(key, F.array_sort(F.array_distinct(items)).alias("_items"))
-    classes = s.groupBy("_items").agg(F.min(key).alias("class_id"))
-    rarity = classes.select(F.explode("_items").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
-    ordered = classes.select("class_id", F.explode("_items").alias("x")).join(rarity, "x").groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "x"))), lambda e: e["x"]).alias("ranked"))
-    size = F.size("ranked")
-    prefix = ordered.select("class_id", size.alias("k"), "ranked", F.explode(F.slice("ranked", 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))).alias("x"))
-    left = prefix.select(F.col("class_id").alias("a"), F.col("k").alias("ka"), "x")
-    right = prefix.select(F.col("class_id").alias("b"), F.col("k").alias("kb"), "x")
-    meet = left.join(right, "x").where((F.col("a") < F.col("b")) & (F.col("ka") >= F.col("kb") * least - 1e-9) & (F.col("kb") >= F.col("ka") * least - 1e-9)).select("a", "b").distinct()
+    s = once(sets.select(key, F.array_sort(F.array_distinct(items)).alias("_items")), "sets")
+    classes = written(s.groupBy("_items").agg(F.min(key).alias("class_id")), "set-classes")
+    rarity = dense_codes(classes.select(F.explode("_items").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("df")), ["df", "x"])
+    ranked = classes.select("class_id", F.explode("_items").alias("x")).join(rarity.select("x", "code"), "x").groupBy("class_id").agg(F.array_sort(F.collect_list("code")).alias("ranked"))
+    ordered = written(ranked.withColumn("k", F.size("ranked")), "ranked-sets")
+    counts = {r["k"]: r["count"] for r in ordered.groupBy("k").count().collect()}
+    spread_of = rarity.agg(F.sum("df").cast("double"), F.sum(F.col("df").cast("double") * F.col("df"))).first()
+    plan = _meeting_plan(counts, spread_of[0] ** 2 / spread_of[1] if spread_of[1] else 1.0, least)
+
+    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, own in b.groupby("k"):
+                ids, codes = own["class_id"].to_numpy(), np.stack(own["ranked"].to_list()).astype(np.uint64)
+                for small, large, o, n in plan:
+                    for role in (False, True):
+                        if k != (large if role else small):
+                            continue
+                        length = k - o + n
+                        picks = np.array(list(combinations(range(length), n)), np.int64)
+                        at = max(1, 1_000_000 // picks.size)
+                        for i in range(0, len(ids), at):
+                            sums = _mixed(codes[i : i + at, :length])[:, picks].sum(2, dtype=np.uint64)
+                            marks = _mixed(sums + np.uint64(small * 1_000_003 + large)).astype(np.int64).ravel()
+                            yield pd.DataFrame({"class_id": np.repeat(ids[i : i + at], len(picks)), "large": role, "mark": marks})
+
+    kind = ordered.schema["class_id"].dataType.simpleString()
+    marks = written(spread(ordered).mapInPandas(signatures, f"class_id {kind}, large boolean, mark long"), "set-marks")
+    left = marks.where("not large").select(F.col("class_id").alias("a"), "mark")
+    right = marks.where("large").select(F.col("class_id").alias("b"), "mark")
+    meet = left.join(right, "mark").where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda n: ordered.select(F.col("class_id").alias(n), F.col("ranked").alias(f"s{n}"))
     both = meet.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     links = both.where(common >= least * (F.size("sa") + F.size("sb") - common) - 1e-9).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     return s.join(classes, "_items").join(links, "class_id", "left").select(key, "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread 64 bits for each number."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _meeting_plan(counts: dict[int, int], items: float, least: float) -> list[tuple[int, int, int, int]]:
+    """(small, large, o, n) for each pair of sizes that can reach ``least``: the common items needed and how many make a mark.
+
+    counts: sets of each size; items: how many equally frequent items there would be. n is the one with the fewest marks
+    and expected meetings.
+    """
+
+    def choices(m: float, n: int) -> float:
+        """The logarithm of m over n."""
+        return sum(math.log(max(m - i, 1.0) / (i + 1)) for i in range(n))
+
+    def cost(a: int, b: int, o: int, n: int) -> float:
+        marks = [math.log(counts[k]) + choices(k - o + n, n) for k in (a, b)]
+        return np.logaddexp(np.logaddexp(*marks), sum(marks) - choices(items, n))
+
+    out, sizes = [], sorted(k for k in counts if k > 0)
+    for a in sizes:
+        for b in (x for x in sizes if x >= a and a >= x * least - 1e-9):
+            o = next((o for o in range(1, a + 1) if o >= least * (a + b - o) - 1e-9), None)
+            if o and not a == b == o:  # that would be one class
+                out.append((a, b, o, min({*range(1, min(o, 12) + 1), o}, key=lambda n: cost(a, b, o, n))))
+    return out

@@ -1,6 +1,6 @@
 import os
 import random
-from math import log
+from math import comb, log
 
 import numpy as np
 import pytest
@@ -167,6 +167,26 @@ def test_near_duplicate_sets_lose_no_link(spark):
     assert set(rows(Z.near_duplicate_sets(d, "k", "items", 0.8))) == want
 
 
+def test_near_duplicate_sets_of_few_items_meet_by_combinations(spark):
+    """Sets of 25 items: single items are shared by thousands, so marks of several are chosen; no link is lost by any choice."""
+    counts = {5: 15000, 6: 12000, 7: 8000, 8: 4000, 9: 1500}
+    few = Z._meeting_plan(counts, 25.0, 0.8)
+    assert {(a, b) for a, b, _, _ in few} == {(5, 6), (6, 7), (7, 8), (8, 9), (9, 9)} and all(n > 2 for _, _, _, n in few)
+    choose = comb
+    assert sum(counts[a] * counts[b] * choose(a - o + n, n) * choose(b - o + n, n) / choose(25, n) for a, b, o, n in few) < 10**7
+    assert {n for _, _, _, n in Z._meeting_plan({40: 100, 50: 100}, 1e6, 0.8)} == {1}
+    r = random.Random(5)
+    for universe, sizes, least in ((14, (1, 12), 0.8), (60, (8, 30), 0.6), (9, (1, 6), 0.5)):
+        sets = [(i, r.sample(range(universe), r.randint(*sizes))) for i in range(250)]
+        sets += [(1000 + i, [*x[1:], r.randrange(universe)]) for i, x in sets[:120]]
+        classes: dict = {}
+        for k, x in sets:
+            classes.setdefault(frozenset(x), k)
+        near = lambda a, b: len(a & b) >= least * len(a | b) - 1e-9
+        want = {(k, classes[frozenset(x)], sum(y != frozenset(x) and near(y, frozenset(x)) for y in classes)) for k, x in sets}
+        assert set(rows(Z.near_duplicate_sets(spark.createDataFrame(sets, "k long, items array<int>"), "k", "items", least))) == want
+
+
 def test_matching_is_the_greedy_walk(spark):
     r = random.Random(2)
     pairs = sorted({(f"x{r.randint(0, 60)}", f"y{r.randint(0, 60)}", r.randint(1, 9)) for _ in range(400)})
