@@ -345,7 +345,7 @@ def _(t):
 
 @add("j21_variant_cosine", _VARIANT_COVISIT + "SELECT x.item AS item_a, y.item AS item_b, round(sum(x.weight * y.weight), 6) AS cosine FROM v x JOIN v y ON x.neighbour = y.neighbour AND x.item < y.item GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= 0.1")
 def _(t):
-    return rounded(C.cosine_pairs(C.covisit_vectors(t.lines, item="variant_id")).where("cosine >= 0.1"), "cosine")
+    return rounded(C.close_pairs(t.lines, 0.1, item="variant_id"), "cosine")
 
 
 _BAYES = """, z AS (SELECT count(*) AS items FROM catalog), s AS (SELECT item_a, item_b, n, greatest(0.0, least(1.0, (n + 1.0::DOUBLE) / (u.k + items) - 0.3::DOUBLE * (u.k - n) / u.k)) AS ab, greatest(0.0, least(1.0, (n + 1.0::DOUBLE) / (v.k + items) - 0.3::DOUBLE * (v.k - n) / v.k)) AS ba

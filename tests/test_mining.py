@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -91,6 +92,22 @@ def test_pairs_of_large_orders_come_in_blocks(spark, monkeypatch):
     assert cos == {(a, b): n * (a + 1.0) * (b + 1.0) for (a, b), n in want.items()}
 
 
+def test_close_pairs_are_the_cosine_pairs_above_the_bound(spark):
+    """More items than a bucket has, and an order of over CHUNK items; no pair or product crosses as a row."""
+    r = random.Random(8)
+    orders = [[*{r.randrange(30) if r.random() < 0.2 else r.randrange(C.BUCKET * 2) for _ in range(r.randint(1, 9))}] for _ in range(9000)] + [r.sample(range(100, 3000), B.CHUNK + 60)]
+    d = spark.createDataFrame([(o, x, x % 3) for o, items in enumerate(orders) for x in items] + [(1, None, 0), (None, 1, 0)], "order_id int, item int, n int")
+    assert d.select("item").distinct().count() > C.BUCKET + 1
+    want = {(a, b): x for a, b, x in rows(C.cosine_pairs(C.covisit_vectors(d, neighbours=7)).where("cosine >= 0.2"))}
+    close = C.close_pairs(d, 0.2, neighbours=7)
+    assert "Generate" not in close._jdf.queryExecution().optimizedPlan().toString()
+    got = {(a, b): x for a, b, x in rows(close, "item_a", "item_b", "cosine")}
+    both = want.keys() & got.keys()
+    assert len(both) > 1000 and all(abs(got[p] - want[p]) < 1e-9 for p in both)
+    assert all(abs((want | got)[p] - 0.2) < 1e-12 for p in want.keys() ^ got.keys())  # at the bound itself the order of a sum decides
+    assert C.close_pairs(d.limit(0), 0.2).count() == 0
+
+
 def test_relaxed_rules_and_bayes(spark):
     d = spark.createDataFrame([("a", "b", 3, 0.03, 0.2), ("a", "c", 2, 0.02, 0.9), ("a", "d", 30, 0.3, 0.1), ("b", "d", 4, 0.001, 0.9)], "item_a string, item_b string, n long, support double, confidence double")
     assert rows(B.relaxed_rules(d), "item_a", "item_b") == [("a", "b")]
