@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import baskets as B
 from ..operators import covisitation as C
 from ..operators import mining as M
+from ..operators.item_vectors import item_vectors
 from ..plans.shared import written
 from ..sources.shop_frames import ShopFrames
 from .define import Book
@@ -253,12 +254,7 @@ def _(t):
 @add("m11_item2vec")
 def _(t):
     """Skip-gram vectors of variants from purchase sequences, seeded: rows only."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    s = B.purchase_sequences(t.lines.withColumn("variant", F.col("variant_id").cast("string")), "variant", "line_item_id")
-    model = Word2Vec(vectorSize=64, windowSize=3, maxIter=5, minCount=1, seed=42, inputCol="sequence", outputCol="v").fit(s)
-    return model.getVectors().select(F.col("word").alias("item"), vector_to_array("vector").alias("vector"))
+    return item_vectors(t.lines, "variant_id", "line_item_id").select(F.col("item").cast("string").alias("item"), "vector")
 
 
 _TIERS = """WITH k AS (SELECT count(DISTINCT order_id) AS total FROM vb),
