@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from ..plans.codes import dense_codes
 from ..plans.shared import new_path, written
 
-#: Vectors of a part; pairs of two parts on average, and pairs sorted at once; lines of a row, and lines that are handled at once.
-ROWS, PAIRS, ROW, AT_ONCE = 1 << 18, 1 << 22, 512, 1 << 20
-#: Pairs of a batch of tiles, of a tile at most, and how many a tile should have.
-BATCH, TILE, FULL = 2048, 128, 48
+#: Vectors of a part; pairs sorted at once (of two parts there may be twice as many); lines of a row, and lines that are handled at once.
+ROWS, PAIRS, ROW, AT_ONCE = 1 << 19, 1 << 22, 512, 1 << 20
+#: Pairs of a batch of tiles, of a tile at most, how many a tile should have, and batches that pairs make if they can.
+BATCH, TILE, FULL, BATCHES = 4096, 256, 96, 128
 
 
 def item_vectors(lines: DataFrame, item: str, position: str, size: int = 64, window: int = 3, epochs: int = 5, seed: int = 42, rate: float = 0.025) -> DataFrame:
@@ -52,7 +52,7 @@ def item_vectors(lines: DataFrame, item: str, position: str, size: int = 64, win
     if not counted:
         return codes.select("item", F.array().cast("array<double>").alias("vector"))
     n, k = (np.array(c, np.int64) for c in zip(*counted))
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(k.sum() / ROWS), math.ceil(math.sqrt(2 * window * (n * k).sum() / PAIRS)))
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(k.sum() / ROWS), math.ceil(math.sqrt(window * (n * k).sum() / PAIRS)))
     cuts = _cuts(n, k, parts)
     pairs, at = new_path(spark, "item-pairs"), new_path(spark, "item-vectors")
     rows.select("items", "sizes", "seen").mapInArrow(_pairs(path, cuts, window), "bucket int, run binary").write.partitionBy("bucket").parquet(pairs)
@@ -394,7 +394,7 @@ def _train(x: np.ndarray, y: np.ndarray, context: np.ndarray, word: np.ndarray,
     word, context = key >> 32, key & 0xFFFFFFFF
     length = np.searchsorted(before, word, side="right") - 1
     code = first[length] + word - before[length]
-    todo = []
+    todo, batch = [], min(BATCH, max(FULL, len(word) // BATCHES))
     bounds = np.concatenate([[0], np.flatnonzero(length[1:] != length[:-1]) + 1, [len(length)]]).tolist()
     for a, b in zip(bounds, bounds[1:]):
         bits = int(length[a])
@@ -412,7 +412,7 @@ def _train(x: np.ndarray, y: np.ndarray, context: np.ndarray, word: np.ndarray,
             order = order[np.argsort(many[order], kind="stable")]
             at = len(order)
             while at:
-                to, at = at, max(0, at - max(1, BATCH // int(many[order[at - 1]])))
+                to, at = at, max(0, at - max(1, batch // int(many[order[at - 1]])))
                 todo.append((bits, s, start[order[at:to]], many[order[at:to]]))
     for i in random.permutation(len(todo)).tolist():
         bits, s, start, many = todo[i]
@@ -449,8 +449,8 @@ def _tiles(x: np.ndarray, y: np.ndarray, context: np.ndarray, code: np.ndarray,
         inner = np.clip((prefix[:, None] << j) + h, low[d], high[d])  # those outside are on no path
         node = np.concatenate([node, base[d] + inner - low[d]], axis=1)
         end = code[at] & ((1 << s) - 1)
-        on, goes = BELOW[s][0][end], BELOW[s][1][end]
-    v, u = x[c], y[node]
+        on, goes = (b.take(end, axis=0) for b in BELOW[s])
+    v, u = x.take(c, axis=0), y.take(node, axis=0)
     g = v @ u.transpose(0, 2, 1)
     np.clip(g, -30, 30, out=g)
     np.negative(g, out=g)
@@ -461,7 +461,9 @@ def _tiles(x: np.ndarray, y: np.ndarray, context: np.ndarray, code: np.ndarray,
     if s:
         g[:, :, above:] *= on
         np.subtract(goes, g[:, :, above:], out=g[:, :, above:])
-    g *= there[:, :, None]
+    whole = bool(there.all())
+    if not whole:
+        g *= there[:, :, None]
     vv = np.einsum("tkc,tkc->tk", v, v) * there
     uu = np.einsum("tnc,tnc->tn", u, u)
     bend_v, bend_u = np.repeat(uu[:, :above].sum(axis=1)[:, None], len(k), axis=1), np.repeat(vv.sum(axis=1)[:, None], above, axis=1)
@@ -469,34 +471,39 @@ def _tiles(x: np.ndarray, y: np.ndarray, context: np.ndarray, code: np.ndarray,
         bend_v = bend_v + (on @ uu[:, above:, None])[:, :, 0]
         bend_u = np.concatenate([bend_u, (vv[:, None] @ on)[:, 0]], axis=1)
     dv, du = g @ u, g.transpose(0, 2, 1) @ v
-    if there.all():
-        _add(x, c.ravel(), dv.reshape(-1, x.shape[1]), bend_v.ravel(), alpha)
+    size = x.shape[1]
+    if whole:
+        _add(x, c.ravel(), v.reshape(-1, size), dv.reshape(-1, size), bend_v.ravel(), alpha)
     else:
-        _add(x, c[there], dv[there], bend_v[there], alpha)
-    _add(y, node.ravel(), du.reshape(-1, x.shape[1]), bend_u.ravel(), alpha)
+        _add(x, c[there], v[there], dv[there], bend_v[there], alpha)
+    _add(y, node.ravel(), u.reshape(-1, size), du.reshape(-1, size), bend_u.ravel(), alpha)
 
 
-def _add(m: np.ndarray, row: np.ndarray, gradient: np.ndarray, bend: np.ndarray, alpha: float) -> None:
+def _add(m: np.ndarray, row: np.ndarray, now: np.ndarray, gradient: np.ndarray, bend: np.ndarray, alpha: float) -> None:
     """Adds alpha times the sum of the gradients of each row, less where a sum of so many would overshoot.
 
-    The loss of a row bends by a quarter of ``bend`` (squared lengths of the vectors it was multiplied with) at most; a
-    step of four times its inverse never makes the loss larger.
+    now: the rows as they are; the gradients are changed. The loss of a row bends by a quarter of ``bend`` (squared
+    lengths of the vectors it was multiplied with) at most; a step of four times its inverse never makes the loss larger.
     """
     order = np.argsort(row, kind="stable")
     own = row[order]
     starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
     times = np.diff(np.append(starts, len(own)))
     step = np.minimum(np.float32(alpha), 4 / np.maximum(np.add.reduceat(bend[order], starts), np.float32(1e-9))).astype(np.float32)
-    one = times == 1
-    if one.any():
-        m[own[starts[one]]] += gradient[order[starts[one]]] * step[one, None]
-    if not one.all():
-        some = ~one
+    each = np.empty(len(row), np.float32)
+    each[order] = np.repeat(step, times)
+    gradient *= each[:, None]
+    some = times > 1
+    if some.any():
         rows, n = order[np.repeat(some, times)], times[some]
-        to = own[starts[some]]
         if len(n) * len(rows) <= 1 << 18:
             sums = np.zeros((len(n), len(rows)), np.float32)
-            sums[np.repeat(np.arange(len(n)), n), np.arange(len(rows))] = np.repeat(step[some], n)
-            m[to] += sums @ gradient[rows]
+            sums[np.repeat(np.arange(len(n)), n), np.arange(len(rows))] = 1
+            total = sums @ gradient[rows]
         else:
-            m[to] += np.add.reduceat(gradient[rows], np.cumsum(n) - n, axis=0) * step[some, None]
+            total = np.add.reduceat(gradient[rows], np.cumsum(n) - n, axis=0)
+    gradient += now
+    whole = f"V{gradient.itemsize * m.shape[1]}"  # a row is moved as one value
+    m.view(whole).ravel()[row] = gradient.view(whole).ravel()
+    if some.any():
+        m[own[starts[some]]] = now[order[starts[some]]] + total
