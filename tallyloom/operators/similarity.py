@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -143,6 +145,7 @@ def similar_by_attributes(df: DataFrame, key: str, category: str, brand: str, pr
 #: Words of a title that don't count, and the weights of what two records share.
 _SMALL_WORDS = ("and", "or", "the", "a", "an", "in", "on", "at", "to", "for", "of", "with", "by")
 _WEIGHTS = {"category": 0.35, "brand": 0.25, "price": 0.20, "title": 0.15, "vendor": 0.05}
+_CLASS = ["c", "v", "m", "bare", "p"]
 
 
 def similar_by_metadata(rows: DataFrame, queries: DataFrame, key: str, category: str, vendor: str, price: str, title: str, bounds: tuple[float, ...], k: int = 10, least: float = 0.2, block: int = 512) -> DataFrame:
@@ -151,9 +154,9 @@ def similar_by_metadata(rows: DataFrame, queries: DataFrame, key: str, category:
     The score sums category (1 if equal, 0.7 if one level apart, 0.4 if a level is shared; levels are parted by ' > '),
     brand (1, or 0.7 if one name holds the other), price band (``bounds``: 1, 0.5, 0.2 by distance), title (Jaccard of
     its words) and vendor, by fixed weights; null and empty values share nothing. Rows with the same metadata have the
-    same score, so they are compared once and only their lowest keys can be in a result; so do queries. The kinds of
-    queries go to the kinds of rows ``block`` at a time; in a batch, categories, brands and titles are compared once
-    for each two values, and k rows of a query leave it.
+    same score, so they are compared once and only their lowest keys can be in a result; so do queries. Kinds that differ
+    in their title only are a class: classes are compared first, titles only between classes that can reach the result
+    (``_class_pairs``), ``block`` by ``block`` kinds. All rows may be queries; the driver has none of them.
     """
     band = F.lit(0)
     for x in bounds:
@@ -168,93 +171,102 @@ def similar_by_metadata(rows: DataFrame, queries: DataFrame, key: str, category:
         F.when(F.col(price) > 0, band).alias("p"),
         F.array_sort(words).alias("w"),
     ]
-    kind = ["c", "v", "m", "bare", "p", "w"]
     own, asked = (x.select(*facts).where("key is not null") for x in (rows, queries))
-    most = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    keep = k + most  # a query's own rows go at the end
-    lowest = own.withColumn("_r", F.row_number().over(W.partitionBy(*kind).orderBy("key"))).where(F.col("_r") <= keep)
-    kinds = written(lowest.groupBy(*kind).agg(F.array_sort(F.collect_list("key")).alias("keys")), "row-kinds")
-    wanted = written(asked.select(*kind).distinct().withColumn("id", F.monotonically_increasing_id()), "query-kinds")
-    blocks = -(-wanted.count() // block) or 1
-    schema = f"id long, other {kinds.schema['keys'].dataType.elementType.simpleString()}, score double"
-    out = None
-    for i in range(blocks):
-        part = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).select("id", *kind).collect()]
-
-        def search(batches: Iterator[pd.DataFrame], part: list = part) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b) and part:
-                    yield _alike(part, b, keep, least)
+    often = lambda d: d.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    keep = k + often(own)  # a query's own rows go at the end
+    lowest = own.withColumn("_r", F.row_number().over(W.partitionBy(*_CLASS, "w").orderBy("key"))).where(F.col("_r") <= keep)
+    kinds = written(lowest.groupBy(*_CLASS, "w").agg(F.array_sort(F.collect_list("key")).alias("keys")), "row-kinds")
+    wanted = written(asked.select(*_CLASS, "w").distinct().withColumn("id", F.monotonically_increasing_id()), "query-kinds")
+    ours, our_kinds = _by_class(kinds, "row-classes", "b", F.size("keys"), ["keys", "w"], block)
+    theirs, their_kinds = _by_class(wanted, "query-classes", "a", F.lit(1), ["id", "w"], block)
+    units = _class_pairs(theirs, ours, keep, least).join(their_kinds, "a").join(our_kinds, "b")
+    conf = rows.sparkSession.conf
+    units = units.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism), "a", "a_pack", "b", "b_pack")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of_key = b.schema.field("b_kinds").type.value_type.field("keys").type.value_type
+            for i in range(b.num_rows):
+                ids, others, scores = _alike(**b.slice(i, 1).to_pylist()[0], keep=keep, least=least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, of_key), pa.array(scores, pa.float64())], names=["id", "other", "score"])
 
-        one = spread(kinds).mapInPandas(search, schema)
-        out = one if out is None else out.unionByName(one)
+    found = units.select("base", "same", "floor", "a_kinds", "b_kinds").mapInArrow(search, f"id long, other {kinds.schema['keys'].dataType.elementType.simpleString()}, score double")
     best = W.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "other")
-    lists = out.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= keep).drop("_r")
-    same = F.lit(True)
-    for n in ("c", "v", "p", "w"):
-        same = same & F.col(f"a.{n}").eqNullSafe(F.col(f"k.{n}"))
-    ids = asked.alias("a").join(wanted.alias("k"), same).select(F.col("a.key").alias("query"), F.col("k.id").alias("id"))
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "other"))
-    return ids.join(lists, "id").where(F.col("query") != F.col("other")).select("query", "other", "score").withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _alike(asked: list[tuple], kinds: pd.DataFrame, keep: int, least: float) -> pd.DataFrame:
-    """id, other, score: the first ``keep`` rows of these kinds for each (id, c, v, m, bare, p, w) that is asked."""
-    kinds = kinds.assign(_low=[x[0] for x in kinds["keys"]]).sort_values("_low", kind="stable")
-    keys = kinds["keys"].to_list()
-    absent = lambda x: None if x is None or x != x else x
-    own = [tuple(map(absent, x)) for x in zip(kinds["c"], kinds["v"], kinds["m"], kinds["bare"], kinds["p"])]
-    titles = [() if w is None else tuple(w) for w in kinds["w"]]
-
-    def table(theirs: list, ours: list, compare: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each two different values compared once, and where the values of either side are."""
-        a, b = {x: i for i, x in enumerate(dict.fromkeys(theirs))}, {x: i for i, x in enumerate(dict.fromkeys(ours))}
-        return np.array([[compare(x, y) for y in b] for x in a], np.float64), np.array([a[x] for x in theirs]), np.array([b[x] for x in ours])
-
-    brand = lambda x: (x[2], x[3], x[1])
-    q = [x[1:6] for x in asked]
-    parts = {
-        "category": table([x[0] for x in q], [x[0] for x in own], _category_likeness),
-        "brand": table(list(map(brand, q)), list(map(brand, own)), _brand_likeness),
-        "price": table([x[4] for x in q], [x[4] for x in own], lambda x, y: 0.0 if x is None or y is None else (1.0, 0.5, 0.2, 0.0)[int(min(abs(x - y), 3))]),
-        "title": _title_likeness([tuple(x[6] or ()) for x in asked], titles),
-        "vendor": table([x[1] for x in q], [x[1] for x in own], lambda x, y: float(x is not None and x == y)),
-    }
+    firsts = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= keep)
+    lists = firsts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_r", "other", "score"))).alias("best")).join(wanted, "id")
+    ids = asked.alias("x").join(lists.alias("y"), _equal("c", "v", "p", "w")).select(F.col("x.key").alias("query"), "y.best")
+    others = F.slice(F.filter("best", lambda x: x["other"] != F.col("query")), 1, k)
+    out = ids.select("query", F.posexplode(others).alias("_at", "_x")).select("query", "_x.other", "_x.score", (F.col("_at") + 1).alias("rank"))
+    if often(asked) == 1:
+        return out
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "other"))  # a key's rows share its k
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _equal(*columns: str) -> Column:
+    """x and y have the same values, null or not."""
+    return reduce(lambda a, b: a & b, (F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")) for n in columns))
+
+
+def _by_class(kinds: DataFrame, name: str, of: str, rows: Column, values: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of these kinds, with an id ``of`` and their number of rows n, and their kinds in packs of about ``block``."""
+    classes = kinds.groupBy(*_CLASS).agg(F.count(F.lit(1)).alias("_kinds"), F.sum(rows).alias("n"))
+    classes = written(classes.withColumn(of, F.monotonically_increasing_id()), name)
+    own = kinds.alias("x").join(classes.alias("y"), _equal("c", "v", "p")).select(of, F.pmod(F.xxhash64("w"), F.ceil(F.col("_kinds") / block)).alias(f"{of}_pack"), *values)
+    return classes.drop("_kinds"), own.groupBy(of, f"{of}_pack").agg(F.collect_list(F.struct(*values)).alias(f"{of}_kinds"))
+
+
+def _class_pairs(theirs: DataFrame, ours: DataFrame, keep: int, least: float) -> DataFrame:
+    """a, b, base, same and floor of all classes b that can hold one of the first ``keep`` rows for a query of class a.
+
+    Without its title a pair of classes has a score that a title can only raise, by its weight at most. So once classes
+    with ``keep`` rows are at or above some score (the floor), a class from which the best title can't lead there is out.
+    """
+    x, y = (lambda n: F.col(f"x.{n}")), (lambda n: F.col(f"y.{n}"))
+    filled = lambda n: F.coalesce((x(n) != "") & (y(n) != ""), F.lit(False))
+    levels = [F.split(side("c"), " > ") for side in (x, y)]
+    shared = lambda n, i: F.when((n == i) & (levels[0][i] == levels[1][i]), n + 1).otherwise(n)
+    shared = F.aggregate(F.sequence(F.lit(0), F.least(*map(F.size, levels)) - 1), F.lit(0), shared)
+    category = F.when(~filled("c"), 0.0).when(x("c") == y("c"), 1.0).when(levels[0][0] != levels[1][0], 0.0)
+    category = category.when((shared == F.size(levels[0]) - 1) | (shared == F.size(levels[1]) - 1), 0.7).otherwise(0.4)
+    brand = F.when(~filled("m"), 0.0).when(x("m") == y("m"), 1.0).when(F.contains(x("bare"), y("bare")) | F.contains(y("bare"), x("bare")), 0.7)
+    apart = F.abs(x("p") - y("p"))
+    near = F.when(apart == 0, 1.0).when(apart == 1, 0.5).when(apart == 2, 0.2)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base = category * _WEIGHTS["category"] + zero(brand) * _WEIGHTS["brand"] + zero(near) * _WEIGHTS["price"]
+    same = zero((x("v") == y("v")).cast("double")) * _WEIGHTS["vendor"]
+    slack = 1e-8  # scores are compared to nine digits
+
+    def pairs(asked: DataFrame, *more: str) -> DataFrame:
+        d = spread(asked).alias("x").crossJoin(ours.alias("y")).select("a", "b", base.alias("base"), same.alias("same"), y("n"), *more)
+        return d.withColumn("low", F.col("base") + F.col("same")).where(F.col("low") + _WEIGHTS["title"] + slack > least)
+
+    by_score = pairs(theirs).groupBy("a", F.round("low", 9).alias("low")).agg(F.sum("n").alias("n"))
+    so_far = F.sum("n").over(W.partitionBy("a").orderBy(F.desc("low")))
+    floors = by_score.withColumn("_n", so_far).where(F.col("_n") >= keep).groupBy("a").agg(F.max("low").alias("floor"))
+    asked = written(theirs.join(floors, "a", "left").withColumn("floor", zero(F.col("floor")) - slack), "query-floors")
+    return pairs(asked, "floor").where(F.col("low") + _WEIGHTS["title"] >= F.col("floor")).drop("n", "low")
+
+
+def _alike(base: float, same: float, floor: float, a_kinds: list[dict], b_kinds: list[dict], keep: int, least: float) -> tuple[list, list, list]:
+    """id, other, score: for each kind a of one class the first ``keep`` rows of the kinds b of another."""
+    b_kinds = sorted(b_kinds, key=lambda x: x["keys"][0])
+    keys = [x["keys"] for x in b_kinds]
+    likeness, i, j = _title_likeness([tuple(x["w"] or ()) for x in a_kinds], [tuple(x["w"] or ()) for x in b_kinds])
+    s = (base + likeness * _WEIGHTS["title"] + same)[i][:, j]
+    r = np.where((s > least) & (s >= floor), np.round(s, 9), -1.0)
+    last = np.partition(r, -keep, axis=1)[:, -keep] if r.shape[1] > keep else np.full(len(r), -1.0)
     ids, others, scores = [], [], []
-    step = max(1, 1_000_000 // len(own))
-    for at in range(0, len(asked), step):
-        s = np.zeros((len(asked[at : at + step]), len(own)))
-        for n, (values, i, j) in parts.items():
-            s += (values * _WEIGHTS[n])[i[at : at + step]][:, j]
-        r = np.where(s > least, np.round(s, 9), -1.0)
-        last = np.partition(r, -keep, axis=1)[:, -keep] if r.shape[1] > keep else np.full(len(r), -1.0)
-        for x, (score, rough) in enumerate(zip(s, r)):
-            # a kind's lowest key is its first; with equal scores the kinds of the lowest keys come first
-            first = np.flatnonzero(rough > last[x])
-            if last[x] >= 0:
-                first = np.concatenate([first, np.flatnonzero(rough == last[x])[:keep]])
-            rows = sorted((-rough[c], key, c) for c in first.tolist() for key in keys[c])[:keep]
-            ids += [asked[at + x][0]] * len(rows)
-            others += [key for _, key, _ in rows]
-            scores += [score[c] for _, _, c in rows]
-    return pd.DataFrame({"id": ids, "other": others, "score": scores})
-
-
-def _category_likeness(x: str | None, y: str | None) -> float:
-    if not x or not y:
-        return 0.0
-    if x == y:
-        return 1.0
-    a, b = x.split(" > "), y.split(" > ")
-    shared = next((i for i, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
-    return 0.0 if not shared else 0.7 if shared in (len(a) - 1, len(b) - 1) else 0.4
-
-
-def _brand_likeness(x: tuple, y: tuple) -> float:
-    """Of (name, name without signs, ...)."""
-    if not x[0] or not y[0]:
-        return 0.0
-    return 1.0 if x[0] == y[0] else 0.7 if x[1] in y[1] or y[1] in x[1] else 0.0
+    for x, (score, rough) in enumerate(zip(s, r)):
+        # a kind's lowest key is its first; with equal scores the kinds of the lowest keys come first
+        first = np.flatnonzero(rough > last[x])
+        if last[x] >= 0:
+            first = np.concatenate([first, np.flatnonzero(rough == last[x])[:keep]])
+        rows = sorted((-rough[c], key, c) for c in first.tolist() for key in keys[c])[:keep]
+        ids += [a_kinds[x]["id"]] * len(rows)
+        others += [key for _, key, _ in rows]
+        scores += [score[c] for _, _, c in rows]
+    return ids, others, scores
 
 
 def _title_likeness(theirs: list[tuple], ours: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -238,6 +238,30 @@ def test_metadata_similarity_compares_each_kind_once(spark, monkeypatch):
     assert kept["row-kinds"].count() <= 4 * 3 * 3 * 2 and kept["query-kinds"].count() <= len(asked)
 
 
+def test_metadata_similarity_query_asks_for_every_variant(spark, tmp_path):
+    """As its SQL, by pairs of rows; titles decide between classes, and no class is left out that can hold a result."""
+    import duckdb
+
+    from tallyloom.queries import registry
+
+    r = random.Random(11)
+    part = [(i, r.choice(["red chair", "red table", "old table", "big old chair"]), r.choice(["Brand#1", "Brand#11", "Brand#2"]), r.choice(["LARGE", "SMALL"]), 1, r.choice([10.0, 30.0, 60.0, 700.0, 960.0])) for i in range(1, 181)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    run, sql = registry.all_queries()["m23_metadata_similarity"]
+    got = rows(run(spark, str(tmp_path)), "query", "other", "score")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"select query, other, score from ({sql})").fetchall(), key=repr)
+    assert {x[0] for x in got} == {x[0] for x in part} and len(got) == 10 * len(part)
+
+
+def test_metadata_similarity_of_a_key_with_two_rows(spark):
+    """Both rows of a key are asked for and share its k; neither is in its own result."""
+    d = spark.createDataFrame([(1, "x", "Oak", 10.0, "red chair"), (1, "y", "Elm", 60.0, "big table"), (2, "x", "Oak", 10.0, "red chair"), (3, "y", "Elm", 60.0, "table"), (4, "x", "Oak", 10.0, "chair")], "id long, c string, v string, p double, t string")
+    got = [(x["rank"], x["other"], round(x["score"], 6)) for x in Z.similar_by_metadata(d, d, "id", "c", "v", "p", "t", (25, 50), 2).where("query = 1").collect()]
+    assert sorted(got) == [(1, 2, 1.0), (2, 3, 0.925)]
+
+
 def test_attribute_similarity_against_all_pairs(spark):
     r = random.Random(3)
     items = [(i, r.choice(["a", "b", None]), r.choice(["x", "y", None]), r.choice([None, 0.0, 1.0, 2.0, 2.0, 3.0, 9.0])) for i in range(40)]
