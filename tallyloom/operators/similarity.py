@@ -179,7 +179,8 @@ def similar_by_metadata(rows: DataFrame, queries: DataFrame, key: str, category:
     wanted = written(asked.select(*_CLASS, "w").distinct().withColumn("id", F.monotonically_increasing_id()), "query-kinds")
     ours, our_kinds = _by_class(kinds, "row-classes", "b", F.size("keys"), ["keys", "w"], block)
     theirs, their_kinds = _by_class(wanted, "query-classes", "a", F.lit(1), ["id", "w"], block)
-    units = _class_pairs(theirs, ours, keep, least).join(their_kinds, "a").join(our_kinds, "b")
+    merged = lambda d: d.hint("merge")  # noqa: E731 - lists of keys are no broadcasts: each would pass the driver
+    units = _class_pairs(theirs, ours, keep, least).join(merged(their_kinds), "a").join(merged(our_kinds), "b")
     conf = rows.sparkSession.conf
     units = units.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism), "a", "a_pack", "b", "b_pack")
 
@@ -193,8 +194,8 @@ def similar_by_metadata(rows: DataFrame, queries: DataFrame, key: str, category:
     found = units.select("base", "same", "floor", "a_kinds", "b_kinds").mapInArrow(search, f"id long, other {kinds.schema['keys'].dataType.elementType.simpleString()}, score double")
     best = W.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "other")
     firsts = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= keep)
-    lists = firsts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_r", "other", "score"))).alias("best")).join(wanted, "id")
-    ids = asked.alias("x").join(lists.alias("y"), _equal("c", "v", "p", "w")).select(F.col("x.key").alias("query"), "y.best")
+    lists = firsts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_r", "other", "score"))).alias("best")).join(merged(wanted), "id")
+    ids = asked.alias("x").join(merged(lists).alias("y"), _equal("c", "v", "p", "w")).select(F.col("x.key").alias("query"), "y.best")
     others = F.slice(F.filter("best", lambda x: x["other"] != F.col("query")), 1, k)
     out = ids.select("query", F.posexplode(others).alias("_at", "_x")).select("query", "_x.other", "_x.score", (F.col("_at") + 1).alias("rank"))
     if often(asked) == 1:
